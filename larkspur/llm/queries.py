@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import context_tree, near_dedup, packing, suffix_dedup
+from larkspur.llm import context_tree, decontamination, language_id, near_dedup, packing, quality, suffix_dedup
 
 #: Rows per Arrow batch: bounds what a Python worker holds of documents at once.
 BATCH_ROWS = 512
@@ -21,6 +21,18 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
 def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.digest(table(spark, sf_dir, "documents"))
 
@@ -33,5 +45,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op7_context_tree, op8_packing, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op4_language_id, op6_quality, op7_context_tree, op8_packing, op10_suffix_dedup)}
 SQL: dict[str, str] = {}

@@ -52,6 +52,14 @@ def text_column(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c) for c in keep])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """Blocks of about block_bytes of text each; their number grows with the input, their size does not."""
     total = docs.agg(F.sum(F.octet_length("text") + F.lit(64)).alias("b")).first()["b"] or 0

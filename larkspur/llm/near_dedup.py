@@ -58,7 +58,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
         if count >= k:
             yield np.unique(grams[b[i] : b[i + 1] - k + 1])
         elif count:
-            yield mixed(np.array([(h[b[i] : b[i + 1]] * _STEPS[:count]).sum(dtype=np.uint64) + _STEPS[32 + count]], dtype=np.uint64))
+            yield mixed((h[b[i] : b[i + 1]] * _STEPS[:count]).sum(dtype=np.uint64, keepdims=True) + _STEPS[32 + count])
         else:
             yield np.zeros(0, np.uint64)
 

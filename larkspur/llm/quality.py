@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BYTE_VALUES, written
+from larkspur.llm.common import BYTE_VALUES, unused, written
 
 #: Bounds of the fit: labelled rows, bytes of each, hashed features seen, features kept.
 SAMPLE_ROWS, SAMPLE_BYTES, WIDTH, KEPT = 12_000, 64_000, 1 << 18, 1500
@@ -196,5 +196,6 @@ def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 def filtered(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """docs without those rejected."""
-    rejected = judged(docs, labels, host, path).where(~F.col("kept")).select(F.col("row").alias("_row")).distinct()
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(rejected, "_row", "left_anti").drop("_row")
+    row = unused(docs, "row")
+    rejected = judged(docs, labels, host, path).where(~F.col("kept")).select(F.col("row").alias(row)).distinct()
+    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(rejected, row, "left_anti").select(*docs.columns)

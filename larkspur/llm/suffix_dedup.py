@@ -29,13 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BASE, BLOCK_BYTES, BYTE_VALUES, block_count, blobs, column_bytes, gram_hashes, in_blocks, long_column, mixed, power_table, runs_of, text_column, window_minima, written
+from larkspur.llm.common import BASE, BLOCK_BYTES, BYTE_VALUES, block_count, blobs, column_bytes, gram_hashes, in_blocks, long_column, mixed, power_table, runs_of, text_column, unused, window_minima, written
 
 LEAST, ANCHOR, SHARDS, RUN_BYTES = 50, 20, 4, 1_000_000
 #: Blocks whose anchors meet in one bucket of the shuffle.
 BLOCKS_A_BUCKET = 2
 MESSAGE = "block int, kind int, a binary, b binary"
-RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+RESULT = "doc_id long, row long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
 class Block:
@@ -43,7 +43,7 @@ class Block:
 
     def __init__(self, docs: pa.Table, copies: np.ndarray, least: int, anchor: int, only: np.ndarray | None = None):
         docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.ids = long_column(docs.column("doc_id"))
+        self.ids, self.rows = long_column(docs.column("doc_id")), docs.column("row")
         self.data, self.offsets = column_bytes(docs.column("text"))
         self.copy = np.isin(self.ids, copies)
         parts = []
@@ -101,12 +101,12 @@ def message_parts(messages: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return unpack(copies.column("a"), np.int64), np.unique(unpack(anchors.column("a"), np.uint64)), runs
 
 
-def duplicate_bytes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, the removed spans (byte offsets) and the bytes kept."""
+def duplicate_bytes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, whole_characters: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, row (hash of id and text), n_bytes, n_removed, the removed spans (byte offsets) and the bytes kept. whole_characters: one that loses a byte goes whole."""
     plain = text_column(docs)
     n = block_count(plain, block_bytes)
     buckets = max(1, math.ceil(n / BLOCKS_A_BUCKET))
-    blocked = in_blocks(plain, n)
+    blocked = in_blocks(plain.withColumn("row", F.xxhash64("doc_id", "text")), n)
 
     # Whole copies, found by text digest, need no comparison: only their ids travel.
     ids = blocked.select("block", "doc_id", F.md5("text").alias("digest")).where(F.octet_length("text") >= least)
@@ -161,7 +161,7 @@ def duplicate_bytes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, b
 
     def removed(docs: pa.Table, messages: pa.Table) -> pa.Table:
         copies, only, runs = message_parts(messages)
-        return without(Block(docs, copies, least, anchor, only), runs, least)
+        return without(Block(docs, copies, least, anchor, only), runs, least, whole_characters)
 
     by_block = blocked.groupBy("block")
     dealt_schema = "bucket int, block int, a binary, b binary, c binary"
@@ -202,7 +202,7 @@ def dealt(hashes: np.ndarray, block: int, buckets: int, columns: list[np.ndarray
     return pa.table({"bucket": pa.array(used), "block": pa.array(np.full(len(used), block, np.int32)), "a": blobs(columns[0][order], bounds), "b": blobs(columns[1][order], bounds), "c": c})
 
 
-def without(held: Block, runs: np.ndarray, least: int) -> pa.Table:
+def without(held: Block, runs: np.ndarray, least: int, whole_characters: bool) -> pa.Table:
     """A block's result: the windows of later documents of the block, and of the runs found elsewhere, taken out."""
     n = len(held.data)
     change = np.zeros(n + 1, np.int32)
@@ -229,6 +229,9 @@ def without(held: Block, runs: np.ndarray, least: int) -> pa.Table:
     gone = np.cumsum(change[:-1]) > 0
     lengths = np.diff(held.offsets)
     gone |= np.repeat(held.copy & (lengths >= least), lengths)
+    if whole_characters and n:
+        lead = np.flatnonzero((held.data & 0xC0) != 0x80)
+        gone = np.repeat(np.logical_or.reduceat(gone, lead), np.diff(np.append(lead, n)))
     edge = np.zeros(n + 1, bool)
     edge[held.offsets] = True
     starts = np.flatnonzero(gone & (edge[:-1] | np.concatenate(([True], ~gone[:-1])))) if n else np.zeros(0, int)
@@ -239,7 +242,7 @@ def without(held: Block, runs: np.ndarray, least: int) -> pa.Table:
     kept = held.data[~gone]
     spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(lengths) + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(starts - held.offsets[owner], pa.int64()), pa.array(ends - held.offsets[owner], pa.int64())], ["start", "end"]))
     ids = pa.array(held.ids, mask=held.ids == np.iinfo(np.int64).min)
-    return pa.table({"doc_id": ids, "n_bytes": pa.array(lengths), "n_removed": pa.array(lost_bytes), "spans": spans, "kept": blobs(kept, np.concatenate(([0], np.cumsum(lengths - lost_bytes))))})
+    return pa.table({"doc_id": ids, "row": held.rows, "n_bytes": pa.array(lengths), "n_removed": pa.array(lost_bytes), "spans": spans, "kept": blobs(kept, np.concatenate(([0], np.cumsum(lengths - lost_bytes))))})
 
 
 def repeated_windows(keys: np.ndarray, doc: np.ndarray, length: np.ndarray, data: np.ndarray, least: int, anchor: int) -> np.ndarray:
@@ -361,11 +364,14 @@ def merged_transforms(strings: list[np.ndarray], doc: np.ndarray, least: int, sh
 
 
 def filtered(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with the repeated bytes taken out of text (a character that loses a byte goes whole); documents left without a word go."""
-    found = duplicate_bytes(docs.select("doc_id", "text"), least).select("doc_id", F.col("n_removed").alias("_n"), F.col("kept").alias("_kept"))
-    joined = docs.join(found, "doc_id", "left")
-    text = F.when(F.col("_n") > 0, F.try_validate_utf8(F.col("_kept"))).otherwise(F.col("text"))
-    return joined.withColumn("text", text).drop("_n", "_kept")
+    """docs with the repeated bytes taken out of text (a character that loses a byte goes whole); documents that lose their last word go."""
+    found = duplicate_bytes(docs.select("doc_id", "text"), least, whole_characters=True).where("n_removed > 0")
+    row, kept = unused(docs, "row"), unused(docs, "kept")
+    found = found.select(F.col("row").alias(row), F.col("kept").cast("string").alias(kept)).dropDuplicates([row])
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    joined = docs.withColumn(row, key).join(found, row, "left")
+    left = joined.where(F.col(kept).isNull() | F.col(kept).rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("text", F.coalesce(kept, "text")).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:

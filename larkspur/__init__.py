@@ -1 +1 @@
-"""Larkspur: advisory-data analytics expressed as Spark DataFrame operators."""
+"""Larkspur: analytics over broker reports, market quotes, statements, sanctions lists and document records, as Spark DataFrame operators."""

@@ -58,7 +58,7 @@ def trade_ticket(trades: DataFrame, keys: list[str], order: list[Column]) -> Dat
     carried = [c for c in trades.columns if c not in {*keys, "Quantity", "AccruedInterest", "NetCash", "Price", "Description", "Exchange"}]
     n = F.count(F.lit(1))
     grouped = rows.groupBy(*keys).agg(
-        n.alias("n"), F.sum("Quantity").alias("Quantity"), F.sum("AccruedInterest").alias("AccruedInterest"), F.sum("NetCash").alias("NetCash"), F.try_divide(F.sum("Price"), n).alias("Price"),
+        n.alias("_n"), F.sum("Quantity").alias("Quantity"), F.sum("AccruedInterest").alias("AccruedInterest"), F.sum("NetCash").alias("NetCash"), F.try_divide(F.sum("Price"), n).alias("Price"),
         F.countDistinct("Description").alias("_d"), F.bool_or(F.col("AccruedInterest") == 0).alias("_z"), F.min_by("Description", first).alias("Description"),
         F.when(n == 1, F.min_by("Exchange", first)).otherwise(F.lit("")).alias("Exchange"), *[F.min_by(c, first).alias(c) for c in carried],
     )
@@ -67,7 +67,7 @@ def trade_ticket(trades: DataFrame, keys: list[str], order: list[Column]) -> Dat
         *keys, *carried, "Description", "Exchange", "Quantity", "AccruedInterest", "NetCash", "Price", F.col("_b.coupon").alias("Coupon"), F.col("_b.maturity").alias("Maturity"),
         F.col("NetCash").alias("Amount"), bonds.accrued_days(F.col("AccruedInterest"), F.col("_b.coupon"), F.col("Quantity")).alias("Accrued (Days)"),
         F.bround(F.col("AccruedInterest") + F.col("NetCash"), 2).alias("TotalAmount"), F.bround(F.try_divide("NetCash", "Quantity") * 100, 4).alias("Price (including Commissions)"),
-        F.when(F.col("n") == 1, "single").otherwise("consolidated").alias("type"),
+        F.when(F.col("_n") == 1, "single").otherwise("consolidated").alias("type"),
         F.when(F.col("_d") != 1, "several descriptions").when(F.col("_z"), "no accrued interest").alias("fault"),
     )
 

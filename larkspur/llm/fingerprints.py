@@ -33,7 +33,7 @@ def selected(text: Column) -> Column:
     """Selected hashes with places, in order of place: hash * 2**32 + 2**32 - 1 - place."""
 
     def places(raw: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (GRAM - 1), F.lit(1))), lambda i: F.shiftleft(F.xxhash64(F.substring(raw, i, F.lit(GRAM))).bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.lit(0xFFFFFFFF) - i))
+        hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (GRAM - 1), F.lit(1))), lambda i: F.shiftleft(F.xxhash64(F.substring(raw, i, F.lit(GRAM))).bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.lit(0x100000000) - i))
         return let(hashes, lambda h: F.slice(minima(h, 1), F.lit(1), F.greatest(F.size(h) - (WINDOW - 1), F.lit(1))))
 
     def minima(h: Column, reach: int) -> Column:

@@ -189,7 +189,8 @@ def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     for kind in ("quality", "toxic"):
         lift = shrunk(seen, kind).withColumnRenamed("host", "_h").withColumnRenamed("path", "_p")
         out = out.join(lift, F.col("host").eqNullSafe(F.col("_h")) & F.col("path").eqNullSafe(F.col("_p")), "left").drop("_h", "_p")
-        out = out.withColumn(kind, 1 / (1 + F.exp(-(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(kind))) + F.coalesce(f"{kind}_lift", F.lit(0.0)))))).drop(f"{kind}_lift")
+        logit = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(kind))) + F.coalesce(f"{kind}_lift", F.lit(0.0))
+        out = out.withColumn(kind, F.when(F.col(kind).isNotNull(), 1 / (1 + F.exp(-logit)))).drop(f"{kind}_lift")
     kept = (F.coalesce("quality", F.lit(1.0)) >= 0.5) & (F.coalesce("toxic", F.lit(0.0)) < 0.5)
     return out.withColumn("kept", kept)
 

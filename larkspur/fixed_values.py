@@ -49,7 +49,9 @@ TOTAL_ASSETS = 20
 BUCKETS = ("cash", "treasuries", "bonds_aaa_a", "bonds_bbb", "bonds_bb", "etfs", "stocks", "bonds")
 
 # --- fixed values: market-data column renames and wire codes ---
-QUOTE_RENAMES = {"Ask price": "Ask", "Bid price": "Bid", "Last price": "Last", "Ask size": "Ask Size", "Bid size": "Bid Size", "Ask yield": "Ask Yield", "Bid yield": "Bid Yield", "Company name": "Company Name", "Next option date": "Next Option Date"}
+QUOTE_RENAMES = {"Company_name": "Company Name", "Bid_size": "Bid Size", "Bid_price": "Bid", "Bid_yield": "Bid Yield", "Ask_size": "Ask Size", "Ask_price": "Ask", "Ask_yield": "Ask Yield", "Issue_date": "Issue Date", "Last_trading_date": "Last Trading Date"}
+#: Wire codes of quote fields that the engine reads; others keep their number.
+QUOTE_FIELDS = {31: "LAST_PRICE", 55: "SYMBOL", 58: "TEXT", 70: "HIGH", 71: "LOW", 73: "MARKET_VALUE", 74: "AVG_PRICE", 75: "UNREALIZED_PNL", 78: "DAILY_PNL", 79: "REALIZED_PNL", 82: "CHANGE"}
 
 # --- fixed values: control records of report files, statement section, sanctions list columns ---
 CONTROL_RECORDS = ("BOA", "BOF", "BOS", "EOS", "EOA", "EOF", "MSG")
@@ -87,6 +89,10 @@ PROTECTED_PATTERNS = (
 PAGE_COUNTER = r"(?i)Page\s+\d+\s+of\s+\d+"
 PLACEHOLDER = "ZZX9{:04d}8XZZ"
 
+# --- fixed values: requests for missing documents ---
+REQUEST_FIELDS = ("account_id", "contact_id", "recipient_email", "recipient_source", "language", "content")
+RECIPIENT_SOURCES, REQUEST_LANGUAGES, REQUEST_KEYS = ("contact", "ibkr", "testing"), ("en", "es"), ("poi", "poe", "poa", "sow")
+
 # --- fixed values: columns of a trade confirmation, in order; a blank line follows those in the second list ---
 TICKET_COLUMNS = (
     "ClientAccountID", "AccountAlias", "CurrencyPrimary", "AssetClass", "Symbol", "Description", "Conid", "SecurityID", "SecurityIDType", "CUSIP", "ISIN", "FIGI", "Issuer", "Maturity",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from larkspur.fixed_values import ARCHETYPES, HIGH_RISK, LOW_RISK, SANCTIONED, WELL_REGULATED
 from larkspur.functions import bonds, dates, numbers, ocr, ratings, risk, text
 from larkspur.operators import joins, profiles, selection, snapshots
-from larkspur.plans import documents, portfolio, reports
+from larkspur.plans import documents, portfolio, quotes, records, reports
 from larkspur.sources import parsers
 from larkspur.streaming import ledgers
 
@@ -491,7 +491,7 @@ def jurisdiction_risk(spark, sf):
 
 
 @query(f"""WITH t AS (SELECT c_custkey, upper({_CODE}) AS k, 1 + 2 * (c_custkey % 4) AS c FROM customer)
-  SELECT c_custkey, round(CASE WHEN c_custkey % 11 = 0 THEN greatest(9, s) ELSE s END, 6) AS risk FROM (SELECT c_custkey, least(10, greatest(1, c * 0.3 + ({_JURISDICTION}) * 0.25 + 3 * 0.15 + 5 * 0.15 + (CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 3 END) * 0.15)) AS s FROM t)""")
+  SELECT c_custkey, round(CAST(CASE WHEN c_custkey % 11 = 0 THEN greatest(9, s) ELSE s END AS DOUBLE), 6) AS risk FROM (SELECT c_custkey, least(10, greatest(1, c * 0.3 + ({_JURISDICTION}) * 0.25 + 3 * 0.15 + 5 * 0.15 + (CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 3 END) * 0.15)) AS s FROM t)""")
 def weighted_risk(spark, sf):
     key = F.col("c_custkey")
     score = risk.weighted_risk(1 + 2 * (key % 4), risk.jurisdiction_risk(_code()), F.lit(3), risk.introducer_risk(F.when(key % 2 == 1, key)), listed=key % 11 == 0)
@@ -503,6 +503,66 @@ def json_path_fallback(spark, sf):
     return table(spark, sf, "events").select("event_id", risk.json_text(F.try_parse_json("props"), "$.missing", "$.k").alias("k"))
 
 
+# --- records, quotes ----------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'missing master account' END AS fault FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND c_custkey <> 12""")
+def missing_details(spark, sf):
+    key = F.col("c_custkey")
+    accounts = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit(" "), key).alias("ibkr_account_number"), F.when(key % 2 == 0, F.lit("M")).alias("master_account"))
+    details = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("account_id"))
+    return records.missing_details(accounts, details, ("12",)).select("c_custkey", "fault")
+
+
+@query("""WITH l AS (SELECT l_orderkey, arg_max(l_linestatus, {'n': l_linenumber, 's': l_linestatus, 'm': l_returnflag}) AS s, arg_max(l_returnflag, {'n': l_linenumber, 's': l_linestatus, 'm': l_returnflag}) AS m FROM lineitem WHERE l_quantity > 30 GROUP BY l_orderkey)
+  SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Skipped' WHEN l.s IS NOT NULL THEN l.s ELSE 'Prepared' END AS status, CASE WHEN o_orderstatus <> 'P' THEN l.m END AS message FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def merged_responses(spark, sf):
+    prepared = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("F-"), "o_orderkey").alias("form"), F.when(F.col("o_orderstatus") == "P", "Skipped").otherwise("Prepared").alias("status"), F.lit(None).cast("string").alias("message"))
+    responses = table(spark, sf, "lineitem").where("l_quantity > 30").select(F.concat(F.lit("f"), "l_orderkey").alias("form"), F.col("l_linenumber").alias("n"), F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("message"))
+    return records.merged_responses(prepared, responses).select("o_orderkey", "status", "message")
+
+
+@query("""WITH c AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) SELECT count(*) FILTER (h IS NOT NULL) AS hits, count(DISTINCT sha256(text)) FILTER (h IS NULL) AS to_do FROM documents LEFT JOIN c ON h = sha256(text) WHERE text IS NOT NULL""")
+def result_cache(spark, sf):
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
+    cache = docs.where("doc_id % 3 = 0").select(records.cache_key(F.col("text"), "v1").alias("key")).distinct()
+    hits, todo = records.cached(docs, "text", "v1", cache)
+    return hits.agg(F.count(F.lit(1)).alias("hits")).crossJoin(todo.agg(F.count(F.lit(1)).alias("to_do")))  # one row each
+
+
+@query("""SELECT count(*) AS links, count(DISTINCT d.doc_id) AS documents, count(*) FILTER (quality = 1) AS done, count(*) FILTER (quality = 0) AS failed, count(*) FILTER (quality IS NULL OR quality = 0) AS to_do FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def population_counts(spark, sf):
+    processing = table(spark, sf, "labels").select(F.col("doc_id").alias("document_id"), F.when(F.col("quality") == 1, "completed").otherwise("failed").alias("status"))
+    return records.population(table(spark, sf, "documents").select(F.col("doc_id").alias("document_id")), processing)
+
+
+@query("""WITH p AS (SELECT c_custkey, lower(c_mktsegment) AS name, CASE WHEN c_custkey % 4 = 0 THEN 'm' || c_custkey ELSE '' END AS mail FROM customer),
+  a AS (SELECT s_suppkey, 'm' || s_suppkey AS mail, CASE WHEN s_suppkey % 5 = 0 THEN 'building' ELSE 'x' END AS name, lpad(CAST(s_suppkey % 7 AS VARCHAR), 2, '0') AS stamp FROM supplier),
+  m AS (SELECT c_custkey, s_suppkey, stamp FROM p JOIN a ON p.mail = a.mail AND p.mail <> '' UNION SELECT c_custkey, s_suppkey, stamp FROM p JOIN a ON p.name = a.name)
+  SELECT c_custkey AS contact_id, s_suppkey AS account_id FROM m QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY stamp DESC, s_suppkey) = 1""")
+def account_by_contact(spark, sf):
+    key = F.col("c_custkey")
+    contacts = table(spark, sf, "customer").select(key.alias("id"), F.when(key % 4 == 0, F.concat(F.lit("M"), key)).alias("email"), F.col("c_mktsegment").alias("name"))
+    accounts = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("m"), "s_suppkey").alias("email"), F.array(F.when(F.col("s_suppkey") % 5 == 0, "Building").otherwise("x")).alias("names"), F.lpad((F.col("s_suppkey") % 7).cast("string"), 2, "0").alias("updated"), F.lit(None).cast("string").alias("created"))
+    return records.account_by_contact(contacts, accounts)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 6 = 0 THEN 'error' WHEN p_partkey % 10 = 0 THEN 'unmatched conid' WHEN p_size % 6 = 1 THEN 'missing identity' END AS reason FROM part WHERE p_size % 6 IN (0, 1) OR p_partkey % 10 = 0""")
+def snapshot_identity(spark, sf):
+    part = table(spark, sf, "part")
+    wire = part.select("p_partkey", F.concat("p_partkey", F.lit("@X")).alias("conidEx"), F.when(F.col("p_size") % 6 != 1, F.col("p_name")).alias("55"), F.when(F.col("p_size") % 6 == 0, "late").alias("error"))
+    ids = part.where("p_partkey % 10 <> 0").select(F.col("p_partkey").cast("string").alias("conid"), F.col("p_name").alias("ticker"))
+    return quotes.identified(quotes.named_fields(wire), ids)[1].select("p_partkey", "reason")
+
+
+@query("""SELECT p_partkey, round(CASE WHEN p_size % 5 = 0 THEN NULL ELSE 1000 * (p_size / 10.0) / CAST(replace(printf('%.2f', p_retailprice), '.', '') AS DOUBLE) * 100 END, 8) AS parity, round(CASE WHEN p_size % 5 = 0 THEN NULL ELSE 100 * (p_size / 10.0) / CAST(printf('%.2f', p_retailprice) AS DOUBLE) END, 8) AS corrected FROM part""")
+def treasury_yields(spark, sf):
+    last = F.when(F.col("p_size") % 5 == 0, F.lit("0")).otherwise(F.format_string("%.2f", F.col("p_retailprice")))
+    rows = table(spark, sf, "part").select("p_partkey", (F.col("p_size") / 10).alias("Coupon"), last.alias("Last"))
+    both = quotes.bond_snapshot(rows, treasury=True).withColumnRenamed("Current Yield", "a").withColumn("b", bonds.treasury_yield(F.col("Coupon"), F.col("Last"), parity=False))
+    return both.select("p_partkey", r(F.col("a"), 8).alias("parity"), r(F.col("b"), 8).alias("corrected"))
+
+
 # --- documents ----------------------------------------------------------------------------------------------------------
 
 

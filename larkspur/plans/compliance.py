@@ -78,3 +78,11 @@ def matched_person(people: Column, first: Column, middle: Column, last: Column,
     same_mail = lambda p: (F.lower(F.trim(p["email"])) == F.lower(F.trim(email))) & (F.trim(email) != "")
     hits = F.filter(people, lambda p: F.coalesce(same_name(p), F.lit(False)) | F.coalesce(same_mail(p), F.lit(False)))
     return F.coalesce(F.get(hits, F.lit(0)), F.get(people, F.lit(0)))
+
+
+def to_screen(links: DataFrame, screened: DataFrame, today: Column, comparisons: list[DataFrame]) -> DataFrame:
+    """(contact_id) to screen: linked contacts not screened today; none if every list's comparison (one row each) finds it unchanged."""
+    unchanged = bool(comparisons) and all((row := c.first()) is not None and row["has_new"] and row["has_old"] and bool(row["is_same"]) for c in comparisons)
+    done = screened.where(F.try_to_timestamp(F.substring("created", 1, 8), F.lit("yyyyMMdd")).cast("date") == today).select("contact_id").distinct()
+    wanted = links.where("account_id is not null and contact_id is not null").select("contact_id").distinct().join(done, "contact_id", "left_anti")
+    return wanted.limit(0) if unchanged else wanted

@@ -109,6 +109,14 @@ def blobs(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(raw.tobytes())]).cast(pa.binary())
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending, by sorting (much faster on long arrays than by hashing)."""
+    if not len(values):
+        return values
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))]
+
+
 # --- hashing of byte strings ---------------------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240501)

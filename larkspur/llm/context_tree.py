@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BLOCK_BYTES, Words, block_count, blobs, column_bytes, in_blocks, long_column, mixed, runs_of, text_column, written
+from larkspur.llm.common import BLOCK_BYTES, Words, block_count, column_bytes, distinct, in_blocks, mixed, runs_of, text_column, written
 
 DEPTH, SPACE, END = 6, 0x20, 0x0A
 END_TOKEN = np.uint64(0x9D3F1C0B5A7E2468)
@@ -43,30 +43,41 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 class Stream:
-    """The byte stream of a run of texts: for each byte its key (nearest context byte first, the byte itself last) and its text; and its tokens."""
+    """The byte stream of a run of texts: the key of each byte (nearest context byte first, the byte itself last), the bytes of each text; and its tokens."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, depth: int):
         words = Words(data, offsets)
         n = words.n_texts
-        count = np.diff(words.bounds)
-        length = words.end - words.start
-        held = np.bincount(words.text, weights=length, minlength=n).astype(np.int64) + np.maximum(count, 1)  # with one byte after each word
-        at = np.concatenate(([0], np.cumsum(held + depth)))  # texts with depth end bytes before each
+        # word bytes, and the first byte after each word, which becomes a space (or the text's end byte)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        space = np.ones(len(data), bool)
+        start, end = np.zeros(len(data) + 1, np.int8), words.end[~edge[words.end]]
+        start[words.start] += 1
+        start[words.end] -= 1
+        np.logical_not(np.cumsum(start[:-1], dtype=np.int8), out=space)
+        taken = ~space
+        taken[end] = True
+        held = words.low[taken]
+        held[space[taken]] = SPACE
+        count = np.concatenate(([0], np.cumsum(taken)))[offsets]
+        length = np.diff(count)
+        cut = np.zeros(n, bool)  # the last byte taken is no word byte: the end byte comes in its place
+        some = length > 0
+        cut[some] = space[taken][count[1:][some] - 1]
+        length = length - cut + 1
+        at = np.concatenate(([0], np.cumsum(length + depth)))  # texts with depth end bytes before each
         out = np.full(at[-1], END, np.uint8)
-        before = np.concatenate(([0], np.cumsum(length + 1)))[:-1]
-        first = np.repeat(words.bounds[:-1], count)
-        to = at[words.text] + depth + before - before[first] if len(length) else before
-        source = np.repeat(words.start - np.concatenate(([0], np.cumsum(length)))[:-1], length) + np.arange(length.sum())
-        out[np.repeat(to - np.concatenate(([0], np.cumsum(length)))[:-1], length) + np.arange(length.sum())] = words.low[source]
-        inner = np.ones(len(length), bool)
-        inner[words.bounds[1:][count > 0] - 1] = False
-        out[(to + length)[inner]] = SPACE
-        self.text = np.repeat(np.arange(n), held)
-        place = np.repeat(at[:-1] + depth - np.concatenate(([0], np.cumsum(held)))[:-1], held) + np.arange(held.sum())
-        key = out[place].astype(np.uint64)
+        out[np.arange(len(held)) + np.repeat(at[:-1] + depth - count[:-1], np.diff(count))] = held
+        out[at[1:] - 1] = END
+        wide = out.astype(np.uint64)
+        key = wide[depth:].copy()
         for back in range(1, depth + 1):
-            key |= out[place - back].astype(np.uint64) << np.uint64(8 * (depth - back + 1))
-        self.key = key
+            key |= wide[depth - back : len(wide) - back] << np.uint64(8 * (depth - back + 1))
+        inner = np.ones(len(out), bool)
+        inner[(at[:-1, None] + np.arange(depth)).reshape(-1)] = False
+        self.key = key[inner[depth:]]
+        self.length = length
         self.word = np.concatenate((words.hash, np.full(n, END_TOKEN)))
         self.word_text = np.concatenate((words.text, np.arange(n)))
 
@@ -145,28 +156,27 @@ class Nodes:
         return (np.where(bit, self.ones[at], self.zeros[at]) + 0.5) / (self.zeros[at] + self.ones[at] + 1.0)
 
 
-def context_nodes(keys: np.ndarray, counts: np.ndarray, depth: int, least: int) -> dict[tuple[int, int], Nodes]:
-    """Nodes of depths least..depth of one bucket, from its ascending keys and their counts."""
-    out: dict[tuple[int, int], Nodes] = {}
-    for bit in range(8):
-        below = None
-        for d in range(depth, least - 1, -1):
-            # a node at depth d: the d nearest context bytes, then the bits of the byte above `bit`
-            context = keys >> np.uint64(8 * (depth - d + 1))
-            symbol = keys & np.uint64(255)
-            node = (context << np.uint64(8)) | (symbol >> np.uint64(bit + 1))
-            one = (symbol >> np.uint64(bit)) & np.uint64(1)
-            if d == depth:
-                ids, group = group_sorted(node)
-            else:
-                ids, group = np.unique(node, return_inverse=True)
-            total = np.bincount(group, weights=counts, minlength=len(ids)).astype(np.int64)
-            ones = np.bincount(group, weights=counts * one.astype(np.int64), minlength=len(ids)).astype(np.int64)
-            sums = None
-            if below is not None:
-                parent = ((below.keys >> np.uint64(16)) << np.uint64(8)) | (below.keys & np.uint64(255))
-                sums = np.bincount(np.searchsorted(ids, parent), weights=below.weight, minlength=len(ids))
-            below = out[d, bit] = Nodes(ids, total - ones, ones, sums)
+def context_nodes(keys: np.ndarray, counts: np.ndarray, depth: int, least: int, bit: int) -> dict[int, Nodes]:
+    """Nodes of one bit at depths least..depth of one bucket, from its ascending keys and their counts. One bit at a time: all eight would be eight times the memory."""
+    out: dict[int, Nodes] = {}
+    below = None
+    for d in range(depth, least - 1, -1):
+        # a node at depth d: the d nearest context bytes, then the bits of the byte above `bit`
+        context = keys >> np.uint64(8 * (depth - d + 1))
+        symbol = keys & np.uint64(255)
+        node = (context << np.uint64(8)) | (symbol >> np.uint64(bit + 1))
+        one = (symbol >> np.uint64(bit)) & np.uint64(1)
+        if d == depth:
+            ids, group = group_sorted(node)
+        else:
+            ids, group = np.unique(node, return_inverse=True)
+        total = np.bincount(group, weights=counts, minlength=len(ids)).astype(np.int64)
+        ones = np.bincount(group, weights=counts * one.astype(np.int64), minlength=len(ids)).astype(np.int64)
+        sums = None
+        if below is not None:
+            parent = ((below.keys >> np.uint64(16)) << np.uint64(8)) | (below.keys & np.uint64(255))
+            sums = np.bincount(np.searchsorted(ids, parent), weights=below.weight, minlength=len(ids))
+        below = out[d] = Nodes(ids, total - ones, ones, sums)
     return out
 
 
@@ -175,18 +185,19 @@ def group_sorted(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[new], np.cumsum(new) - 1
 
 
-def predicted(nodes: dict[tuple[int, int], Nodes], top: dict[tuple[int, int], Nodes], keys: np.ndarray, depth: int) -> np.ndarray:
-    """log10 probability of each key's byte in its context."""
-    total = np.zeros(len(keys))
-    symbol = keys & np.uint64(255)
+def predicted(keys: np.ndarray, counts: np.ndarray, top: dict[tuple[int, int], Nodes], asked: np.ndarray, depth: int) -> np.ndarray:
+    """log10 probability of each asked key's byte in its context, by a bucket's keys and counts and the nodes of depths 0 and 1."""
+    total = np.zeros(len(asked))
+    symbol = asked & np.uint64(255)
     for bit in range(8):
+        nodes = context_nodes(keys, counts, depth, 2, bit)
         one = ((symbol >> np.uint64(bit)) & np.uint64(1)).astype(bool)
-        chance, seen = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
+        chance, seen = np.full(len(asked), 0.5), np.zeros(len(asked), bool)
         for d in range(depth, -1, -1):
-            level = (nodes if d >= 2 else top).get((d, bit))
+            level = nodes.get(d) if d >= 2 else top.get((d, bit))
             if level is None or not len(level.keys):
                 continue
-            ask = ((keys >> np.uint64(8 * (depth - d + 1))) << np.uint64(8)) | (symbol >> np.uint64(bit + 1))
+            ask = ((asked >> np.uint64(8 * (depth - d + 1))) << np.uint64(8)) | (symbol >> np.uint64(bit + 1))
             at = np.minimum(np.searchsorted(level.keys, ask), len(level.keys) - 1)
             here = level.keys[at] == ask
             own = level.estimate(at, one)
@@ -256,9 +267,8 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, block_bytes
                 if bucket >= buckets:
                     yield root_batch([-1], [0], [len(keys)], [int(counts.sum())], [0.0])
                     continue
-                nodes = context_nodes(keys, counts, depth, 2)
                 for bit in range(8):
-                    level = nodes[2, bit]
+                    level = context_nodes(keys, counts, depth, 2, bit)[2]
                     ids, group = np.unique(((level.keys >> np.uint64(16)) << np.uint64(8)) | (level.keys & np.uint64(255)), return_inverse=True)
                     yield root_batch(np.full(len(ids), bit), ids.astype(np.int64), *(np.bincount(group, weights=x, minlength=len(ids)) for x in (level.zeros, level.ones, level.weight)))
 
@@ -266,7 +276,7 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, block_bytes
         return pa.record_batch([pa.array(np.asarray(x).astype(t)) for x, t in ((bit, np.int32), (key, np.int64), (zeros, np.int64), (ones, np.int64), (below, np.float64))], names=["bit", "key", "zeros", "ones", "below"])
 
     sums = model.mapInArrow(roots, "bit int, key long, zeros long, ones long, below double").groupBy("bit", "key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).collect()  # 8 * 65,280 rows at most
-    distinct, tokens = next(((r["zeros"], r["ones"]) for r in sums if r["bit"] == -1), (0, 0))
+    vocabulary, tokens = next(((r["zeros"], r["ones"]) for r in sums if r["bit"] == -1), (0, 0))
     top = spark.sparkContext.broadcast(top_nodes([tuple(r) for r in sums if r["bit"] >= 0]))
 
     blocked = in_blocks(plain, n)
@@ -282,15 +292,15 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, block_bytes
         bucket = asked.column("bucket")[0].as_py()
         asks = [unpacked(x.as_buffer()) for x in asked.column("a")]
         keys, counts = (unpacked(known.column("a")[0].as_buffer()), counts_of(known.column("b")[0].as_buffer())) if known.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        wanted = np.unique(np.concatenate(asks))
+        wanted = distinct(np.concatenate(asks))
         if bucket >= buckets:
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
             values = np.where(keys[at] == wanted, counts[at], 0).astype(np.float64) if len(keys) else np.zeros(len(wanted))
         else:
-            values = predicted(context_nodes(keys, counts, depth, 2), top.value, wanted, depth).astype(np.float32)
+            values = predicted(keys, counts, top.value, wanted, depth).astype(np.float32)
         return parts_table([(bucket, block, values[np.searchsorted(wanted, ask)].tobytes(), None) for block, ask in zip(asked.column("block").to_pylist(), asks, strict=True)])
 
-    base = math.log10(tokens + distinct + 1)  # N + 1 * (V + 1)
+    base = math.log10(tokens + vocabulary + 1)  # N + 1 * (V + 1)
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -304,12 +314,14 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, block_bytes
             out[order] = np.concatenate(parts) if parts else np.zeros(0)
             values.append(out)
         columns = []
-        for stream, (unique, inverse), (unique_words, inverse_words) in streams(True):
-            m = stream.n
-            per_byte = values[0][np.searchsorted(keys, unique)][inverse]
-            c = values[1][np.searchsorted(words, unique_words)][inverse_words]
+        for stream, m in streams():
+            text = np.repeat(np.arange(m, dtype=np.int32), stream.length)
             add = lambda which, w=None, m=m: np.bincount(which, weights=w, minlength=m)
-            columns.append([add(stream.word_text), add(stream.word_text, c > 0), add(stream.word_text, np.log10(c + 1) - base), add(stream.text, per_byte), add(stream.text)])
+            order = np.argsort(stream.key)
+            per_byte = values[0][np.searchsorted(keys, stream.key[order])]
+            place = np.argsort(stream.word)
+            c, of = values[1][np.searchsorted(words, stream.word[place])], stream.word_text[place]
+            columns.append([add(of), add(of, c > 0), add(of, np.log10(c + 1) - base), add(text[order], per_byte), stream.length])
         n_tokens, n_known, base_score, total, length = (np.concatenate(x) for x in zip(*columns, strict=True))
         return pa.table({"doc_id": rows.column("doc_id"), "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "train_tokens": np.full(len(total), tokens), "base_score": base_score, "score": total, "bits_per_byte": -total / math.log10(2) / length})
 
@@ -320,20 +332,18 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, block_bytes
 
 
 def distinct_keys(rows: pa.Table, depth: int):
-    """The distinct keys and words of a block, and its runs of texts again with the place of each key."""
+    """The distinct keys and words of a block, and its runs of texts again."""
     data, offsets = column_bytes(rows.column("text"))
 
-    def streams(inverse: bool):
+    def streams():
         for i, j in runs_of(offsets, RUN_BYTES):
-            stream = Stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], depth)
-            stream.n = j - i
-            yield stream, np.unique(stream.key, return_inverse=inverse), np.unique(stream.word, return_inverse=inverse)
+            yield Stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], depth), j - i
 
     keys, words = [], []
-    for _, k, w in streams(False):
-        keys.append(k)
-        words.append(w)
-    merged = lambda parts: np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    for stream, _ in streams():
+        keys.append(distinct(stream.key))
+        words.append(distinct(stream.word))
+    merged = lambda parts: distinct(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
     return merged(keys), merged(words), streams
 
 

@@ -102,15 +102,14 @@ def test_probabilities_sum_to_one(spark, prose):
     import numpy as np
 
     keys, counts = np.unique(context_tree.Stream(np.frombuffer(prose(300, 1).encode(), np.uint8), np.array([0, len(prose(300, 1).encode())]), 6).key, return_counts=True)
-    nodes = context_tree.context_nodes(keys, counts, 6, 2)
     rows = []
     for bit in range(8):
-        level = nodes[2, bit]
+        level = context_tree.context_nodes(keys, counts, 6, 2, bit)[2]
         ids, group = np.unique(((level.keys >> np.uint64(16)) << np.uint64(8)) | (level.keys & np.uint64(255)), return_inverse=True)
         rows += [(bit, int(i), int(z), int(o), float(w)) for i, z, o, w in zip(ids, *(np.bincount(group, weights=x) for x in (level.zeros, level.ones, level.weight)), strict=True)]
     context = keys[len(keys) // 2] & ~np.uint64(255)
     asked = np.sort(context | np.arange(256, dtype=np.uint64))
-    assert (10 ** context_tree.predicted(nodes, context_tree.top_nodes(rows), asked, 6)).sum() == pytest.approx(1)
+    assert (10 ** context_tree.predicted(keys, counts, context_tree.top_nodes(rows), asked, 6)).sum() == pytest.approx(1)
 
 
 def test_odd_rows(odd, empty):

@@ -1,6 +1,6 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-Two classifiers (high quality, toxic) over words and shapes of a text are fitted on a bounded sample of labelled rows.
+Two classifiers (high quality, toxic) over words, beginnings of words and shapes of a text are fitted on a bounded sample of labelled rows.
 Their evidence is then shrunk through the place a document comes from: every host has a Beta prior around the global
 rate, every path of a host one around the host's rate, with strengths estimated from the spread of the rates (method of
 moments). Rates are soft counts over all documents: grouped sums, combined before the shuffle, so that a host with a
@@ -19,19 +19,23 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import BYTE_VALUES, unused, written
+from larkspur.llm.common import unused, written
 
 #: Bounds of the fit: labelled rows, bytes of each, hashed features seen, features kept.
 SAMPLE_ROWS, SAMPLE_BYTES, WIDTH, KEPT = 12_000, 64_000, 1 << 18, 1500
 LEAST_STRENGTH, MOST_STRENGTH = 5.0, 10_000.0
+#: Lengths of the beginnings of words that are features too.
+STEMS = (4, 5)
 _WORD = re.compile(r"\w+")
-_MARKS = re.compile(r"[^\w\s]{2,}|\|")
+#: Kinds of the characters below 2**16: 1 capital, 2 letter, 4 part of a word, 8 blank.
+_KINDS = np.array([c.isupper() + 2 * c.isalpha() + 4 * (c.isalnum() or c == "_") + 8 * c.isspace() for c in map(chr, range(1 << 16))], np.uint8)
 
 
 def shape_features(text: str, words: list[str]) -> list[str]:
@@ -39,10 +43,11 @@ def shape_features(text: str, words: list[str]) -> list[str]:
     n = max(1, len(text))
     raw = text.split()
     lines = [x for x in text.split("\n") if x.strip()]
-    capitals = sum(map(str.isupper, text)) / n
-    marks = sum(map(len, _MARKS.findall(text))) / n
+    kinds = _KINDS[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF)]
+    capitals, plain = np.count_nonzero(kinds & 1) / n, np.count_nonzero(kinds & 2) / n
+    odd = np.concatenate(([False], (kinds & 12) == 0, [False]))
+    marks = (np.count_nonzero(odd[1:-1] & (odd[:-2] | odd[2:])) + text.count("|")) / n  # in runs of two or more
     distinct = len(set(raw)) / max(1, len(raw))
-    plain = sum(map(str.isalpha, text)) / n
     step = lambda x, k: int(x * k)
     return [
         f"#capitals {step(capitals, 8)}",
@@ -58,24 +63,9 @@ def shape_features(text: str, words: list[str]) -> list[str]:
 def feature_ids(text: str) -> np.ndarray:
     """Distinct hashed features of a text."""
     words = _WORD.findall(text.lower())
-    names = {*words, *shape_features(text, words)}
-    return np.unique(np.fromiter((feature_hash(x) for x in names), np.int64, len(names)))
-
-
-_HASHES: dict[str, int] = {}
-
-
-def feature_hash(name: str) -> int:
-    got = _HASHES.get(name)
-    if got is None:
-        raw = np.frombuffer(name.encode(), np.uint8)
-        h = int((BYTE_VALUES[raw] * (np.arange(len(raw), dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum(dtype=np.uint64)) if len(raw) else 0
-        h ^= h >> 29
-        got = (h * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 46
-        if len(_HASHES) > 300_000:
-            _HASHES.clear()
-        _HASHES[name] = got
-    return got
+    distinct = set(words)
+    names = {*distinct, *shape_features(text, words), *(w[:n] + "~" for n in STEMS for w in distinct if len(w) > n)}
+    return np.array(sorted({crc32(x.encode()) >> 14 for x in names}), np.int64)  # below WIDTH
 
 
 def fitted(features: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:

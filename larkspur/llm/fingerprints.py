@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAM, WINDOW = 16, 16  # WINDOW: a power of two
+GRAM, WINDOW = 16, 16  # WINDOW: a power of four
 DOCUMENTS_A_BIN, MOST_BINS = 2500, 20_000
 
 
@@ -29,8 +29,8 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def selected(text: Column) -> Column:
-    """Selected hashes with places, in order of place: hash * 2**32 + 2**32 - 1 - place."""
+def selected(raw: Column) -> Column:
+    """Selected hashes with places of a binary value, in order of place: hash * 2**32 + 2**32 - 1 - place."""
 
     def places(raw: Column) -> Column:
         hashes = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - (GRAM - 1), F.lit(1))), lambda i: F.shiftleft(F.xxhash64(F.substring(raw, i, F.lit(GRAM))).bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.lit(0x100000000) - i))
@@ -39,10 +39,17 @@ def selected(text: Column) -> Column:
     def minima(h: Column, reach: int) -> Column:
         if reach == WINDOW:
             return h
-        return let(F.transform(h, lambda x, i: F.least(x, F.get(h, i + reach))), lambda m: minima(m, reach * 2))
+        return let(F.transform(h, lambda x, i: F.least(x, *[F.get(h, i + reach * k) for k in (1, 2, 3)])), lambda m: minima(m, reach * 4))
 
-    chosen = F.array_distinct(let(text.cast("binary"), places))
-    return F.when(F.length(text) > 0, chosen).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.octet_length(raw) > 0, F.array_distinct(let(raw, places))).otherwise(F.array().cast("array<bigint>"))
+
+
+def selected_after(chosen: Column, kept: Column, edited: Column) -> Column:
+    """Selected of an edited text whose first `kept` bytes are those of a text with `chosen`: windows inside them are not computed again."""
+    whole = F.greatest(kept - (GRAM + WINDOW - 2), F.lit(0))  # windows that lie inside the kept bytes
+    start = F.greatest(whole - (WINDOW - 1), F.lit(0))  # the first window that reaches a place behind them
+    tail = F.transform(selected(F.substring(edited, start + 1, F.octet_length(edited))), lambda v: v - start)
+    return F.array_distinct(F.concat(F.filter(chosen, lambda v: F.lit(0xFFFFFFFF) - v.bitwiseAND(F.lit(0xFFFFFFFF)) < whole), tail))
 
 
 def hashes(chosen: Column) -> Column:
@@ -71,7 +78,7 @@ def beside_next(docs: DataFrame) -> DataFrame:
     guests = [(high[0], low[1]) for low, high in zip(tops[:-1], tops[1:], strict=True)] + ([(tops[0][0], tops[-1][1])] if tops else [])
     guest_rows = plain.join(F.broadcast(spark.createDataFrame(guests, "bin int, guest long")), F.col("doc_id") == F.col("guest"))
     rows = placed.withColumn("late", F.lit(0)).unionByName(guest_rows.select("doc_id", "text", "bin", F.lit(1).alias("late"))).repartition("bin")
-    chosen = rows.withColumn("chosen", selected(F.col("text")))
+    chosen = rows.withColumn("chosen", selected(F.col("text").cast("binary")))
     order = Window.partitionBy("bin").orderBy("late", F.desc_nulls_last("doc_id"), "text")
     known = F.col("doc_id").isNotNull()
     return chosen.withColumn("next_text", F.when(known, F.lead("text").over(order))).withColumn("next_chosen", F.when(known, F.lead("chosen").over(order))).where("late = 0").drop("late", "bin")
@@ -80,16 +87,21 @@ def beside_next(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_chars and positions (hash, place) of its fingerprint."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return plain.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), selected(F.col("text")).alias("chosen")).select("doc_id", "n_chars", F.transform("chosen", lambda v: F.struct(F.shiftright(v, 32).alias("hash"), (F.lit(0xFFFFFFFF) - v.bitwiseAND(F.lit(0xFFFFFFFF))).alias("place"))).alias("positions"))
+    return plain.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), selected(F.col("text").cast("binary")).alias("chosen")).select("doc_id", "n_chars", F.transform("chosen", lambda v: F.struct(F.shiftright(v, 32).alias("hash"), (F.lit(0xFFFFFFFF) - v.bitwiseAND(F.lit(0xFFFFFFFF))).alias("place"))).alias("positions"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns: the fingerprint, that of the edited text (last third replaced by the start of the next document), and likenesses."""
     rows = beside_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
+    kept = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third)
     own = hashes(F.col("chosen"))
-    of_edited = let(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), let(selected(e), lambda c: F.struct(written_out(c).alias("print"), likeness(own, hashes(c)).alias("near"))).alias("own")))
+
+    def of(kept: Column) -> Column:
+        edited = F.concat(kept, F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third)).cast("binary")
+        return let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), let(selected_after(F.col("chosen"), F.octet_length(kept), e), lambda c: F.struct(written_out(c).alias("print"), likeness(own, hashes(c)).alias("near"))).alias("own")))
+
+    of_edited = let(kept, of)
     rows = rows.withColumn("edited", of_edited)
     return rows.select(
         "doc_id", "n_chars", F.col("edited.sha").alias("edited_sha256"), written_out(F.col("chosen")).alias("fingerprint"), F.col("edited.own.print").alias("edited_fingerprint"),

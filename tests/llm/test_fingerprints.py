@@ -56,6 +56,12 @@ def test_query(spark, prose, monkeypatch):
         if a is not None:
             assert abs(got[d]["near_edited"] - (len(a & b) / len(a | b) if a | b else 1)) < 1e-9
         assert 0 <= got[d]["near_next"] <= 1
+    for d in [d for d in ids if len(texts[d] or "") > 120][:6]:
+        i = ids.index(d)
+        own, after = texts[d], texts[ids[(i + 1) % len(ids)]] or ""
+        edited = own[: len(own) - len(own) // 3] + after[: len(own) // 3]
+        assert got[d]["edited_fingerprint"] == " ".join(f"{h:X}.{p:X}" for h, p in plain(spark, edited))
+        assert got[d]["fingerprint"] == " ".join(f"{h:X}.{p:X}" for h, p in plain(spark, own))
     same = {r["fingerprint"] for r in got.values() if texts[r["doc_id"]] == "same text here"}
     assert len(same) == 1
 

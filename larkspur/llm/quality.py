@@ -73,7 +73,7 @@ def fitted(features: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray,
     if len(set(labels.tolist())) < 2:
         return None
     y = labels.astype(np.float64)
-    owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
+    owner = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
     ids = np.concatenate(features)
     n, n1 = len(y), y.sum()
     count = np.bincount(ids, minlength=WIDTH).astype(np.float64)
@@ -85,7 +85,7 @@ def fitted(features: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray,
     kept = kept[score[kept] > 10.8]  # one chance in a thousand
     if not len(kept):
         return kept, np.zeros(0), math.log(n1 / (n - n1))
-    place = np.full(WIDTH, -1)
+    place = np.full(WIDTH, -1, np.int32)
     place[kept] = np.arange(len(kept))
     use = place[ids] >= 0
     x = np.zeros((n, len(kept) + 1), np.float32)
@@ -95,9 +95,12 @@ def fitted(features: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray,
     weight[-1] = math.log(n1 / (n - n1))
     ridge = np.append(np.full(len(kept), 0.3), 1e-6)
     for _ in range(12):  # Newton steps
-        p = 1 / (1 + np.exp(-np.clip(x @ weight, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * weight
-        curve = (x.T * (p * (1 - p) + 1e-6).astype(np.float32)) @ x + np.diag(ridge)
+        p = 1 / (1 + np.exp(-np.clip((x @ weight.astype(np.float32)).astype(np.float64), -30, 30)))
+        gradient = x.T @ (p - y).astype(np.float32) + ridge * weight  # float64 on one side would copy x
+        curve = np.diag(ridge)
+        for i in range(0, n, 500):  # in parts: a weighted copy of x would be as large as x
+            part = x[i : i + 500]
+            curve += (part.T * (p[i : i + 500] * (1 - p[i : i + 500]) + 1e-6).astype(np.float32)) @ part
         step = np.linalg.solve(curve.astype(np.float64), gradient)
         weight -= np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-4:

@@ -40,9 +40,8 @@ def report_timestamp(c: Column) -> Column:
     zoned = text.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$") & text.contains(":")
     with_zone = F.to_utc_timestamp(F.when(zoned, text).try_cast("timestamp"), "UTC").cast("timestamp_ntz")
     plain = F.when(~zoned, text)
-    formats = [F.expr("try_to_timestamp(x, f)") for _ in ()]  # none needed beyond the casts below
     parsed = [F.try_to_timestamp(plain, F.lit(f)).cast("timestamp_ntz") for f in REPORT_FORMATS]
-    return F.coalesce(with_zone, plain.try_cast("timestamp_ntz"), *parsed, *formats)
+    return F.coalesce(with_zone, plain.try_cast("timestamp_ntz"), *parsed)
 
 
 def last_digits(name: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import gram_hashes
 
 SAMPLE_TEXTS, SAMPLE_BYTES, ROUNDS, SMOOTHING = 1500, 64_000, 4, 0.1
-WORD_BYTES, PIECE_BYTES, HELD_WORDS = 32, 16, 200_000
+WORD_BYTES, PIECE_BYTES, HELD_WORDS, LIKELY_BITS = 32, 16, 200_000, 18
 MARK = "▁"
 
 
@@ -46,7 +46,9 @@ class Vocabulary:
         self.size, self.tables = 0, {}
         for length, pieces in sorted(by_length.items()):
             hashes = np.sort(gram_hashes(np.frombuffer(b"".join(pieces), np.uint8), length)[::length])
-            self.tables[length] = (hashes, self.size)
+            likely = np.zeros(1 << LIKELY_BITS, bool)  # the upper bits of the hashes that there are: most others need no search
+            likely[hashes >> np.uint64(64 - LIKELY_BITS)] = True
+            self.tables[length] = (hashes, self.size, likely)
             self.size += len(pieces)
 
     def places(self, words: list[bytes]) -> Places:
@@ -64,11 +66,14 @@ class Places:
         data = np.frombuffer(b"".join(words), np.uint8)
         word = np.repeat(np.arange(len(words)), lengths)
         self.found = {}
-        for length, (hashes, first) in vocabulary.tables.items():
+        room = self.ends[word] - np.arange(len(data))
+        for length, (hashes, first, likely) in vocabulary.tables.items():
             h = gram_hashes(data, length)
+            start = np.flatnonzero(likely[h >> np.uint64(64 - LIKELY_BITS)] & (room[: len(h)] >= length))
+            h = h[start]
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            start = np.flatnonzero((hashes[at] == h) & (np.arange(len(h)) + length <= self.ends[word[: len(h)]]))
-            self.found[length] = (start, first + at[start])
+            same = hashes[at] == h
+            self.found[length] = (start[same], first + at[same])
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """For each byte and piece length (1..PIECE_BYTES) the piece that begins there, or -1."""

@@ -575,6 +575,13 @@ def ocr_text_score(spark, sf):
     return ascii_only.select("doc_id", ocr.assessed(F.col("text"), F.lit(None).cast("double"), F.lit(1), none, none, none).alias("a")).select("doc_id", r(F.col("a.score")).alias("score"), "a.status")
 
 
+@query()
+def ocr_text_score_all(spark, sf):
+    """Texts in any script; SQL cannot state printable characters: held against a plain loop in tests."""
+    none = F.lit(0)
+    return table(spark, sf, "documents").select("doc_id", ocr.assessed(F.col("text"), F.lit(None).cast("double"), F.lit(1), none, none, none).alias("a")).select("doc_id", r(F.col("a.score")).alias("score"), "a.status")
+
+
 @query("""SELECT sha1(text) AS digest, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_groups(spark, sf):
     return snapshots.duplicate_groups(table(spark, sf, "documents").where("text is not null"), F.col("text"), "doc_id")

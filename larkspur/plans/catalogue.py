@@ -613,6 +613,15 @@ def line_frequency_mode(spark, sf):
     return kept.groupBy(F.lower(plain).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
+@query()
+def line_frequency_all(spark, sf):
+    """Lines in any script, lower-cased by Spark's rules: held against a plain loop in tests."""
+    lines = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    plain = F.trim("line")
+    kept = lines.where((plain != "") & (F.length(plain) <= 120) & ~F.col("line").rlike("[0-9=]"))
+    return kept.groupBy(F.lower(plain).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
+
+
 @query()
 def greedy_pack(spark, sf):
     """A sequential fold: held against a plain loop in tests."""

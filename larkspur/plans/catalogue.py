@@ -202,6 +202,16 @@ def normalised_name_match(spark, sf):
     return joins.name_hits(people, "c_custkey", [text.normalized_name(F.col("c_mktsegment"))], listed, "s_suppkey", F.col("keys"), "list").withColumn("hits", F.array_join(F.col("hits").cast("array<string>"), ","))
 
 
+@query("""WITH v AS (SELECT c_custkey, lower(regexp_replace(c_name, '[^A-Za-z0-9 ]+', ' ', 'g')) AS k FROM customer), l AS (SELECT s_suppkey, 'customer ' || substr(s_name, 10) AS k FROM supplier)
+  SELECT c_custkey, 'list' AS source, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS hits FROM v JOIN l USING (k) GROUP BY c_custkey""")
+def normalised_name_match_all(spark, sf):
+    """The whole list; aliases vary with the supplier, so that a name's hits stay few at any scale."""
+    people = table(spark, sf, "customer").select("c_custkey", "c_name")
+    aliases = F.array(F.col("s_name"), F.concat(F.lit("CUSTOMER  "), F.substring_index("s_name", "#", -1)))
+    listed = table(spark, sf, "supplier").select("s_suppkey", F.transform(aliases, lambda a: text.normalized_name(a)).alias("keys"))
+    return joins.name_hits(people, "c_custkey", [text.normalized_name(F.col("c_name"))], listed, "s_suppkey", F.col("keys"), "list").withColumn("hits", F.array_join(F.col("hits").cast("array<string>"), ","))
+
+
 @query("""SELECT w AS word, count(DISTINCT p_partkey) AS parts, min(p_partkey) AS first FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part) WHERE w <> '' GROUP BY w""")
 def alias_explode_match(spark, sf):
     words = table(spark, sf, "part").select("p_partkey", F.explode(F.split(text.normalized_name(F.col("p_name")), " ")).alias("word"))

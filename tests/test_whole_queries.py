@@ -38,3 +38,9 @@ def test_lines_in_any_script(spark, tmp_path):
     want = {k: (n, first[k]) for k, n in count.items() if n > 1}
     assert want["été à zürich"] == (2, 10**6)
     assert {r["key"]: (r["n"], r["first"]) for r in catalogue.QUERIES["line_frequency_all"](spark, str(tmp_path)).collect()} == want
+
+
+def test_the_whole_list_is_matched(spark, tmp_path):
+    spark.createDataFrame([(i, f"Customer#{i:09d}") for i in range(100)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, f"Supplier#{i:09d}") for i in range(60)], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert {r["c_custkey"]: r["hits"] for r in catalogue.QUERIES["normalised_name_match_all"](spark, str(tmp_path)).collect()} == {i: str(i) for i in range(60)}

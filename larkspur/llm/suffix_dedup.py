@@ -8,8 +8,9 @@ A byte is removed if a string of ``least`` bytes that covers it also starts in a
 2. A run's whole string (a segment) that occurs in several documents is settled at once: all but the first lose it.
 3. Different segments with the same anchor are compared byte by byte: shards of them get a Burrows-Wheeler transform
    each, and the transforms are merged by refining their interleave ``least`` times. After round h the interleave is
-   sorted by the first h bytes and its block borders are where common prefixes end below h, so that after the last round
-   the blocks are the repeated intervals. Suffixes are sorted once, within their shard, and never again.
+   sorted by the first h bytes and has a border where a common prefix is shorter than h; the round in which a border
+   comes gives the common prefix of the suffixes beside it. After the last round the stretches whose common prefixes
+   reach ``least`` are the repeated intervals. Suffixes are sorted once, within their shard, and never again.
 4. The windows found are sent back to their blocks of documents, which remove the bytes.
 
 No group grows with a hot text: a block sends one entry per distinct segment, however many of its documents hold it.
@@ -26,16 +27,17 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from larkspur.llm.common import BASE, BLOCK_BYTES, BYTE_VALUES, block_count, blobs, column_bytes, gram_hashes, in_blocks, long_column, mixed, power_table, runs_of, text_column, unused, window_minima, written
+from larkspur.llm.common import BASE, BLOCK_BYTES, BYTE_VALUES, block_count, blobs, column_bytes, gram_hashes, in_blocks, long_column, mixed, power_table, runs_of, text_column, window_minima, written
 
 LEAST, ANCHOR, SHARDS, RUN_BYTES = 50, 20, 4, 1_000_000
 #: Blocks whose anchors meet in one bucket of the shuffle.
 BLOCKS_A_BUCKET = 2
 MESSAGE = "block int, kind int, a binary, b binary"
-RESULT = "doc_id long, row long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
 class Block:
@@ -43,7 +45,7 @@ class Block:
 
     def __init__(self, docs: pa.Table, copies: np.ndarray, least: int, anchor: int, only: np.ndarray | None = None):
         docs = docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.ids, self.rows = long_column(docs.column("doc_id")), docs.column("row")
+        self.ids, self.rest = long_column(docs.column("doc_id")), docs.column("rest") if "rest" in docs.column_names else None
         self.data, self.offsets = column_bytes(docs.column("text"))
         self.copy = np.isin(self.ids, copies)
         parts = []
@@ -101,12 +103,15 @@ def message_parts(messages: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return unpack(copies.column("a"), np.int64), np.unique(unpack(anchors.column("a"), np.uint64)), runs
 
 
-def duplicate_bytes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, whole_characters: bool = False) -> DataFrame:
-    """Per row of docs: doc_id, row (hash of id and text), n_bytes, n_removed, the removed spans (byte offsets) and the bytes kept. whole_characters: one that loses a byte goes whole."""
-    plain = text_column(docs)
+def duplicate_bytes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, whole_characters: bool = False, rest: Column | None = None) -> DataFrame:
+    """Per row of docs: doc_id, n_bytes, n_removed, the removed spans (byte offsets) and the bytes kept. whole_characters: one that loses a byte goes whole. rest: a struct that travels with the row."""
+    plain = text_column(docs if rest is None else docs.select("doc_id", "text", rest.alias("rest")), *([] if rest is None else ["rest"]))
     n = block_count(plain, block_bytes)
     buckets = max(1, math.ceil(n / BLOCKS_A_BUCKET))
-    blocked = in_blocks(plain.withColumn("row", F.xxhash64("doc_id", "text")), n)
+    blocked = in_blocks(plain, n)
+    result = StructType.fromDDL(RESULT)
+    if rest is not None:
+        result = result.add(plain.schema["rest"])
 
     # Whole copies, found by text digest, need no comparison: only their ids travel.
     ids = blocked.select("block", "doc_id", F.md5("text").alias("digest")).where(F.octet_length("text") >= least)
@@ -170,7 +175,7 @@ def duplicate_bytes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, b
     known = copy_messages.unionByName(repeats)
     candidates = by_block.cogroup(known.groupBy("block")).applyInArrow(segments, dealt_schema)
     found = candidates.groupBy("bucket").applyInArrow(compared, MESSAGE)
-    return by_block.cogroup(known.unionByName(found).groupBy("block")).applyInArrow(removed, RESULT)
+    return by_block.cogroup(known.unionByName(found).groupBy("block")).applyInArrow(removed, result)
 
 
 def little_endian(column: str):
@@ -242,7 +247,8 @@ def without(held: Block, runs: np.ndarray, least: int, whole_characters: bool) -
     kept = held.data[~gone]
     spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(lengths) + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(starts - held.offsets[owner], pa.int64()), pa.array(ends - held.offsets[owner], pa.int64())], ["start", "end"]))
     ids = pa.array(held.ids, mask=held.ids == np.iinfo(np.int64).min)
-    return pa.table({"doc_id": ids, "row": held.rows, "n_bytes": pa.array(lengths), "n_removed": pa.array(lost_bytes), "spans": spans, "kept": blobs(kept, np.concatenate(([0], np.cumsum(lengths - lost_bytes))))})
+    columns = {"doc_id": ids, "n_bytes": pa.array(lengths), "n_removed": pa.array(lost_bytes), "spans": spans, "kept": blobs(kept, np.concatenate(([0], np.cumsum(lengths - lost_bytes))))}
+    return pa.table(columns if held.rest is None else columns | {"rest": held.rest})
 
 
 def repeated_windows(keys: np.ndarray, doc: np.ndarray, length: np.ndarray, data: np.ndarray, least: int, anchor: int) -> np.ndarray:
@@ -339,12 +345,15 @@ def merged_transforms(strings: list[np.ndarray], doc: np.ndarray, least: int, sh
     source = np.repeat(np.arange(len(held), dtype=np.uint8), [len(s.suffix) for s in held])
     block = np.zeros(len(source), np.int32)
     symbol = np.empty(len(source), np.uint8)
-    for _ in range(least):
+    common = np.full(len(source), least, np.uint8)  # bytes in common with the suffix before, up to `least`: the round before its border came
+    common[:1] = 0
+    for done in range(least):
         for s, shard in enumerate(held):
             symbol[source == s] = shard.transform
         order = np.argsort(symbol, kind="stable")
         source, sym, b = source[order], symbol[order], block[order]
         new = (sym[1:] != sym[:-1]) | ((b[1:] != b[:-1]) & (sym[1:] > 0))  # what follows a string's end counts for nothing
+        common[1:][new & (common[1:] > done)] = done
         block = np.zeros(len(source), np.int32)
         np.cumsum(new, out=block[1:])
     number, offset, rest = (np.empty(len(source), np.int64) for _ in range(3))
@@ -353,8 +362,9 @@ def merged_transforms(strings: list[np.ndarray], doc: np.ndarray, least: int, sh
         number[at], offset[at], rest[at] = shard.number, shard.offset, shard.rest
     whole = rest >= least
     own = np.where(whole, doc[number], np.iinfo(np.int64).max)
-    least_doc = np.minimum.reduceat(own, np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1]))))
-    hit = whole & (least_doc[block] < own)
+    interval = np.flatnonzero(common < least)  # a repeated interval lasts while common prefixes reach `least`
+    least_doc = np.minimum.reduceat(own, interval)
+    hit = whole & (np.repeat(least_doc, np.diff(np.append(interval, len(own)))) < own)
     number, offset = number[hit], offset[hit]
     order = np.lexsort((offset, number))
     number, offset = number[order], offset[order]
@@ -364,16 +374,29 @@ def merged_transforms(strings: list[np.ndarray], doc: np.ndarray, least: int, sh
 
 
 def filtered(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs with the repeated bytes taken out of text (a character that loses a byte goes whole); documents that lose their last word go."""
-    found = duplicate_bytes(docs.select("doc_id", "text"), least, whole_characters=True).where("n_removed > 0")
-    row, kept = unused(docs, "row"), unused(docs, "kept")
-    found = found.select(F.col("row").alias(row), F.col("kept").cast("string").alias(kept)).dropDuplicates([row])
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.withColumn(row, key).join(found, row, "left")
-    left = joined.where(F.col(kept).isNull() | F.col(kept).rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("text", F.coalesce(kept, "text")).select(*docs.columns)
+    """docs with the repeated bytes taken out of text (a character that loses a byte goes whole); documents that lose their last word go. Other columns travel with the text, so nothing is joined back."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rest = F.struct(F.col("text").isNull().alias("none"), F.struct(*others).alias("columns"))
+    found = duplicate_bytes(docs, least, whole_characters=True, rest=rest)
+    text = F.when(~F.col("rest.none"), F.col("kept").cast("string"))
+    left = found.where((F.col("n_removed") == 0) | text.rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*[(text if c == "text" else F.col(f"rest.columns.`{c}`")).alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The query's columns: sizes, number of spans and the hash of the bytes kept."""
     return duplicate_bytes(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The query's result by all windows of 50 bytes, as hexadecimal text.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
+  p AS (SELECT doc_id, n, k, substr(h, 2000 * k + 1, 2098) AS p FROM (SELECT *, unnest(range(0, (n + 999) // 1000)) AS k FROM n)),
+  w AS (SELECT doc_id, 1000 * k + i AS i, substr(p, 2 * i - 1, 100) AS w FROM (SELECT doc_id, k, p, unnest(range(1, least(1000, n - 1000 * k - 49) + 1)) AS i FROM p)),
+  hits AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) AS first FROM w) WHERE first < doc_id),
+  b AS (SELECT doc_id, 1000 * k + i AS i, substr(p, 2 * i - 1, 2) AS b FROM (SELECT doc_id, k, p, unnest(range(1, least(1000, n - 1000 * k) + 1)) AS i FROM p)),
+  c AS (SELECT b.doc_id, b.i, b, coalesce(max(hits.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS UNBOUNDED PRECEDING) + 50 > b.i, false) AS gone FROM b LEFT JOIN hits ON hits.doc_id = b.doc_id AND hits.i = b.i),
+  r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS start FROM c),
+  g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (start) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM n d LEFT JOIN g ON g.doc_id = d.doc_id
+"""

@@ -69,7 +69,32 @@ def test_several_shards(spark, prose, monkeypatch):
 def test_odd_rows(spark, odd, empty, prose):
     items = spark.createDataFrame([(1, prose(40, 1), "x"), (1, prose(40, 1), "x"), (2, None, "x"), (3, "", "x"), (None, "some long enough text here", "x"), (4, "Word", "x")], "item_id long, text string, doc_id string")
     got = d.leaks(odd, items).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 1) for i in (1, 2, None, 8, 10)}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, 1) for i in (1, 2, None, 8, 10)} | {(6, 4)}
     kept = d.filtered(odd, items)
-    assert kept.columns == odd.columns and {3, 4, 5, 6, 7, 9} <= {r["doc_id"] for r in kept.collect()}
+    assert kept.columns == odd.columns and {3, 4, 5, 7, 9} <= {r["doc_id"] for r in kept.collect()}
     assert d.leaks(empty, items).count() == 0 and d.leaks(odd, items.limit(0)).count() == 0
+
+
+def test_short_items_as_whole_words(spark):
+    items = spark.createDataFrame([(1, "What is pi?"), (2, "cat")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "So: what is  pi? 3.14"), (2, "concatenate"), (3, "the CAT sat"), (4, "what is pie?"), (5, "cat")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in d.leaks(docs, items).collect()} == {(1, 1, 0), (3, 2, 0), (5, 2, 0)}
+    assert sorted(r["doc_id"] for r in d.filtered(docs, items).collect()) == [2, 4]
+
+
+def test_null_doc_id_is_removed_with_one_shard_or_several(spark, prose, monkeypatch):
+    items = spark.createDataFrame([(i, prose(9, i)) for i in range(12)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, prose(9, 3), 1), (None, "clean", 2), (7, prose(9, 4), 3), (7, "clean too", 4), (8, None, 5)], "doc_id long, text string, found_id int")
+    for size in (4_000_000, 200):
+        monkeypatch.setattr(d, "SHARD_BYTES", size)
+        assert sorted(r["found_id"] for r in d.filtered(docs, items).collect()) == [2, 4, 5]
+
+
+def test_start_is_that_of_a_best_occurrence():
+    rng = random.Random(5)
+    for _ in range(100):
+        item, text = ("".join(rng.choice("abc") for _ in range(rng.randrange(*r))) for r in ((1, 30), (1, 60)))
+        found = d.myers(item, text, len(item))
+        if found and found[0] < len(item):
+            start = d.start_of(item, text, found[1], found[0])
+            assert best_distance(text[start : found[1]], item)[0] <= found[0] == min(x for x in [list(d.distances(item, text[start : found[1]], True))[-1]])

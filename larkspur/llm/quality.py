@@ -1,6 +1,8 @@
 """Quality classifier with hierarchical empirical Bayes.
 
-Two classifiers (high quality, toxic) over words, beginnings of words and shapes of a text are fitted on a bounded sample of labelled rows.
+Two classifiers (high quality, toxic) over words, beginnings of words and shapes of a text are fitted on a bounded sample
+of labelled rows, whole texts of any length: features are counted and chosen by grouped sums, and only the chosen ones of
+each sampled row reach the driver.
 Their evidence is then shrunk through the place a document comes from: every host has a Beta prior around the global
 rate, every path of a host one around the host's rate, with strengths estimated from the spread of the rates (method of
 moments). Rates are soft counts over all documents: grouped sums, combined before the shuffle, so that a host with a
@@ -8,9 +10,9 @@ third of all rows is as cheap as any. A sparse host or path stays at the rate ab
 
 In tables without URLs the host is `source` and the path `lang`.
 
-Edge cases: a null text is empty, has no evidence, and is rejected like other text that is not high quality; null host
+Edge cases: a null text is empty, in the fit too, and is rejected like other text that is not high quality; null host
 or path is a host or path of its own; a label that is null is left out; with no labels, or of one kind only, that
-classifier says nothing and rejects none; repeated rows are judged alike; an empty table gives an empty result; columns
+classifier says nothing and rejects none; repeated rows are judged alike, rows with one doc_id by their own texts; an empty table gives an empty result; columns
 with other names are kept by filtered() and ignored here.
 """
 
@@ -23,13 +25,14 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from larkspur.llm.common import unused, written
+from larkspur.llm.common import written
 
-#: Bounds of the fit: labelled rows, bytes of each, hashed features seen, features kept.
-SAMPLE_ROWS, SAMPLE_BYTES, WIDTH, KEPT = 12_000, 64_000, 1 << 18, 1500
+#: Bounds of the fit: labelled rows, hashed features seen, features kept, and the least rows and association of a feature kept.
+SAMPLE_ROWS, WIDTH, KEPT, LEAST_ROWS, LEAST_SCORE = 12_000, 1 << 18, 1500, 3, 10.8  # one chance in a thousand
 LEAST_STRENGTH, MOST_STRENGTH = 5.0, 10_000.0
 #: Lengths of the beginnings of words that are features too.
 STEMS = (4, 5)
@@ -68,28 +71,23 @@ def feature_ids(text: str) -> np.ndarray:
     return np.array(sorted({crc32(x.encode()) >> 14 for x in names}), np.int64)  # below WIDTH
 
 
-def fitted(features: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float] | None:
-    """Features kept, their weights and the intercept: ridge-penalised logistic regression on those most associated with the label."""
-    if len(set(labels.tolist())) < 2:
-        return None
+def chosen(sample: DataFrame, n: int, n1: int) -> np.ndarray:
+    """Of (y, features) rows, n in all and n1 of them with y 1: the features most associated with y, ascending."""
+    counts = sample.select("y", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("ones"))
+    expected = F.col("c") * n1 / n
+    spread = F.greatest(expected * (1 - n1 / n) * (1 - F.col("c") / n), F.lit(1e-9))
+    scored = counts.where(F.col("c") >= LEAST_ROWS).withColumn("score", (F.col("ones") - expected) ** 2 / spread).where(F.col("score") > LEAST_SCORE)
+    return np.sort(np.array([r["feature"] for r in scored.orderBy(F.desc("score"), "feature").limit(KEPT).collect()], np.int64))
+
+
+def fitted(kept: np.ndarray, features: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features kept, their weights and the intercept: ridge-penalised logistic regression on rows of places in kept."""
     y = labels.astype(np.float64)
-    owner = np.repeat(np.arange(len(features), dtype=np.int32), [len(f) for f in features])
-    ids = np.concatenate(features)
     n, n1 = len(y), y.sum()
-    count = np.bincount(ids, minlength=WIDTH).astype(np.float64)
-    ones = np.bincount(ids, weights=y[owner], minlength=WIDTH)
-    expected = count * n1 / n
-    spread = np.maximum(expected * (1 - n1 / n) * (1 - count / n), 1e-9)
-    score = np.where(count >= 3, (ones - expected) ** 2 / spread, 0)
-    kept = np.sort(np.argsort(-score, kind="stable")[:KEPT])
-    kept = kept[score[kept] > 10.8]  # one chance in a thousand
     if not len(kept):
         return kept, np.zeros(0), math.log(n1 / (n - n1))
-    place = np.full(WIDTH, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    use = place[ids] >= 0
     x = np.zeros((n, len(kept) + 1), np.float32)
-    x[owner[use], place[ids[use]]] = 1
+    x[np.repeat(np.arange(n), [len(f) for f in features]), np.concatenate(features)] = 1
     x[:, -1] = 1
     weight = np.zeros(len(kept) + 1)
     weight[-1] = math.log(n1 / (n - n1))
@@ -114,24 +112,39 @@ def classifiers(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[np.ndarra
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     share = min(1.0, SAMPLE_ROWS / max(1, known.count()))
     place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where((place < share) & (F.octet_length("text") <= SAMPLE_BYTES))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(place < share)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column("quality"), batch.column("toxic"), pa.array([feature_ids(t.as_py() or "").astype(np.int32).tobytes() for t in batch.column("text")], pa.binary())], names=["quality", "toxic", "features"])
+            held = pa.array([feature_ids(t.as_py()).astype(np.int32) for t in batch.column("text")], pa.list_(pa.int32()))
+            yield pa.record_batch([batch.column("quality"), batch.column("toxic"), held], names=["quality", "toxic", "features"])
 
-    rows = texts.join(known.where(place < share), "doc_id").select("quality", "toxic", "text").mapInArrow(features, "quality int, toxic int, features binary").collect()
-    out = {}
-    for kind in ("quality", "toxic"):
-        mine = [r for r in rows if r[kind] is not None]
-        out[kind] = fitted([np.frombuffer(bytes(r["features"]), np.int32) for r in mine], np.array([r[kind] > 0 for r in mine], bool)) if mine else None
-    return out
+    rows = written(texts.join(known.where(place < share), "doc_id").select("quality", "toxic", "text").mapInArrow(features, "quality int, toxic int, features array<int>"), "sample")
+    return {kind: classifier(rows.where(F.col(kind).isNotNull()).select((F.col(kind) > 0).cast("int").alias("y"), "features")) for kind in ("quality", "toxic")}
+
+
+def classifier(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """The fit of (y, features) rows; None where there are no rows, or y is always the same."""
+    size = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("ones")).first()
+    if size["ones"] in (0, size["n"]):
+        return None
+    kept = chosen(sample, size["n"], size["ones"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.flatnonzero(np.isin(kept, np.asarray(f.values), assume_unique=True)).astype(np.int16).tobytes() for f in batch.column("features")]
+            yield pa.record_batch([batch.column("y"), pa.array(found, pa.binary())], names=["y", "places"])
+
+    rows = sample.mapInArrow(places, "y int, places binary").collect()  # KEPT * 2 bytes a row at most
+    return fitted(kept, [np.frombuffer(bytes(r["places"]), np.int16) for r in rows], np.array([r["y"] for r in rows]))
 
 
-def evidence(docs: DataFrame, fits: dict, host: str, path: str) -> DataFrame:
-    """Per row of docs: doc_id, row (hash of id and text), host, path, and log odds of quality and toxic from the text alone (null: no classifier)."""
+def evidence(docs: DataFrame, fits: dict, host: str, path: str, rest: Column | None = None) -> DataFrame:
+    """Per row of docs: doc_id, host, path, and log odds of quality and toxic from the text alone (null: no classifier). rest: a struct that travels with the row."""
     sent = docs.sparkSession.sparkContext.broadcast(fits)  # KEPT features each
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), *([] if rest is None else [rest.alias("rest")])]
+    plain = docs.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    names = [c for c in plain.columns if c != "text"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
@@ -143,9 +156,9 @@ def evidence(docs: DataFrame, fits: dict, host: str, path: str) -> DataFrame:
         for batch in batches:
             found = [feature_ids(t.as_py()) for t in batch.column("text")]
             got = [pa.array([float(weights[k][f].sum() + held[k][2]) for f in found], pa.float64()) if k in weights else pa.nulls(len(batch), pa.float64()) for k in ("quality", "toxic")]
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "row", "host", "path")), *got], names=["doc_id", "row", "host", "path", "quality", "toxic"])
+            yield pa.record_batch([*(batch.column(c) for c in names), *got], names=[*names, "quality", "toxic"])
 
-    return docs.select(*columns).mapInArrow(judge, "doc_id long, row long, host string, path string, quality double, toxic double")
+    return plain.mapInArrow(judge, StructType(plain.select(*names).schema.fields).add("quality", "double").add("toxic", "double"))
 
 
 def shrunk(seen: DataFrame, kind: str) -> DataFrame:
@@ -175,9 +188,9 @@ def strength(groups: DataFrame, rate, n, prior) -> float:
     return min(MOST_STRENGTH, max(LEAST_STRENGTH, most / between - 1 if between > 1e-9 else MOST_STRENGTH))
 
 
-def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """Per row of docs: doc_id, row, host, path, quality and toxic (posterior probabilities), kept."""
-    seen = written(evidence(docs, classifiers(docs, labels), host, path), "evidence")
+def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rest: Column | None = None) -> DataFrame:
+    """Per row of docs: doc_id, host, path, quality and toxic (posterior probabilities), kept; and rest, if given."""
+    seen = written(evidence(docs, classifiers(docs, labels), host, path, rest), "evidence")
     out = seen
     for kind in ("quality", "toxic"):
         lift = shrunk(seen, kind).withColumnRenamed("host", "_h").withColumnRenamed("path", "_p")
@@ -189,7 +202,6 @@ def judged(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 
 def filtered(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """docs without those rejected."""
-    row = unused(docs, "row")
-    rejected = judged(docs, labels, host, path).where(~F.col("kept")).select(F.col("row").alias(row)).distinct()
-    return docs.withColumn(row, F.xxhash64("doc_id", "text")).join(rejected, row, "left_anti").select(*docs.columns)
+    """docs without those rejected. Rows travel with their evidence, so nothing is joined back."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(docs, labels, host, path, rest).where("kept").select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

@@ -61,3 +61,14 @@ def test_rows_with_one_id_are_judged_by_their_own_text(spark, corpus):
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     twice = docs.unionByName(docs.where("doc_id = 0").withColumn("text", F.lit("!!! @@ ## BUY " * 20)))
     assert quality.judged(twice, known).where("doc_id = 0").count() == 2
+
+
+def test_long_texts_and_null_ones_are_in_the_fit(spark, prose):
+    """Labelled texts of 70,000 bytes and more alone teach the classifier; a labelled null text is one without words."""
+    rng = random.Random(4)
+    docs = [(i, (prose(12_000, i) if i % 2 else prose(9000, i).upper() + " !!! BUY" * 900), "en", "s") for i in range(24)] + [(100 + i, None, "en", "s") for i in range(8)]
+    labels = [(i, i % 2, 0) for i in range(24)] + [(100 + i, 0, 0) for i in range(8)]
+    fresh = [(200, prose(12_000, 900), "en", "s"), (201, prose(9000, 901).upper() + " !!! BUY" * 900, "en", "s"), (202, None, "en", "s")]
+    rng.shuffle(docs)
+    got = quality.judged(spark.createDataFrame(docs + fresh, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {r["doc_id"]: r["kept"] for r in got.where("doc_id >= 200").collect()} == {200: True, 201: False, 202: False}

@@ -1,13 +1,14 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum over all
-its segmentations into pieces, by a forward pass over its bytes; a text's is the product over its words. Probabilities
-are learned by expectation-maximisation on a bounded sample of labelled texts (SAMPLE_TEXTS per language, below
-SAMPLE_BYTES each, by hash of doc_id); prediction covers every whole text.
-
-Edge cases: null text, or text without a letter, is `und` with score 0; ties go to the first language in order; words
-beyond WORD_BYTES bytes are scored in parts of that length; no labelled text at all gives `und`; repeated rows score
-alike; an empty table gives an empty result; other columns are ignored.
+its segmentations into pieces, by a forward pass over its bytes, whatever its length: many short words at once in a
+matrix, long ones (scripts without blanks) in logarithms with the values of the last longest-piece bytes. A text's is the
+product over its words. Probabilities are learned by expectation-maximisation on a bounded sample of labelled texts
+(SAMPLE_TEXTS whole texts per language, by hash of doc_id, whatever their length, of which the LEARNED_WORDS most frequent
+words); there, words beyond SHORT_BYTES bytes are counted in parts, cut between characters. Prediction covers every whole text.
+
+Edge cases: null text, or text without a letter, is `und` with score 0; ties go to the first language in order; no
+labelled text at all gives `und`; repeated rows score alike; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import gram_hashes
+from larkspur.llm.common import gram_hashes, runs_of
 
-SAMPLE_TEXTS, SAMPLE_BYTES, ROUNDS, SMOOTHING = 1500, 64_000, 4, 0.1
-WORD_BYTES, PIECE_BYTES, HELD_WORDS, LIKELY_BITS = 32, 16, 200_000, 18
+SAMPLE_TEXTS, LEARNED_WORDS, ROUNDS, SMOOTHING = 1500, 200_000, 4, 0.1
+SHORT_BYTES, HELD_WORDS, HELD_BYTES, LIKELY_BITS = 32, 200_000, 16_000_000, 18
 MARK = "▁"
 
 
@@ -41,8 +42,7 @@ class Vocabulary:
                 known.add(model.id_to_piece(i).encode())
         by_length: dict[int, list[bytes]] = {}
         for piece in known:
-            if len(piece) <= PIECE_BYTES:
-                by_length.setdefault(len(piece), []).append(piece)
+            by_length.setdefault(len(piece), []).append(piece)
         self.size, self.tables = 0, {}
         for length, pieces in sorted(by_length.items()):
             hashes = np.sort(gram_hashes(np.frombuffer(b"".join(pieces), np.uint8), length)[::length])
@@ -75,38 +75,72 @@ class Places:
             same = hashes[at] == h
             self.found[length] = (start[same], first + at[same])
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each byte and piece length (1..PIECE_BYTES) the piece that begins there, or -1."""
-        out = np.full((int(self.ends[-1]) if len(self.ends) else 0, PIECE_BYTES + 1), -1, np.int32)
+    def tables(self) -> dict[int, np.ndarray]:
+        """For each length of a piece found, and each byte, the piece of that length that begins there, or -1."""
+        out = {}
         for length, (start, piece) in self.found.items():
-            out[start, length] = piece
+            if len(start):
+                out[length] = np.full(int(self.ends[-1]), -1, np.int32)
+                out[length][start] = piece
         return out
 
     def forward(self, chances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the sum over its segmentations, by language; and the forward values at each byte. chances: pieces x languages."""
-        table = self.table()
+        """For each word the sum over its segmentations, by language; and the forward values at each byte. chances: pieces x languages. For words of few bytes."""
+        tables = self.tables()
         n, most = len(self.lengths), int(self.lengths.max()) if len(self.lengths) else 0
         order = np.argsort(-self.lengths, kind="stable")
         alpha = np.zeros((n, most + 1, chances.shape[1]))
         alpha[:, 0] = 1
         padded = np.concatenate((chances, np.zeros((1, chances.shape[1]))))
-        live = n
         sorted_lengths = self.lengths[order]
         begins = self.begins[order]
         for t in range(1, most + 1):
             live = int(np.searchsorted(-sorted_lengths, -t, side="right"))
-            for length in range(1, min(t, PIECE_BYTES) + 1):
-                piece = table[begins[:live] + t - length, length]
+            for length, table in tables.items():
+                if length > t:
+                    break
+                piece = table[begins[:live] + t - length]
                 if (piece >= 0).any():
                     alpha[:live, t] += alpha[:live, t - length] * padded[piece]
         out = np.empty((n, chances.shape[1]))
         out[order] = alpha[np.arange(n), sorted_lengths]
         return out, alpha[np.argsort(order)]
 
+    def log_forward(self, logs: np.ndarray) -> np.ndarray:
+        """As forward, in logarithms, for words of any length: log probability of each word by language. logs: of chances."""
+        longest = max((k for k, (start, _) in self.found.items() if len(start)), default=1)
+        word_of = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        start = np.concatenate([x for x, _ in self.found.values()])
+        piece = np.concatenate([x for _, x in self.found.values()])
+        length = np.repeat(np.fromiter(self.found, np.int64), [len(x) for x, _ in self.found.values()])
+        word = word_of[start]
+        time = start + length - self.begins[word]
+        order = np.lexsort((word, time))
+        piece, length, word, time = piece[order], length[order], word[order], time[order]
+        most = int(self.lengths.max())
+        step = np.searchsorted(time, np.arange(1, most + 2))
+        new = np.concatenate(([True], (time[1:] != time[:-1]) | (word[1:] != word[:-1])))
+        first = np.flatnonzero(new)
+        first_step = np.searchsorted(first, step)
+        ring = np.full((longest + 1, len(self.lengths), logs.shape[1]), -np.inf)
+        ring[0] = 0
+        out = np.empty((len(self.lengths), logs.shape[1]))
+        for t in range(1, most + 1):  # every single byte is a piece, so each word that is not over has one that ends here
+            i, j = step[t - 1], step[t]
+            heads = first[first_step[t - 1] : first_step[t]]
+            words, starts = word[heads], heads - i
+            way = ring[(t - length[i:j]) % (longest + 1), word[i:j]] + logs[piece[i:j]]
+            best = np.maximum.reduceat(way, starts)
+            value = best + np.log(np.add.reduceat(np.exp(way - np.repeat(best, np.diff(np.append(starts, j - i)), axis=0)), starts))
+            ring[t % (longest + 1), words] = value
+            over = self.lengths[words] == t
+            out[words[over]] = value[over]
+        return out
+
     def expected(self, chances: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces (one language) over all segmentations, words weighted."""
         total, alpha = self.forward(chances[:, None])
-        table = self.table()
+        tables = self.tables()
         n, most = len(self.lengths), alpha.shape[1] - 1
         beta = np.zeros((n, most + 1))
         beta[np.arange(n), self.lengths] = 1
@@ -114,9 +148,11 @@ class Places:
         counts = np.zeros(len(chances) + 1)
         scale = weights / np.maximum(total[:, 0], 1e-300)
         for t in range(most - 1, -1, -1):
-            for length in range(1, min(PIECE_BYTES, most - t) + 1):
+            for length, table in tables.items():
+                if length > most - t:
+                    break
                 rows = np.flatnonzero(self.lengths >= t + length)
-                piece = table[self.begins[rows] + t, length]
+                piece = table[self.begins[rows] + t]
                 rows, piece = rows[piece >= 0], piece[piece >= 0]
                 if len(rows):
                     part = padded[piece] * beta[rows, t + length]
@@ -130,17 +166,20 @@ def words_of(text: str) -> list[str]:
 
 
 def parts_of(word: str) -> list[bytes]:
+    """A word with its mark, for learning: whole, or beyond SHORT_BYTES bytes in parts cut between characters."""
     raw = (MARK + word).encode()
-    return [raw[i : i + WORD_BYTES] for i in range(0, len(raw), WORD_BYTES)]
-
-
-def learned(counts: Counter, vocabulary: Vocabulary) -> np.ndarray:
-    """Piece probabilities of one language from word counts."""
-    parts: Counter = Counter()
-    for word, c in counts.items():
-        for part in parts_of(word):
-            parts[part] += c
-    words, weights = list(parts), np.array(list(parts.values()), np.float64)
+    parts, at = [], 0
+    while len(raw) - at > SHORT_BYTES:
+        end = at + SHORT_BYTES
+        while raw[end] & 0xC0 == 0x80:
+            end -= 1
+        parts.append(raw[at:end])
+        at = end
+    return [*parts, raw[at:]]
+
+
+def learned(words: list[bytes], weights: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """Piece probabilities of one language from words (parts_of) and their counts."""
     step = 50_000
     batches = [(vocabulary.places(words[i : i + step]), weights[i : i + step]) for i in range(0, len(words), step)]
     chances = np.full(vocabulary.size, 1.0 / vocabulary.size)
@@ -153,48 +192,65 @@ def learned(counts: Counter, vocabulary: Vocabulary) -> np.ndarray:
 def language_models(labelled: DataFrame, path: str | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log priors and log piece probabilities (pieces x languages) from (doc_id, text, lang); each language is learned in a task of its own from a bounded sample."""
     rows = labelled.where("text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    sizes = {r["lang"]: (r["n"], r["short"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.octet_length("text") <= SAMPLE_BYTES).alias("short")).collect()}  # a row per language
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     share = F.lit(0.0)
-    for lang, (_, short) in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_TEXTS / max(1, short)))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
-    sample = rows.where((F.octet_length("text") <= SAMPLE_BYTES) & (place < share)).select("lang", "text")
+    for lang, n in sizes.items():
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_TEXTS / n))).otherwise(share)
+    place = F.coalesce(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / (1 << 30), F.lit(0.0))
+    sample = rows.where(place < share).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: dict[str, Counter] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+                words.setdefault(lang, Counter()).update(words_of(text.as_py()))
+            found: Counter = Counter()
+            for lang, counts in words.items():
+                for word, n in counts.items():
+                    for part in parts_of(word):
+                        found[lang, part] += n
+            langs, parts = zip(*found, strict=True) if found else ((), ())
+            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(parts, pa.binary()), pa.array(found.values(), pa.int64())], names=["lang", "part", "n"])
+
+    counted = sample.mapInArrow(count, "lang string, part binary, n long").groupBy("lang", "part").agg(F.sum("n").alias("n"))
 
     def fit(table: pa.Table) -> pa.Table:
-        counts: Counter = Counter()
-        for text in table.column("text"):
-            counts.update(words_of(text.as_py()))
-        chances = learned(counts, Vocabulary(path)) if counts else None
-        return pa.table({"lang": [table.column("lang")[0].as_py()], "chances": pa.array([None if chances is None else chances.astype(np.float64).tobytes()], pa.binary())})
+        table = table.sort_by([("n", "descending"), ("part", "ascending")]).slice(0, LEARNED_WORDS)
+        chances = learned(table.column("part").to_pylist(), np.array(table.column("n").to_pylist(), np.float64), Vocabulary(path))
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "chances": pa.array([chances.astype(np.float64).tobytes()], pa.binary())})
 
-    got = sorted((r["lang"], np.frombuffer(bytes(r["chances"]), np.float64)) for r in sample.groupBy("lang").applyInArrow(fit, "lang string, chances binary").collect() if r["chances"] is not None)
+    got = sorted((r["lang"], np.frombuffer(bytes(r["chances"]), np.float64)) for r in counted.groupBy("lang").applyInArrow(fit, "lang string, chances binary").collect())
     languages = [x for x, _ in got]
-    total = sum(sizes[x][0] for x in languages)
-    return languages, np.log([sizes[x][0] / total for x in languages]), np.stack([c for _, c in got], axis=1) if got else np.zeros((0, 0))
+    total = sum(sizes[x] for x in languages)
+    return languages, np.log([sizes[x] / total for x in languages]), np.stack([c for _, c in got], axis=1) if got else np.zeros((0, 0))
 
 
 class Scorer:
     """Log probabilities of words by language; keeps those of frequent words."""
 
     def __init__(self, chances: np.ndarray, path: str | None):
-        self.vocabulary, self.chances = Vocabulary(path), chances
+        self.vocabulary, self.chances, self.logs = Vocabulary(path), chances, np.log(chances)
+        self.forget()
+
+    def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.known = np.zeros((0, chances.shape[1]))
+        self.known, self.bytes = np.zeros((0, self.chances.shape[1])), 0
 
     def learn(self, texts: list[list[str]]) -> None:
-        fresh = list({w for words in texts for w in words if w not in self.rows})
-        if len(self.rows) > HELD_WORDS:
-            self.rows, self.known = {}, np.zeros((0, self.chances.shape[1]))
-            fresh = list({w for words in texts for w in words})
+        if len(self.rows) > HELD_WORDS or self.bytes > HELD_BYTES:
+            self.forget()
+        fresh = [(w, (MARK + w).encode()) for w in {w for words in texts for w in words} - self.rows.keys()]
+        short = [x for x in fresh if len(x[1]) <= SHORT_BYTES]
+        long = sorted((x for x in fresh if len(x[1]) > SHORT_BYTES), key=lambda x: len(x[1]))
         got = [self.known]
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            cut = [parts_of(w) for w in part]
-            owner = np.repeat(np.arange(len(part)), [len(c) for c in cut])
-            logs = np.log(np.maximum(self.vocabulary.places([p for c in cut for p in c]).forward(self.chances)[0], 1e-300))
-            got.append(np.stack([np.bincount(owner, weights=logs[:, k], minlength=len(part)) for k in range(logs.shape[1])], axis=1))
-        self.rows.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        for i in range(0, len(short), 20_000):
+            got.append(np.log(self.vocabulary.places([raw for _, raw in short[i : i + 20_000]]).forward(self.chances)[0]))
+        sizes = np.concatenate(([0], np.cumsum([len(raw) for _, raw in long]))).astype(np.int64)
+        for i, j in runs_of(sizes, 1_000_000):
+            got.append(self.vocabulary.places([raw for _, raw in long[i:j]]).log_forward(self.logs))
+        self.rows.update(zip([w for w, _ in short + long], range(len(self.known), len(self.known) + len(fresh)), strict=True))
         self.known = np.concatenate(got)
+        self.bytes += int(sizes[-1])
 
     def totals(self, words: list[str]) -> np.ndarray:
         rows = self.rows

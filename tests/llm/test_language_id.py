@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from itertools import product
 
 import numpy as np
 import pytest
@@ -18,8 +17,8 @@ def vocabulary():
 
 def pieces(vocabulary, word):
     """(piece number of word[a:b]) for all parts that are pieces."""
-    table = vocabulary.places([word]).table()
-    return {(a, a + n): int(table[a, n]) for a, n in product(range(len(word)), range(1, language_id.PIECE_BYTES + 1)) if table[a, n] >= 0}
+    tables = vocabulary.places([word]).tables()
+    return {(a, a + n): int(table[a]) for n, table in tables.items() for a in range(len(word)) if table[a] >= 0}
 
 
 def test_forward_sums_all_segmentations(vocabulary):
@@ -36,6 +35,92 @@ def test_forward_sums_all_segmentations(vocabulary):
         assert g == pytest.approx(total(0))
 
 
+def test_words_of_any_length_are_summed_whole(vocabulary):
+    """Against a plain sum in exact logarithms, beyond any part's length and with the longest pieces of the vocabulary."""
+    rng = np.random.default_rng(5)
+    chances = rng.random((vocabulary.size, 2)) * 1e-7
+    words = [("▁" + w).encode() for w in ("中文没有空格" * 40, "x" * 90, "a" * 33, "internationalisation" * 9, "=" * 70, "é" * 400)]
+    got = vocabulary.places(words).log_forward(np.log(chances))
+    for w, g in zip(words, got, strict=True):
+        known = pieces(vocabulary, w)
+        assert max(b - a for a, b in known) <= max(vocabulary.tables)
+        logs = np.full((len(w) + 1, 2), -np.inf)
+        logs[0] = 0
+        ends = {}
+        for (a, b), piece in known.items():
+            ends.setdefault(b, []).append((a, piece))
+        for t in range(1, len(w) + 1):
+            logs[t] = np.logaddexp.reduce([logs[a] + np.log(chances[piece]) for a, piece in ends[t]], axis=0)
+        assert g == pytest.approx(logs[-1])
+    short = [b"\xe2\x96\x81the", b"\xe2\x96\x81schoen"]
+    assert vocabulary.places(short).log_forward(np.log(chances)) == pytest.approx(np.log(vocabulary.places(short).forward(chances)[0]))
+    assert max(vocabulary.tables) == 48
+
+
+def test_parts_for_learning_are_cut_between_characters():
+    for word in ("中文没有空格" * 30, "é" * 99, "short", "x" * 31, "x" * 29):
+        parts = language_id.parts_of(word)
+        assert b"".join(parts) == ("▁" + word).encode() and all(p.decode() for p in parts) and max(map(len, parts)) <= language_id.SHORT_BYTES
+
+
+def test_languages_of_long_texts_alone_are_learned(spark):
+    rng = random.Random(8)
+    words = {"en": "the and that with this from".split(), "fr": "le la les des est dans".split()}
+    texts = [(i, " ".join(rng.choice(words[lang]) for _ in range(20_000)), lang) for i, lang in enumerate(rng.choices(list(words), k=16))]
+    assert min(len(t) for _, t, _ in texts) > 64_000
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.digest(spark.createDataFrame(texts, "doc_id long, text string, lang string")).collect()}
+    assert got == {i: lang for i, _, lang in texts}
+
+
+def test_query_against_a_plain_version(spark, vocabulary):
+    """The whole query on a small table: learning, sums over segmentations and posteriors by loops."""
+    import math
+    import zlib
+    from collections import Counter
+
+    rng = random.Random(11)
+    stems = {"en": "the and that with".split(), "fr": "le la été dans".split()}
+    rows = [(i, " ".join(rng.choice(stems[lang]) for _ in range(rng.randrange(1, 5))), lang) for i, lang in enumerate(rng.choices(list(stems), k=40))]
+    got = {r["doc_id"]: r for r in language_id.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    models, priors = {}, Counter(lang for *_, lang in learn)
+    for lang in sorted(stems):
+        counts = Counter(w for _, t, x in learn if x == lang for w in t.split())
+        chances = np.full(vocabulary.size, 1.0 / vocabulary.size)
+        for _ in range(language_id.ROUNDS):
+            total = np.zeros(vocabulary.size)
+            for w, n in counts.items():
+                raw = ("▁" + w).encode()
+                known, paths = pieces(vocabulary, raw), []
+
+                def walk(a, path, p, raw=raw, known=known, paths=paths, chances=chances):
+                    if a == len(raw):
+                        paths.append((path, p))
+                    for b in range(a + 1, len(raw) + 1):
+                        if (a, b) in known:
+                            walk(b, [*path, known[a, b]], p * chances[known[a, b]])
+
+                walk(0, [], 1.0)
+                whole = sum(p for _, p in paths)
+                for path, p in paths:
+                    np.add.at(total, path, n * p / whole)
+            chances = (total + language_id.SMOOTHING) / (total.sum() + language_id.SMOOTHING * vocabulary.size)
+        models[lang] = chances
+
+    def log_word(w, chances):
+        raw = ("▁" + w).encode()
+        known, alpha = pieces(vocabulary, raw), [1.0] + [0.0] * len(raw)
+        for t in range(1, len(raw) + 1):
+            alpha[t] = sum(alpha[a] * chances[p] for (a, b), p in known.items() if b == t)
+        return math.log(alpha[-1])
+
+    for d, t, _ in rows:
+        logs = {x: math.log(priors[x] / len(learn)) + sum(log_word(w, c) for w in t.split()) for x, c in models.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert got[d]["lang_pred"] == best and got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2)
+        assert got[d]["score"] == pytest.approx(1 / sum(math.exp(x - logs[best]) for x in logs.values()))
+
+
 def test_expected_counts_are_those_of_the_posterior(vocabulary):
     rng = np.random.default_rng(2)
     chances = rng.random(vocabulary.size) / vocabulary.size

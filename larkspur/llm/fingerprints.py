@@ -7,21 +7,23 @@ is the least hash with the rightmost place, and minima over windows come from mi
 
 Documents are compared with the next one, descending doc_id. They are dealt to bins of consecutive ids with one shuffle
 of their texts; the first document of each bin also goes to the bin above, as a guest, so that the last one there finds
-its next. There are at most MOST_BINS bins, so their bounds are small enough for the driver and a broadcast.
+its next. Bins have bounds at quantiles of the ids that there are, so gaps between ids leave none of them large. There
+are at most MOST_BINS bounds, small enough for the driver; a bin is sorted with spill, never held whole.
 
 Edge cases: a null text is empty; an empty text has the fingerprint '', like another empty text and unlike any other;
 texts below GRAM bytes are one string, with fewer strings than WINDOW one window; after the last document comes the
-first, which for a single document is itself; repeated rows follow one another; a null doc_id has no next document; an
-empty table gives an empty result; other columns are ignored.
+first, which for a single document is itself; repeated rows follow one another; documents with a null doc_id have no next one and are
+dealt by their text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM, WINDOW = 16, 16  # WINDOW: a power of four
-DOCUMENTS_A_BIN, MOST_BINS = 2500, 20_000
+DOCUMENTS_A_BIN, MOST_BINS = 2500, 100_000
 
 
 def let(value: Column, body) -> Column:
@@ -66,14 +68,26 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda n: F.coalesce(F.try_divide(n.cast("double"), F.size(a) + F.size(b) - n), F.lit(1.0)))
 
 
+def in_bins(plain: DataFrame, bins: int) -> DataFrame:
+    """Adds `bin`: 0 and above for ids between two quantiles (equal as doubles: one bin), below 0 for null ids, by a hash of the text."""
+    alone = -1 - F.pmod(F.xxhash64("text"), F.lit(bins))
+    cuts = []
+    if bins > 1:
+        quantiles = F.percentile_approx(F.col("doc_id").cast("double"), [i / bins for i in range(1, bins)], 20 * bins)
+        cuts = sorted(set(plain.agg(quantiles).first()[0]))
+    if not cuts:
+        return plain.withColumn("bin", F.when(F.col("doc_id").isNull(), alone).otherwise(0).cast("int"))
+    place = plain.withColumn("place", F.coalesce(F.col("doc_id").cast("double"), F.lit(0.0)))
+    binned = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="place", outputCol="cut").transform(place)
+    return binned.withColumn("bin", F.when(F.col("doc_id").isNull(), alone).otherwise(F.col("cut")).cast("int")).drop("place", "cut")
+
+
 def beside_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, chosen and, of the next document, next_text and next_hashes (null without one)."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    span = plain.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("doc_id").alias("n")).first()
-    bins = max(1, min(MOST_BINS, -(-span["n"] // DOCUMENTS_A_BIN)))
-    width = max(1, -(-((span["high"] or 0) - (span["low"] or 0) + 1) // bins))
-    placed = plain.withColumn("bin", F.coalesce(((F.col("doc_id") - F.lit(span["low"] or 0)) / width).cast("int"), F.lit(-1)))
+    bins = max(1, min(MOST_BINS, -(-plain.agg(F.count("doc_id")).first()[0] // DOCUMENTS_A_BIN)))
+    placed = in_bins(plain, bins)
     tops = sorted((r["bin"], r["top"]) for r in placed.where("doc_id is not null").groupBy("bin").agg(F.max("doc_id").alias("top")).collect())
     guests = [(high[0], low[1]) for low, high in zip(tops[:-1], tops[1:], strict=True)] + ([(tops[0][0], tops[-1][1])] if tops else [])
     guest_rows = plain.join(F.broadcast(spark.createDataFrame(guests, "bin int, guest long")), F.col("doc_id") == F.col("guest"))

@@ -17,6 +17,14 @@ FREQUENCY_EXACT = (("annual", 1), ("semi-annual", 2), ("semi annual", 2), ("quar
 # --- fixed values: patterns of treasury records ---
 TREASURY_PATTERNS = (r"\bUST\b", r"\bTREASURY\b", r"\bUNITED STATES TREASURY\b", r"\bUS-T\b", r"\bT-?NOTE\b", r"\bT-?BOND\b", r"\bU\.?S\.?\s+GOVT\b")
 
+# --- fixed values: patterns of bond descriptions: coupon with a percent sign, coupon without one, maturities, ISIN, ratings ---
+COUPON_PERCENT = r"(?<![\d.])(\d+(?:\.\d+)?|\d+\s+\d+/\d+)\s*%"
+COUPON_PLAIN = r"(?<![/\d])\d+(?:\s+\d+/\d+|\.\d+)?(?![/\d])"
+MATURITY_SPELLED = r"([A-Za-z]{3})(\d{2})'?(\d{2})"
+MATURITY_SLASHED = r"(?<![Dd])(\d{2})/(\d{2})/(\d{2,4})"
+ISIN = r"\b[A-Z]{2}[A-Z0-9]{10}\b"
+RATING_PAIR = r"\b([A-Z]{1,4}[+-]?\d?/[A-Z]{1,4}[+-]?\d?)\b"
+
 # --- fixed values: risk weights and jurisdictions ---
 RISK_WEIGHTS = {"customer": 0.30, "jurisdiction": 0.25, "product": 0.15, "delivery": 0.15, "introducer": 0.15}
 EU_COUNTRIES = ("AUT", "BEL", "BGR", "HRV", "CYP", "CZE", "DNK", "EST", "FIN", "FRA", "DEU", "GRC", "HUN", "IRL", "ITA", "LVA", "LTU", "LUX", "MLT", "NLD", "POL", "PRT", "ROU", "SVK", "SVN", "ESP", "SWE")
@@ -74,15 +82,13 @@ TERMINAL_FAILURES = (
     "Unsupported OCR mime type:", "Failed to load document (PDFium: Incorrect password error)", "Failed to load document (PDFium: Data format error)", "Failed to open image for OCR:",
     "document data is empty", "document data is not valid base64", "document not found:", "contact_document has no document_id",
 )
-_MONTHS = "enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|setiembre|octubre|noviembre|diciembre"
-_NAME = "[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñ]+"
 #: Values that are not translated, in the order in which they are masked.
 PROTECTED_PATTERNS = (
     r"(?m)^[A-Z0-9<]{30,}$",
     r"(?im)^.*(?:digitally signed by|firmado digitalmente por|\(firma\)).*$",
     r"(?im)^[^\n]{1,120}\b(?:S\.?\s*R\.?\s*L\.?|S\.?\s*A\.?|L\.?L\.?C\.?|I\.?N\.?C\.?)$",
-    rf"\b(?:Lcda|Lcdo|Sr|Sra|Dr|Dra)\.[ \t]+{_NAME}(?:[ \t]+{_NAME}){{1,4}}\b",
-    rf"(?i)\b(?:\d{{1,2}}\s+DE\s+)?(?:{_MONTHS})(?:\s+DE(?:L)?\s+|\s+)\d{{4}}\b",
+    r"\b(?:Lcda|Lcdo|Sr|Sra|Dr|Dra)\.[ \t]+[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñ]+(?:[ \t]+[A-ZÁÉÍÓÚÜÑ][a-záéíóúüñ]+){1,4}\b",
+    r"(?i)\b(?:\d{1,2}\s+DE\s+)?(?:enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|setiembre|octubre|noviembre|diciembre)(?:\s+DE(?:L)?\s+|\s+)\d{4}\b",
     r"\b(?=[A-Z0-9._/-]{4,}\b)(?=[A-Z0-9._/-]*[A-Z])(?=[A-Z0-9._/-]*\d)[A-Z0-9]+(?:[._/-][A-Z0-9]+)+\b",
     r"(?<![\w])(?:[₡$€£]\s*)?[-+]?\d[\d.,'/:+-]*(?:\s*%)?(?![\w])",
 )
@@ -99,3 +105,18 @@ TICKET_COLUMNS = (
     "Buy/Sell", "SettleDate", "TradeDate", "Exchange", "Quantity", "AccruedInterest", "Accrued (Days)", "Price", "Price (including Commissions)", "Amount", "TotalAmount",
 )
 TICKET_BREAKS = ("FIGI", "CurrencyPrimary")
+
+# --- fixed values: columns of the open-positions template: those of the report, then those that are left blank for formulas ---
+POSITION_COLUMNS = (
+    "ClientAccountID", "AccountAlias", "Model", "CurrencyPrimary", "FXRateToBase", "AssetClass", "Symbol", "Description", "Conid", "SecurityID", "SecurityIDType", "CUSIP", "ISIN",
+    "ListingExchange", "UnderlyingConid", "UnderlyingSymbol", "UnderlyingSecurityID", "UnderlyingListingExchange", "Issuer", "Multiplier", "Strike", "Expiry", "Put/Call",
+    "PrincipalAdjustFactor", "ReportDate", "Quantity", "MarkPrice", "PositionValue", "PositionValueInBase", "OpenPrice", "CostBasisPrice", "CostBasisMoney", "PercentOfNAV",
+    "FifoPnlUnrealized", "UnrealizedCapitalGainsPnl", "UnrealizedFxPnl", "Side", "LevelOfDetail", "OpenDateTime", "HoldingPeriodDateTime", "Code", "OriginatingOrderID",
+    "OriginatingTransactionID", "AccruedInterest", "VestingDate", "SerialNumber", "DeliveryType", "CommodityType", "Fineness", "Weight",
+)
+FORMULA_COLUMNS = (
+    "KEY", "securities_bond row", "Maturity", "Coupon", "Sector", "Frequency", "Open Date", "Column5", "Column6", "Tasa", "Column7", "Meses en Cartera",
+    "Rendimiento Acumulado x Cupón", "Current Price - 100", "Duraciones", "MDURATION", "DURATION", "Column8", "Market Price", "Yield", "Rate", "RTD MATCH CONID", "RTD Duration",
+    "RTD Bid", "RTD Ask", "RTD Credit Rating", "RTD Credit Rating Level", "RTD Ask Value", "a", "a2", "Change in Price + Accrued Interest Received", "Year on Portfolio",
+    "Yield (Price + Interest)", "a3", "Duration FX", "Coupon * Quantity", "Credit Rating Main Class", "Investment Grade Amt", "Column1", "Issuer FX",
+)

@@ -18,6 +18,11 @@ def half_up(c: Column) -> Column:
     return F.floor(c + F.lit(0.5))
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, whatever the number of its uses."""
+    return F.transform(F.array(value), body)[0]
+
+
 def nonzero(c: Column) -> Column:
     """Null for zero."""
     return F.nullif(c.cast("double"), F.lit(0.0))

@@ -8,33 +8,43 @@ from pyspark.sql import functions as F
 from larkspur.fixed_values import (
     CONFIDENCE_IF_UNKNOWN, HIGH_SCORE, LOW_DEFECT, LOW_PROVIDER_QUALITY, LOW_REGION_CONFIDENCE, PAGES_A_CHUNK, RETRY_CONFIDENCE, REVIEW_DEFECT, REVIEW_DEFECTS, REVIEW_PROVIDER_QUALITY, REVIEW_SCORE, SEVERE_DEFECTS,
 )
+from larkspur.functions import numbers
 from larkspur.functions.numbers import clamp
 
 
 def assessed(text: Column, confidence: Column, pages: Column, regions: Column, empty_pages: Column, low_regions: Column) -> Column:
-    """struct(score 0 to 100, status, characters, printable_ratio, suspicious_ratio, reasons) of a text."""
+    """struct(score 0 to 100, status, characters, printable_ratio, suspicious_ratio, reasons) of a text; its characters are counted once."""
+
+    def counted(t: Column) -> Column:
+        length_without = lambda pattern: F.length(F.regexp_replace(t["visible"], pattern, ""))
+        return F.struct(t["characters"].alias("characters"), F.length(t["visible"]).alias("n"), length_without(r"\p{C}|\p{Z}").alias("printable"), length_without("\\p{C}|�").alias("clean"))
+
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
-    visible = F.regexp_replace(plain, r"(?U)\s", "")
-    n = F.length(visible)
-    odd = n - F.length(F.regexp_replace(visible, r"\p{C}|[\p{Zs}\p{Zl}\p{Zp}]", ""))
-    suspicious = n - F.length(F.regexp_replace(visible, "\\p{C}|�", ""))
+    told = numbers.bound(plain, lambda p: F.struct(F.length(p).alias("characters"), F.regexp_replace(p, r"(?U)\s", "").alias("visible")))
+    return numbers.bound(numbers.bound(told, counted), lambda c: judged(c, confidence, pages, regions, empty_pages, low_regions))
+
+
+def judged(counts: Column, confidence: Column, pages: Column, regions: Column, empty_pages: Column, low_regions: Column) -> Column:
+    """assessed, from the counts of a text's characters: characters, n (visible), printable and clean ones of them."""
+    n, none = counts["n"], counts["characters"] == 0
+    odd, suspicious = n - counts["printable"], n - counts["clean"]
     pages, regions = F.greatest(F.lit(1), pages), F.greatest(F.lit(0), regions)
     empty, low = F.least(pages, F.greatest(F.lit(0), empty_pages)), F.least(regions, F.greatest(F.lit(0), low_regions))
     printable, suspect = 1 - odd / F.greatest(F.lit(1), n), suspicious / F.greatest(F.lit(1), n)
     bounded = F.when(confidence.isNotNull(), clamp(confidence, 0.0, 1.0))
     points = F.coalesce(bounded, F.lit(CONFIDENCE_IF_UNKNOWN)) * 65 + printable * 20 + F.least(F.lit(10.0), n / 4) + (1 - suspect) * 5
     points = points - empty / pages * 25 - F.coalesce(F.try_divide(low, regions), F.lit(0.0)) * 15
-    score = F.when(plain == "", F.lit(0.0)).otherwise(clamp(points, 0.0, 100.0))
+    score = F.when(none, F.lit(0.0)).otherwise(clamp(points, 0.0, 100.0))
     reason = lambda test, name: F.when(test, F.lit(name))
     told = F.when(bounded.isNull(), F.lit("confidence_unavailable")).when(bounded < LOW_REGION_CONFIDENCE, F.lit("very_low_average_confidence")).when(bounded < RETRY_CONFIDENCE, F.lit("low_average_confidence"))
     reasons = F.array_compact(F.array(told, reason(empty > 0, "empty_pages"), reason(low > 0, "low_confidence_regions"), reason(printable < 0.98, "non_printable_characters"), reason(suspect > 0, "suspicious_characters"), reason(n < 4, "very_short_text")))
     return F.struct(
         score.alias("score"),
         F.when(score >= HIGH_SCORE, "high").when(score >= REVIEW_SCORE, "review").otherwise("low").alias("status"),
-        F.length(plain).alias("characters"),
-        F.when(plain == "", F.lit(0.0)).otherwise(printable).alias("printable_ratio"),
-        F.when(plain == "", F.lit(0.0)).otherwise(suspect).alias("suspicious_ratio"),
-        F.when(plain == "", F.array(F.lit("no_text"))).otherwise(reasons).alias("reasons"),
+        counts["characters"].alias("characters"),
+        F.when(none, F.lit(0.0)).otherwise(printable).alias("printable_ratio"),
+        F.when(none, F.lit(0.0)).otherwise(suspect).alias("suspicious_ratio"),
+        F.when(none, F.array(F.lit("no_text"))).otherwise(reasons).alias("reasons"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larkspur.fixed_values import CHUNK_CHARS, GLOSSARY_LINE, LEAK_MARKERS, PAGE_COUNTER, PROTECTED_PATTERNS
+from larkspur.functions.numbers import bound
 
 
 def _folds() -> tuple[str, str]:
@@ -69,7 +70,7 @@ def translation_error(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
     out = F.when(document_text(text) == "", F.lit("Translation output is empty."))
     out = out.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), F.lit("Translation output contains terminal control characters."))
-    out = out.when(text.rlike(r"PRESERVETOKEN|ENDTOKEN|__PRESERVE_|ZZX9\d{4}8XZZ"), F.lit("Translation output contains an unresolved protected-value token."))
+    out = out.when(text.rlike(r"PRESERVETOKEN|ENDTOKEN|__PRESERVE_|ZZX9\d{4,}8XZZ"), F.lit("Translation output contains an unresolved protected-value token."))
     for marker in LEAK_MARKERS:
         out = out.when(text.contains(marker), F.lit(f"Translation output copied context marker: {marker}"))
     return out
@@ -92,20 +93,25 @@ def glossary_pair(source: Column, target: Column) -> Column:
 
 
 def packed_lines(text: Column, most: int = CHUNK_CHARS) -> Column:
-    """Chunks of whole lines of at most `most` characters (a longer line is a chunk of its own), greedily, as a fold."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), F.lit(None).cast("string").alias("open"))
+    """Chunks of whole lines of at most `most` characters (a longer line is a chunk of its own), greedily.
+
+    The fold carries only the length of the open chunk and the numbers of the lines that begin one, since all that a fold
+    carries is copied at each step.
+    """
+    start = F.struct(F.lit(0).alias("line"), F.lit(-1).alias("chars"), F.lit("").alias("firsts"))
 
     def add(state: Column, line: Column) -> Column:
-        fits = state["open"].isNotNull() & (F.length(state["open"]) + 1 + F.length(line) <= most)
-        done = F.when(state["open"].isNull() | fits, state["done"]).otherwise(F.array_append(state["done"], state["open"]))
-        return F.struct(done.alias("done"), F.when(fits, F.concat(state["open"], F.lit("\n"), line)).otherwise(line).alias("open"))
+        joined = state["chars"] + 1 + F.length(line)
+        fits = (state["chars"] >= 0) & (joined <= most)
+        firsts = F.when(fits, state["firsts"]).otherwise(F.concat(state["firsts"], state["line"].cast("string"), F.lit(" ")))
+        return F.struct((state["line"] + 1).alias("line"), F.when(fits, joined).otherwise(F.length(line)).alias("chars"), firsts.alias("firsts"))
 
-    def end(state: Column) -> Column:
-        return F.when(state["open"].isNull(), state["done"]).otherwise(F.array_append(state["done"], state["open"]))
+    def chunks(lines: Column) -> Column:
+        firsts = F.transform(F.filter(F.split(F.aggregate(lines, start, add, lambda s: s["firsts"]), " "), lambda x: x != ""), lambda x: x.cast("int"))
+        after = lambda f, i: F.coalesce(F.get(f, i + 1), F.size(lines))
+        return bound(firsts, lambda f: F.transform(f, lambda first, i: F.trim(F.array_join(F.slice(lines, first + 1, after(f, i) - first), "\n"))))
 
-    chunks = F.aggregate(F.split(text, "\n"), start, add, end)
-    return F.filter(F.transform(chunks, lambda c: F.trim(c)), lambda c: c != "")
+    return F.filter(bound(F.split(text, "\n"), chunks), lambda c: c != "")
 
 
 def within_budget(entries: Column, most_chars: int, most: int) -> Column:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from larkspur.fixed_values import GLOSSARY_CHARS, GLOSSARY_ENTRIES, PLACEHOLDER, PROTECTED_PATTERNS, TERMINAL_FAILURES
 from larkspur.functions import ocr, text
+from larkspur.functions.numbers import bound
 from larkspur.operators import selection
 
 
@@ -67,8 +69,9 @@ def translation_memory(pairs: DataFrame) -> DataFrame:
     usable = each.where(text.glossary_pair(F.col("line"), F.col("target"))).withColumn("key", F.lower("line"))
     counted = usable.groupBy("key", "target").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("document_id", "n", "line")).alias("first"))
     best = counted.groupBy("key").agg(F.sum("n").alias("total"), F.max_by("target", F.struct(F.col("n"), -F.col("first.n"), F.col("target"))).alias("target"), F.min("first").alias("first"))
-    # More entries than the budget can hold are never needed: a line and its mark take five characters at least.
-    ranked = best.select(F.concat_ws(" = ", "first.line", "target").alias("entry"), "total", "key").orderBy(F.desc("total"), "key").limit(GLOSSARY_CHARS)
+    # Of entries of one length those that are kept come first, so no more of a length than may be kept at all are needed.
+    entries = best.select(F.concat_ws(" = ", "first.line", "target").alias("entry"), "total", "key").withColumn("_length", F.length("entry"))
+    ranked = selection.top(entries, ["_length"], [F.desc("total"), F.col("key")], GLOSSARY_ENTRIES)
     order = F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("r"), "key", "entry")))
     kept = ranked.agg(text.within_budget(F.transform(order, lambda e: e["entry"]), GLOSSARY_CHARS, GLOSSARY_ENTRIES).alias("kept"))
     return kept.select(F.array_join("kept", "\n").alias("glossary"), F.size("kept").alias("entries"))
@@ -86,7 +89,7 @@ def translation_units(docs: DataFrame, glossary: DataFrame) -> DataFrame:
     return numbered.groupBy("document_id", "unit").agg(joined.alias("text"), (~F.bool_or("own")).alias("translate"))
 
 
-_PATTERNS = [re.compile(re.sub(r"^\(\?(\w+)\)", "", p), re.UNICODE | (re.M if "m" in (m := re.match(r"\(\?(\w+)\)", p) or [""])[0] else 0) | (re.I if "i" in m[0] else 0)) for p in PROTECTED_PATTERNS]
+_PATTERNS = [re.compile(p) for p in PROTECTED_PATTERNS]
 
 
 def protected_text(source: str) -> tuple[str, list[str]]:
@@ -103,22 +106,27 @@ def protected_text(source: str) -> tuple[str, list[str]]:
 
 
 def protected(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Adds `protected` and `values`: numbers run through each text, which no built-in replacement can do."""
+    """Adds `protected` and `values`: numbers run through each text, which no built-in replacement can do. Other columns pass as they are."""
 
-    def hide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def hide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [protected_text(t or "") for t in batch[column]]
-            yield batch.assign(protected=[g[0] for g in got], values=[g[1] for g in got])
+            got = [protected_text(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("row"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.list_(pa.string()))], names=["row", "protected", "values"])
 
-    return docs.mapInPandas(hide, docs.select("*", F.lit("").alias("protected"), F.array().cast("array<string>").alias("values")).schema)
+    rows = docs.select(F.struct("*").alias("row"), F.col(column).alias("text"))
+    schema = StructType([rows.schema["row"]]).add("protected", "string").add("values", ArrayType(StringType()))
+    return rows.mapInArrow(hide, schema).select("row.*", "protected", "values")
 
 
 def restored(df: DataFrame, translated: str = "translated") -> DataFrame:
     """Adds `restored` and `fault`: placeholders replaced by their values; each has to occur once."""
-    names = F.transform(F.col("values"), lambda v, i: F.concat(F.lit("ZZX9"), F.lpad((i + 1).cast("string"), 4, "0"), F.lit("8XZZ")))
-    times = lambda name: (F.length(translated) - F.length(F.replace(F.col(translated), name, F.lit("")))) / F.length(name)
-    lost = F.filter(names, lambda n: times(n) != 1)
+    numbered = PLACEHOLDER.replace("{:04d}", "%04d")
+    names = F.transform(F.col("values"), lambda v, i: F.format_string(numbered, i + 1))
+    # Parts of the text between placeholders: as many of each name as there are, found in one pass.
+    found = F.regexp_extract_all(F.col(translated), F.lit(PLACEHOLDER.replace("{:04d}", r"\d{4,}")), F.lit(0))
+    each_once = lambda f: F.array_sort(f) == F.array_sort(names)
+    lost = bound(found, lambda f: F.when(each_once(f), F.array().cast("array<string>")).otherwise(F.filter(names, lambda n: F.size(F.filter(f, lambda x: x == n)) != 1)))
     # later placeholders first: a value may itself hold an earlier one
     filled = F.aggregate(F.reverse(F.arrays_zip(names.alias("n"), F.col("values").alias("v"))), F.col(translated), lambda s, p: F.replace(s, p["n"], p["v"]))
-    fault = F.when(F.size(lost) > 0, F.concat(F.lit("The model omitted or duplicated protected values: "), F.array_join(F.slice(lost, 1, 5), ", ")))
-    return df.withColumn("fault", fault).withColumn("restored", F.when(F.col("fault").isNull(), filled))
+    told = bound(lost, lambda l: F.when(F.size(l) > 0, F.concat(F.lit("The model omitted or duplicated protected values: "), F.array_join(F.slice(l, 1, 5), ", "))))
+    return df.withColumn("fault", told).withColumn("restored", F.when(F.col("fault").isNull(), filled))

@@ -38,7 +38,7 @@ def anchor_returns(values: DataFrame, key: str, value: str, needed: int) -> Data
 def in_range(df: DataFrame, value: Column, ranges: DataFrame, low: str, high: str, closed_top: float | None = None) -> DataFrame:
     """Left join with a small table of half-open ranges; the top one includes its end."""
     inside = (value >= F.col(low)) & ((value < F.col(high)) | ((value == F.col(high)) & (F.col(high) == F.lit(closed_top)) if closed_top is not None else F.lit(False)))
-    return df.join(F.broadcast(ranges), inside, "left")
+    return df.join(small(ranges), inside, "left")
 
 
 def right_by_prefixed_key(left: DataFrame, left_key: str, right: DataFrame, right_key: str, prefix: str) -> DataFrame:

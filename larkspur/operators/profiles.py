@@ -25,11 +25,12 @@ def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def screened(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows within their group's bounds, if enough of them are (3 to 5, by the group's size); else all of the group."""
     bounds = profile(df, keys, value).select(*keys, "n", "lower", "upper")
-    placed = df.join(bounds, keys) if keys else df.crossJoin(F.broadcast(bounds))
     inside = F.col(value).between(F.col("lower"), F.col("upper"))
-    counted = placed.withColumn("_in", inside).withColumn("_k", F.count_if(inside).over(Window.partitionBy(*keys)))
+    beside = lambda groups: df.join(groups, keys) if keys else df.crossJoin(F.broadcast(groups))  # noqa: E731 (one row without keys)
+    counted = beside(bounds).groupBy(*keys).agg(F.count_if(inside).alias("_k"))
+    judged = bounds.join(counted, keys) if keys else bounds.crossJoin(counted)
     enough = F.col("_k") >= F.greatest(F.lit(3), F.least(F.lit(5), F.col("n")))
-    return counted.where(~enough | F.col("_in")).select(*df.columns)
+    return beside(judged).where(~enough | inside).select(*df.columns)
 
 
 def nearness(value: Column, target: Column, spread: Column) -> Column:

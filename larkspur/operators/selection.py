@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DateType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
 
 from larkspur.functions.numbers import any_of
 
@@ -88,8 +89,13 @@ def top(df: DataFrame, keys: list[str], order: list[Column], n: int | Column) ->
     return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-def numbered_batches(df: DataFrame, size: int, key: str, buckets: int = 64) -> DataFrame:
-    """Adds `batch`: rows in groups of at most `size`. Rows are numbered within buckets of the key, so no task sorts the table; a bucket's last batch may be short."""
+#: Rows that one task numbers.
+NUMBERED_A_TASK = 100_000
+
+
+def numbered_batches(df: DataFrame, size: int, key: str, buckets: int | None = None) -> DataFrame:
+    """Adds `batch`: rows in groups of at most `size`. Rows are numbered within buckets of the key, as many as the table's rows ask for, so no task sorts the table; a bucket's last batch may be short."""
+    buckets = buckets or max(1, -(-df.count() // NUMBERED_A_TASK))
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
     place = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
     return df.withColumn("_b", bucket).withColumn("batch", F.struct(F.col("_b").alias("bucket"), F.floor(place / size).alias("number"))).drop("_b")
@@ -113,3 +119,29 @@ def union_tagged(parts: list[tuple[DataFrame, Mapping[str, object]]], first: lis
     if out is None:
         raise ValueError("nothing to unite")
     return out.select(*first, *[c for c in out.columns if c not in first])
+
+
+def by_creation(df: DataFrame, created: str = "created", key: str = "id") -> DataFrame:
+    """Rows by their stamp as text, those without one first; ties by key."""
+    return df.orderBy(F.coalesce(F.col(created).cast("string"), F.lit("")), key)
+
+
+def json_safe(df: DataFrame) -> DataFrame:
+    """Rows as JSON can hold them: NaN and infinite numbers are null, times are ISO text, map keys are text; inside arrays, structs and maps too."""
+
+    def safe(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, DoubleType | FloatType):
+            return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+        if isinstance(kind, DateType):
+            return F.date_format(c, "yyyy-MM-dd")
+        if isinstance(kind, TimestampType | TimestampNTZType):
+            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+        if isinstance(kind, ArrayType):
+            return F.transform(c, lambda x: safe(x, kind.elementType))
+        if isinstance(kind, MapType):
+            return F.map_from_entries(F.transform(F.map_entries(c), lambda e: F.struct(e["key"].cast("string").alias("key"), safe(e["value"], kind.valueType).alias("value"))))
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*[safe(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return c
+
+    return df.select(*[safe(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])

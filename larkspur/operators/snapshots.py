@@ -12,12 +12,26 @@ def row_digest(df: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*cells)), 256)
 
 
-def signature(df: DataFrame) -> DataFrame:
-    """(rows, signature): of the multiset of rows, whatever their order; sums of hashes, so no task sees all rows."""
-    h = F.xxhash64(row_digest(df)).cast("decimal(38,0)")
-    g = F.xxhash64(F.lit("second"), row_digest(df)).cast("decimal(38,0)")
-    sums = F.concat_ws(":", F.count(F.lit(1)), F.coalesce(F.sum(h), F.lit(0)).cast("string"), F.coalesce(F.sum(g), F.lit(0)).cast("string"))
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.sha2(sums, 256).alias("signature"))
+def signature(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, rows, signature): of the multiset of the other columns' rows of each key, whatever their order.
+
+    A row's digest in four parts of sixteen hexadecimal digits, summed: partial sums are combined, so no task sees all
+    rows of a key.
+    """
+    digest = row_digest(df.drop(*keys))
+    parts = [F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    sums = F.concat_ws(":", F.count(F.lit(1)).cast("string"), *[F.coalesce(F.sum(p), F.lit(0)).cast("string") for p in parts])
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sha2(sums, 256).alias("signature"))
+
+
+def change_summary(new: DataFrame, old: DataFrame, samples: int = 3) -> DataFrame:
+    """One row: how many distinct rows were added and removed, and the first few of each, as JSON in order of their text."""
+    as_text = lambda df: df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])).alias("row")).distinct()
+    a, b = as_text(new), as_text(old)
+    changes = a.join(b, "row", "left_anti").withColumn("change", F.lit("added")).unionByName(b.join(a, "row", "left_anti").withColumn("change", F.lit("removed")))
+    firsts = lambda change: changes.where(F.col("change") == change).orderBy("row").limit(samples).agg(F.sort_array(F.collect_list("row")).alias(f"{change}_samples"))
+    counts = changes.agg(F.count_if(F.col("change") == "added").alias("added"), F.count_if(F.col("change") == "removed").alias("removed"))
+    return counts.crossJoin(firsts("added")).crossJoin(firsts("removed"))  # one row each
 
 
 def differences(new: DataFrame, old: DataFrame) -> DataFrame:

@@ -185,3 +185,20 @@ def enriched(assets: DataFrame, feeds: list[DataFrame], row_id: str) -> DataFram
         found = [(numbers.number if numeric else numbers.usable_text)(F.try_variant_get(v, f"$['{n}']", "string")) for n in names]
         fill[key] = F.coalesce(numbers.usable_text(F.col(key)).try_cast("double") if numeric else numbers.usable_text(F.col(key)), *found)
     return matched.withColumns(fill).drop("match", "feed")
+
+
+def context(bonds: DataFrame, treasuries: DataFrame) -> DataFrame:
+    """The candidates that proposals start from: both feeds by name; blank equivalents resolved from the other ratings; rows with a blank yield left out; yields in percent; tickers from the issuer or the instrument's first word; nulls as 0 or empty text; highest yield first."""
+    rows = bonds.unionByName(treasuries, allowMissingColumns=True)
+    cell = lambda name: F.col(f"`{name}`") if name in rows.columns else F.lit(None).cast("string")
+    treasury = ratings.is_treasury(*[cell(c) for c in ("Issuer", "Company Name", "Ticker", "Symbol", "Financial Instrument", "Sector", "Industry")])
+    resolved = ratings.resolved_rating(treasury, cell("S&P Equivalent"), cell("SP"), cell("Ratings"), cell("Moodys"))
+    rating = F.when(numbers.is_blank(cell("S&P Equivalent")), resolved).otherwise(cell("S&P Equivalent"))
+    ticker = F.coalesce(numbers.usable_text(cell("Issuer")), ratings.issuer(cell("Financial Instrument")))
+    known = {"Financial Instrument", "Current Yield", "S&P Equivalent", "Issuer"}
+    others = [F.coalesce(F.col(f"`{n}`"), F.lit(0).cast(t) if t in ("double", "float", "int", "bigint") else F.lit("").cast(t)).alias(n) if t in ("double", "float", "int", "bigint", "string") else F.col(f"`{n}`") for n, t in rows.dtypes if n not in known]
+    out = rows.where(~numbers.is_blank(cell("Current Yield"))).select(
+        F.coalesce(cell("Financial Instrument").cast("string"), F.lit("")).alias("Symbol_x"), F.coalesce(ticker, F.lit("")).alias("Ticker"), F.coalesce(rating, F.lit("")).alias("S&P Equivalent_x"),
+        numbers.percent(numbers.number(cell("Current Yield"))).alias("Current Yield_x"), *others,
+    )
+    return out.orderBy(F.desc("`Current Yield_x`"), "Symbol_x")

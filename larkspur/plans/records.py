@@ -102,3 +102,9 @@ def chosen_input(files: DataFrame, exact: str, prefix: str) -> str:
     if row["path"] is None:
         raise ValueError(f"no file {exact!r} and none that begins with {prefix!r}")
     return row["path"]
+
+
+def backup_of_day(files: DataFrame, prefix: str, day: Column) -> DataFrame:
+    """The last backup by name of a list (name begins with the prefix and the day as yyyyMMdd), with `day`; no row where there is none."""
+    wanted = files.where(F.col("name").startswith(F.concat(F.lit(prefix), F.date_format(day, "yyyyMMdd"))))
+    return wanted.orderBy(F.desc("name")).limit(1).withColumn("day", F.date_format(day, "yyyy-MM-dd"))

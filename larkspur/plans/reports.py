@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.fixed_values import TICKET_BREAKS, TICKET_COLUMNS
+from larkspur.fixed_values import FORMULA_COLUMNS, POSITION_COLUMNS, TICKET_BREAKS, TICKET_COLUMNS
 from larkspur.functions import bonds, dates, ratings
 from larkspur.functions.numbers import is_blank
 from larkspur.operators import joins, selection
@@ -117,3 +117,12 @@ def ending_balances(rows: DataFrame) -> DataFrame:
     """Statement rows with the running balance of each account by date and line."""
     frame = Window.partitionBy("Account").orderBy("Date", "line").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("balance", F.sum("Amount").over(frame))
+
+
+def open_positions(positions: DataFrame) -> DataFrame:
+    """The open-positions template: the report's columns in order, null as empty text, and after them the blank columns for formulas. A column that is missing raises."""
+    lost = [c for c in POSITION_COLUMNS if c not in positions.columns]
+    if lost:
+        raise ValueError(f"missing columns {lost}")
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in POSITION_COLUMNS]
+    return positions.select(*cells, *[F.lit("").alias(c) for c in FORMULA_COLUMNS])

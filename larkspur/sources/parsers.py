@@ -26,7 +26,7 @@ def control_record_report(lines: DataFrame) -> DataFrame:
     parsed = lines.where(F.trim("value") != "").withColumn("cells", cells(F.col("value")))
     kept = parsed.where(~F.arrays_overlap(F.transform("cells", lambda c: F.trim(c)), F.array(*[F.lit(c) for c in CONTROL_RECORDS])))
     headers = kept.groupBy("file").agg(F.min_by("cells", "line").alias("header"))
-    body = kept.join(F.broadcast(headers), "file").where(F.col("cells") != F.col("header"))  # a row per file
+    body = kept.join(headers, "file").where(F.col("cells") != F.col("header"))  # a row per file: the planner sees how many
     width = F.least(F.size("header"), F.size("cells"))
     return body.select("file", "line", F.map_from_arrays(F.slice("header", F.lit(1), width), F.slice("cells", F.lit(1), width)).alias("row"))
 
@@ -75,7 +75,7 @@ def ofac_entries(parts: list[DataFrame]) -> DataFrame:
 def uk_entries(lines: DataFrame) -> DataFrame:
     """(file, line, row map) of the list below its header line, which may follow other lines."""
     heads = lines.where(F.col("value").startswith(UK_HEADER)).groupBy("file").agg(F.min(F.struct("line", "value")).alias("h"))
-    body = lines.join(F.broadcast(heads), "file").where((F.col("line") > F.col("h.line")) & (F.trim("value") != ""))  # a row per file
+    body = lines.join(heads, "file").where((F.col("line") > F.col("h.line")) & (F.trim("value") != ""))
     header, own = cells(F.col("h.value")), cells(F.col("value"))
     width = F.least(F.size(header), F.size(own))
     return body.select("file", "line", F.map_from_arrays(F.slice(header, F.lit(1), width), F.slice(own, F.lit(1), width)).alias("row"))
@@ -107,3 +107,8 @@ def resolved_ids(tickers: DataFrame, found: DataFrame, kind: str) -> DataFrame:
 
 def plain_conid(c: Column) -> Column:
     return F.substring_index(c, "@", 1)
+
+
+def watch_list_ids(instruments: DataFrame) -> DataFrame:
+    """(conid, place) of a watch list's bonds (assetClass, conid, place): each id once, at the first place it is seen."""
+    return instruments.where((F.col("assetClass") == "BOND") & F.col("conid").isNotNull()).groupBy(F.col("conid").cast("string").alias("conid")).agg(F.min("place").alias("place"))

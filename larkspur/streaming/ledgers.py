@@ -40,7 +40,9 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, value: str, size: str
     return timed.groupBy(window.alias("w"), kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), kind, "n", "total")
 
 
-def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes") -> DataFrame:
-    """(key, start, end, n) of runs of events of a key without a longer gap."""
+def sessions(events: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(key, start, end, n) of runs of events of a key without a longer gap, for batches and streams; streams drop what is later than `late`."""
     timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    if timed.isStreaming:
+        timed = timed.withWatermark(ts, late)
     return timed.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

@@ -616,9 +616,15 @@ def line_frequency_mode(spark, sf):
     return kept.groupBy(F.lower(plain).alias("key")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
-@query()
+_DOCUMENT_TEXT = "trim(regexp_replace(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t\\f\\v]+(\\n|$)', '\\1', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id, string_split({_DOCUMENT_TEXT}, chr(10)) AS l FROM documents),
+  s(doc_id, i, chunk, chars) AS (SELECT doc_id, 1, 1, length(l[1]) FROM l
+    UNION ALL SELECT s.doc_id, i + 1, CASE WHEN chars + 1 + length(l[i + 1]) <= 2200 THEN chunk ELSE chunk + 1 END, CASE WHEN chars + 1 + length(l[i + 1]) <= 2200 THEN chars + 1 + length(l[i + 1]) ELSE length(l[i + 1]) END FROM s JOIN l ON l.doc_id = s.doc_id WHERE i < len(l)),
+  c AS (SELECT s.doc_id, length(trim(string_agg(l[i], chr(10) ORDER BY i))) AS n FROM s JOIN l ON l.doc_id = s.doc_id GROUP BY s.doc_id, chunk)
+  SELECT doc_id, CAST(count(*) FILTER (n > 0) AS INT) AS chunks, CAST(max(n) AS INT) AS longest FROM c GROUP BY doc_id""")
 def greedy_pack(spark, sf):
-    """A sequential fold: held against a plain loop in tests."""
     chunks = text.packed_lines(text.document_text(F.col("text")))
     return table(spark, sf, "documents").select("doc_id", chunks.alias("c")).select("doc_id", F.size("c").alias("chunks"), F.coalesce(F.array_max(F.transform("c", lambda x: F.length(x))), F.lit(0)).alias("longest"))
 

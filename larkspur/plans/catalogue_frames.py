@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.fixed_values import ARCHETYPES, FATF_CODES, FORMULA_COLUMNS, HIGH_RISK, LOW_RISK, POSITION_COLUMNS, SANCTIONED, WELL_REGULATED
 from larkspur.operators import joins, selection, snapshots
-from larkspur.plans import compliance, portfolio, quotes, records, reports
+from larkspur.plans import compliance, documents, portfolio, quotes, records, reports
 from larkspur.plans.catalogue import AS_OF, query, r, table
 from larkspur.plans.catalogue_rules import choice, choice_sql, sql_in
 from larkspur.sources import parsers
@@ -395,3 +395,56 @@ def proposal_context(spark, sf):
 @query("""SELECT c_mktsegment, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) <= 3""")
 def newest_of_each(spark, sf):
     return selection.top(table(spark, sf, "customer"), ["c_mktsegment"], [F.desc("c_acctbal"), F.col("c_custkey")], 3).select("c_mktsegment", "c_custkey", "c_acctbal")
+
+
+@query("""SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 75 AS BIGINT) AS number FROM part""")
+def quote_batches(spark, sf):
+    """A table of up to a hundred thousand ids is one bucket, whose batches run on."""
+    return selection.numbered_batches(table(spark, sf, "part").select("p_partkey"), 75, "p_partkey").select("p_partkey", F.col("batch.number").cast("long").alias("number"))
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 <> 1 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 ORDER BY o_orderdate, o_custkey LIMIT 50""")
+def translation_batches(spark, sf):
+    """Customers stand for documents, orders for their processing; a ledger that holds a fault does not count as done."""
+    orders, stamp = table(spark, sf, "orders"), F.date_format("o_orderdate", "yyyyMMdd")
+    kept = orders.where("o_orderkey % 4 <> 1")
+    done = F.when(F.col("o_orderstatus") == "O", "completed").otherwise("failed")
+    processing = kept.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"), done.alias("status"), F.lit("text_extraction").alias("process_type"), F.lit(None).cast("string").alias("updated"), stamp.alias("created"), F.lit("some text").alias("output_text"))
+    ledger = table(spark, sf, "customer").select(F.col("c_custkey").alias("document_id"), F.lit("completed").alias("status"), F.lit(" ").alias("translated_text"))
+    return documents.translation_batch(processing, ledger, 50).select(F.col("id").alias("o_orderkey"), F.col("document_id").alias("o_custkey"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'second' WHEN 1 THEN 'second' WHEN 2 THEN 'first' WHEN 3 THEN 'first' ELSE 'second' END AS matched FROM customer""")
+def matched_people(spark, sf):
+    """By name without the middle one, by e-mail, by the first of several, by none (the first), by name with the middle one."""
+    k = F.col("c_custkey") % 5
+    person = lambda first, middle, last, mail, tag: F.struct(F.lit(first).alias("firstName"), F.lit(middle).alias("middleName"), F.lit(last).alias("lastName"), F.lit(mail).alias("email"), F.lit(tag).alias("tag"))
+    people = F.array(person("Ann", "B", "Cole", "ann@x.org", "first"), person("José", "Luis", "Díaz", "jose@x.org", "second"))
+    first = F.when(k == 0, "JOSE").when(k == 2, "ann").when(k == 4, "josé luis").otherwise("nobody")
+    last = F.when(k == 2, "cole").when(k.isin(0, 4), "Diaz").otherwise("known")
+    mail = F.when(k == 1, " JOSE@x.org ").otherwise("")
+    got = compliance.matched_person(people, first, F.lit(None).cast("string"), last, mail)
+    return table(spark, sf, "customer").select("c_custkey", got["tag"].alias("matched"))
+
+
+@query("""SELECT 'f' || o_orderkey AS path FROM orders WHERE o_orderkey % 9 = 4 ORDER BY o_orderdate DESC, 'positions_' || o_orderkey DESC LIMIT 1""")
+def chosen_input(spark, sf):
+    """No file has the exact name, so the newest with the prefix is taken."""
+    name = F.when(F.col("o_orderkey") % 9 == 4, F.concat(F.lit("positions_"), "o_orderkey")).otherwise(F.concat(F.lit("other_"), "o_orderkey"))
+    landed = table(spark, sf, "orders").select(F.concat(F.lit("f"), "o_orderkey").alias("path"), name.alias("name"), F.col("o_orderdate").alias("modified"))
+    return spark.createDataFrame([(records.chosen_input(landed, "positions.csv", "positions_"),)], "path string")
+
+
+@query("""SELECT id, archetype, CAST(round(treasuries * 100) AS DOUBLE) AS treasuries, CAST(floor((aaa + bbb + bb) * 100 + 0.5) AS DOUBLE) AS bonds, CAST(round(etfs * 100) AS DOUBLE) AS stocks
+  FROM (VALUES """ + ", ".join(f"({a[0]}, '{a[1]}', {a[2]}, {a[3]}, {a[4]}, {a[5]}, {a[6]})" for a in ARCHETYPES) + """) t(id, archetype, treasuries, aaa, bbb, bb, etfs)""")
+def default_plans(spark, sf):
+    """A plan of an archetype's default percentages has the archetype's own weights; its percentages are shown."""
+    rows = []
+    for a in ARCHETYPES:
+        weights = dict(zip(portfolio.WEIGHTED, a[2:7], strict=True))
+        plan = portfolio.default_allocation(weights)
+        same = portfolio.plan_distribution(plan, portfolio.default_ratings(weights), a[1])
+        if any(abs(same[k] - w) > 1e-9 for k, w in portfolio.normalized(weights).items()):
+            raise ValueError(f"{a[1]}: {same}")
+        rows.append((a[0], a[1], plan["treasuries"], plan["bonds"], plan["stocks"]))
+    return spark.createDataFrame(rows, "id int, archetype string, treasuries double, bonds double, stocks double")

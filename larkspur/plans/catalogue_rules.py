@@ -177,22 +177,22 @@ def permitted_products(spark, sf):
 # --- recognised and translated text ------------------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT l_orderkey AS d, l_linenumber AS n, CASE WHEN l_linenumber % 4 = 3 THEN ' ' ELSE 'page ' || l_linenumber || ' ' || l_returnflag || l_linestatus END AS text, round(l_discount * 10, 2) AS conf,
+@query("""WITH p AS (SELECT l_orderkey AS d, l_linenumber AS n, CASE WHEN l_linenumber % 4 = 3 THEN ' ' ELSE 'page ' || l_linenumber || ' ' || l_returnflag || l_linestatus END AS text, round(l_discount * 9 + 0.03, 4) AS conf,
     CASE WHEN l_linenumber % 3 = 0 THEN 'xy' ELSE 'long word' END AS region, CASE WHEN l_linenumber = 1 THEN round(0.3 + (l_orderkey % 8) / 10.0, 2)::DOUBLE END AS q FROM lineitem),
   g AS (SELECT d, trim(string_agg(text, chr(10) ORDER BY n, text), ' ' || chr(10)) AS text, count(*) AS pages, count(*) FILTER (trim(text) = '') AS empty, sum(length(region) * conf) / sum(length(region)) AS conf, count(*) FILTER (conf < 0.5) AS low, min(q) AS q FROM p GROUP BY d),
   s AS (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM g),
   z AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(100, conf * 65 + 20 + least(10, n / 4) + 5 - empty / pages * 25 - low / pages * 15)) END AS score FROM s),
   b AS (SELECT *, CASE WHEN round(score, 6) >= 80 THEN 'high' WHEN round(score, 6) >= 50 THEN 'review' ELSE 'low' END AS status FROM z)
-  SELECT d AS document_id, pages AS page_count, empty AS empty_pages, round(conf, 6) AS confidence, round(score, 5) AS score, CASE WHEN q < 0.4 THEN 'low' WHEN q < 0.65 AND status = 'high' THEN 'review' ELSE status END AS status FROM b""")
+  SELECT d AS document_id, pages AS page_count, empty AS empty_pages, round(conf, 6) AS confidence, round(score, 7) AS score, CASE WHEN q < 0.4 THEN 'low' WHEN q < 0.65 AND status = 'high' THEN 'review' ELSE status END AS status FROM b""")
 def document_rollup(spark, sf):
     n = F.col("l_linenumber")
     words = F.concat_ws(" ", F.lit("page"), n, F.concat("l_returnflag", "l_linestatus"))
-    region = F.struct(F.when(n % 3 == 0, "xy").otherwise("long word").alias("text"), F.round(F.col("l_discount") * 10, 2).alias("confidence"))
+    region = F.struct(F.when(n % 3 == 0, "xy").otherwise("long word").alias("text"), F.round(F.col("l_discount") * 9 + 0.03, 4).alias("confidence"))
     pages = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("document_id"), n.alias("page_number"), F.when(n % 4 == 3, " ").otherwise(words).alias("text"), F.array(region).alias("regions"),
         F.when(n == 1, F.round(0.3 + F.col("l_orderkey") % 8 / 10, 2)).alias("image_quality"), F.lit(None).cast("array<struct<type:string,confidence:double>>").alias("defects"),
     )
-    return documents.document_quality(pages).select("document_id", "page_count", "empty_pages", r(F.col("confidence")).alias("confidence"), F.round("quality.score", 5).alias("score"), "status")
+    return documents.document_quality(pages).select("document_id", "page_count", "empty_pages", r(F.col("confidence")).alias("confidence"), F.round("quality.score", 7).alias("score"), "status")
 
 
 @query("""SELECT p_partkey, CAST(p_size BETWEEN 10 AND 30 AS INT) + CAST(60 - p_size BETWEEN 10 AND 30 AS INT) AS inside, CASE WHEN p_size BETWEEN 10 AND 30 THEN 'first' WHEN 60 - p_size BETWEEN 10 AND 30 THEN 'second' END AS leading FROM part""")
@@ -283,6 +283,15 @@ def form_feed_pages(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.page_count(F.replace(F.col("text"), F.lit("\n"), F.lit("\f"))).cast("long").alias("pages"))
 
 
+@query("""WITH t AS (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS p FROM documents),
+  n AS (SELECT doc_id, length(p) AS chars, length(regexp_replace(p, '[\\x09-\\x0D\\x{85}]|\\pZ', '', 'g')) AS n, length(regexp_replace(p, '[\\x09-\\x0D]|\\pC|\\pZ', '', 'g')) AS fine, length(regexp_replace(p, '[\\x09-\\x0D]|\\pC|\\pZ|\\x{FFFD}', '', 'g')) AS clean FROM t)
+  SELECT doc_id, round(CASE WHEN chars = 0 THEN 0 ELSE 0.6 * 65 + fine / greatest(1, n) * 20 + least(10, n / 4) + clean / greatest(1, n) * 5 - 0.5 * 25 END + least(50, chars / 10.0)::DOUBLE, 6) AS rank FROM n""")
+def ocr_attempts(spark, sf):
+    """Ranks of attempts with a confidence of 0.6 and one empty page of two."""
+    none = F.lit(0)
+    return table(spark, sf, "documents").select("doc_id", r(ocr.rank_score(ocr.assessed(F.col("text"), F.lit(0.6), F.lit(2), none, F.lit(1), none))).alias("rank"))
+
+
 # --- rows as stored and shown ------------------------------------------------------------------------------------------
 
 

@@ -131,7 +131,8 @@ def proposal(candidates: DataFrame, weights: dict[str, float], held: DataFrame |
     spark = candidates.sparkSession
     wanted = needs(weights)
     pool = candidates if held is None else candidates.join(held.select("Ticker").distinct(), "Ticker", "left_anti")
-    places = ranked(pool).cache()
+    # A bucket needs TOTAL_ASSETS rows at most, and buckets before it have used as many tickers at most.
+    places = ranked(pool).where(F.col("place") <= 2 * TOTAL_ASSETS).cache()
     used: list[str] = []
     taken = []
     for bucket in BUCKETS:

@@ -6,8 +6,10 @@ ones in the training texts. A node's Krichevsky-Trofimov estimate is mixed with
 weights of context-tree weighting: w(node) = 1/2 KT(node) + 1/2 product of w(children), bottom up over the counts. A
 context never seen in training predicts what its parent does. The score is the sum of log10 of the mixture.
 
-The counts are a table, dealt by hash of the two nearest context bytes; they grow with the corpus and are never broadcast.
-Only the nodes of contexts of 0 and 1 bytes meet on the driver: 256 * 255 + 255 of them at most, whatever the corpus.
+The counts are a table, dealt by hash of the two nearest context bytes, or of three where two alone (`e ` in English) would
+be more than a task's share; they grow with the corpus and are never broadcast. Which pairs those are is estimated from a
+sample; it decides where counts go, not what they are. Nodes of contexts of 0 and 1 bytes meet on the driver (256 * 255 +
+255 at most), and those of such pairs (255 each; a pair holds HOT_BYTES of the corpus, so there are few).
 Blocks of documents ask for the distinct contexts that they hold, and get their log-probabilities back. Word counts for
 the base score take the same way.
 
@@ -30,6 +32,9 @@ from larkspur.llm.common import BLOCK_BYTES, Words, block_count, column_bytes, d
 DEPTH, SPACE, END = 6, 0x20, 0x0A
 END_TOKEN = np.uint64(0x9D3F1C0B5A7E2468)
 RUN_BYTES, BLOCKS_A_BUCKET, HELD_KEYS = 1_000_000, 2, 1_500_000
+#: Occurrences from which on a pair of context bytes is split by a third, and bytes of the sample that tells.
+HOT_BYTES, SAMPLE_BYTES = 100_000_000, 32_000_000
+MIDDLE = 8  # bits of rows of split pairs: 8 to 15
 PARTS = "bucket int, block int, a binary, b binary"
 
 
@@ -82,8 +87,32 @@ class Stream:
         self.word_text = np.concatenate((words.text, np.arange(n)))
 
 
-def key_bucket(keys: np.ndarray, depth: int, buckets: int) -> np.ndarray:
-    return (mixed(keys >> np.uint64(8 * (depth - 1))) % np.uint64(buckets)).astype(np.int32)
+def key_bucket(keys: np.ndarray, depth: int, buckets: int, hot: np.ndarray) -> np.ndarray:
+    near = keys >> np.uint64(8 * (depth - 1))
+    if len(hot):
+        near = np.where(np.isin(near, hot), keys >> np.uint64(8 * (depth - 2)), near)
+    return (mixed(near) % np.uint64(buckets)).astype(np.int32)
+
+
+def hot_pairs(training: DataFrame, total: int, depth: int) -> np.ndarray:
+    """Pairs of nearest context bytes that occur more than HOT_BYTES times in about `total` bytes of text, by a sample of SAMPLE_BYTES."""
+    if total <= HOT_BYTES or depth < 3:
+        return np.zeros(0, np.uint64)
+    share = min(1.0, SAMPLE_BYTES / total)
+    sample = training.where(F.pmod(F.xxhash64(F.lit("pairs"), "doc_id", F.octet_length("text")), F.lit(1 << 30)) < share * (1 << 30))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("text"))
+            for i, j in runs_of(offsets, RUN_BYTES):
+                keys = Stream(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], depth).key
+                total += np.bincount((keys >> np.uint64(8 * (depth - 1))).astype(np.int64), minlength=1 << 16)
+        pair = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
+
+    found = sample.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") > share * HOT_BYTES)
+    return np.sort(np.array([r["pair"] for r in found.collect()], np.uint64))
 
 
 def word_bucket(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -152,6 +181,16 @@ class Nodes:
             self.weight = np.logaddexp2(own, below) - 1
             self.own = np.exp2(np.minimum(own - self.weight - 1, 0.0))
 
+    def only(self, here: np.ndarray) -> Nodes:
+        """Those nodes of these that a mask names."""
+        out = object.__new__(Nodes)
+        out.keys, out.zeros, out.ones, out.weight, out.own = (x[here] for x in (self.keys, self.zeros, self.ones, self.weight, self.own))
+        return out
+
+    def parents(self) -> np.ndarray:
+        """Keys of the nodes of one context byte less."""
+        return ((self.keys >> np.uint64(16)) << np.uint64(8)) | (self.keys & np.uint64(255))
+
     def estimate(self, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
         return (np.where(bit, self.ones[at], self.zeros[at]) + 0.5) / (self.zeros[at] + self.ones[at] + 1.0)
 
@@ -174,8 +213,7 @@ def context_nodes(keys: np.ndarray, counts: np.ndarray, depth: int, least: int,
         ones = np.bincount(group, weights=counts * one.astype(np.int64), minlength=len(ids)).astype(np.int64)
         sums = None
         if below is not None:
-            parent = ((below.keys >> np.uint64(16)) << np.uint64(8)) | (below.keys & np.uint64(255))
-            sums = np.bincount(np.searchsorted(ids, parent), weights=below.weight, minlength=len(ids))
+            sums = np.bincount(np.searchsorted(ids, below.parents()), weights=below.weight, minlength=len(ids))
         below = out[d] = Nodes(ids, total - ones, ones, sums)
     return out
 
@@ -185,17 +223,19 @@ def group_sorted(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return node[new], np.cumsum(new) - 1
 
 
-def predicted(keys: np.ndarray, counts: np.ndarray, top: dict[tuple[int, int], Nodes], asked: np.ndarray, depth: int) -> np.ndarray:
-    """log10 probability of each asked key's byte in its context, by a bucket's keys and counts and the nodes of depths 0 and 1."""
+def predicted(keys: np.ndarray, counts: np.ndarray, top: dict[tuple[int, int], Nodes], asked: np.ndarray, depth: int, hot: np.ndarray) -> np.ndarray:
+    """log10 probability of each asked key's byte in its context, by a bucket's keys and counts and the nodes of depths 0 and 1, and of depth 2 for hot pairs."""
     total = np.zeros(len(asked))
     symbol = asked & np.uint64(255)
     for bit in range(8):
         nodes = context_nodes(keys, counts, depth, 2, bit)
         one = ((symbol >> np.uint64(bit)) & np.uint64(1)).astype(bool)
         chance, seen = np.full(len(asked), 0.5), np.zeros(len(asked), bool)
-        for d in range(depth, -1, -1):
-            level = nodes.get(d) if d >= 2 else top.get((d, bit))
-            if level is None or not len(level.keys):
+        if len(hot):
+            nodes[2] = nodes[2].only(~np.isin(nodes[2].keys >> np.uint64(8), hot))  # a hot pair's counts are only in part here
+        levels = [(d, nodes[d]) for d in range(depth, 1, -1)] + [(d, top[d, bit]) for d in (2, 1, 0) if (d, bit) in top]
+        for d, level in levels:
+            if not len(level.keys):
                 continue
             ask = ((asked >> np.uint64(8 * (depth - d + 1))) << np.uint64(8)) | (symbol >> np.uint64(bit + 1))
             at = np.minimum(np.searchsorted(level.keys, ask), len(level.keys) - 1)
@@ -208,14 +248,26 @@ def predicted(keys: np.ndarray, counts: np.ndarray, top: dict[tuple[int, int], N
 
 
 def top_nodes(rows: list[tuple[int, int, int, int, float]]) -> dict[tuple[int, int], Nodes]:
-    """Depths 1 and 0 from the sums over depth 2: rows (bit, key at depth 1, zeros, ones, sum of weights below)."""
+    """Depths 2 (hot pairs), 1 and 0 from sums over the depth below: rows (bit, or MIDDLE + bit for hot pairs, key, zeros, ones, sum of weights below)."""
     out = {}
-    for bit in range(8):
+    kinds = (np.uint64, np.int64, np.int64, np.float64)
+
+    def columns(bit: int) -> list[np.ndarray]:
         mine = sorted(r[1:] for r in rows if r[0] == bit)
-        key, zeros, ones, below = (np.array([r[i] for r in mine], t) for i, t in enumerate((np.uint64, np.int64, np.int64, np.float64)))
-        out[1, bit] = one = Nodes(key, zeros, ones, below)
-        ids, group = np.unique(key & np.uint64(255), return_inverse=True)
-        out[0, bit] = Nodes(ids, *(np.bincount(group, weights=x, minlength=len(ids)).astype(t) for x, t in ((zeros, np.int64), (ones, np.int64), (one.weight, np.float64))))
+        return [np.array([r[i] for r in mine], t) for i, t in enumerate(kinds)]
+
+    def grouped(key: np.ndarray, *values: np.ndarray) -> Nodes:
+        ids, group = np.unique(key, return_inverse=True)
+        return Nodes(ids, *(np.bincount(group, weights=x, minlength=len(ids)).astype(t) for x, t in zip(values, kinds[1:], strict=True)))
+
+    for bit in range(8):
+        one = columns(bit)
+        middle = columns(MIDDLE + bit)
+        if len(middle[0]):
+            out[2, bit] = two = Nodes(*middle)
+            one = [np.concatenate(x) for x in zip(one, (two.parents(), two.zeros, two.ones, two.weight), strict=True)]
+        out[1, bit] = got = grouped(*one)
+        out[0, bit] = grouped(got.keys & np.uint64(255), got.zeros, got.ones, got.weight)
     return out
 
 
@@ -225,13 +277,15 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, block_bytes
     plain = text_column(docs)
     n = block_count(plain, block_bytes)
     buckets = max(1, math.ceil(n / BLOCKS_A_BUCKET))
+    learned = text_column(training)
+    hot = hot_pairs(learned, n * block_bytes, depth)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
 
         def flush() -> pa.RecordBatch:
             rows = []
-            for parts, bucket_of in zip(held, (lambda k: key_bucket(k, depth, buckets), lambda k: word_bucket(k, buckets)), strict=True):
+            for parts, bucket_of in zip(held, (lambda k: key_bucket(k, depth, buckets, hot), lambda k: word_bucket(k, buckets)), strict=True):
                 if parts:
                     keys, counts = summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                     rows += rows_by_bucket(-1, bucket_of(keys), keys, counts)
@@ -256,7 +310,7 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, block_bytes
         got = summed(np.concatenate(keys), np.concatenate([counts_of(x.as_buffer()) for x in rows.column("b")]))
         return parts_table([(rows.column("bucket")[0].as_py(), -1, packed(got[0]), got[1].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())])
 
-    counted = text_column(training).mapInArrow(count, PARTS)
+    counted = learned.mapInArrow(count, PARTS)
     model = written(counted.groupBy("bucket").applyInArrow(merge, PARTS), "counts")
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,14 +322,18 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, block_bytes
                     yield root_batch([-1], [0], [len(keys)], [int(counts.sum())], [0.0])
                     continue
                 for bit in range(8):
-                    level = context_nodes(keys, counts, depth, 2, bit)[2]
-                    ids, group = np.unique(((level.keys >> np.uint64(16)) << np.uint64(8)) | (level.keys & np.uint64(255)), return_inverse=True)
-                    yield root_batch(np.full(len(ids), bit), ids.astype(np.int64), *(np.bincount(group, weights=x, minlength=len(ids)) for x in (level.zeros, level.ones, level.weight)))
+                    nodes = context_nodes(keys, counts, depth, 2, bit)
+                    parts = [(bit, nodes[2])]
+                    if len(hot):
+                        parts = [(bit, nodes[2].only(~np.isin(nodes[2].keys >> np.uint64(8), hot))), (MIDDLE + bit, nodes[3].only(np.isin(nodes[3].parents() >> np.uint64(8), hot)))]
+                    for kind, level in parts:
+                        ids, group = np.unique(level.parents(), return_inverse=True)
+                        yield root_batch(np.full(len(ids), kind), ids.astype(np.int64), *(np.bincount(group, weights=x, minlength=len(ids)) for x in (level.zeros, level.ones, level.weight)))
 
     def root_batch(bit, key, zeros, ones, below) -> pa.RecordBatch:
         return pa.record_batch([pa.array(np.asarray(x).astype(t)) for x, t in ((bit, np.int32), (key, np.int64), (zeros, np.int64), (ones, np.int64), (below, np.float64))], names=["bit", "key", "zeros", "ones", "below"])
 
-    sums = model.mapInArrow(roots, "bit int, key long, zeros long, ones long, below double").groupBy("bit", "key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).collect()  # 8 * 65,280 rows at most
+    sums = model.mapInArrow(roots, "bit int, key long, zeros long, ones long, below double").groupBy("bit", "key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).collect()  # 65,280 rows at most, and 255 for each hot pair
     vocabulary, tokens = next(((r["zeros"], r["ones"]) for r in sums if r["bit"] == -1), (0, 0))
     top = spark.sparkContext.broadcast(top_nodes([tuple(r) for r in sums if r["bit"] >= 0]))
 
@@ -284,7 +342,7 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, block_bytes
     def requests(rows: pa.Table) -> pa.Table:
         keys, words, _ = distinct_keys(rows, depth)
         block = rows.column("block")[0].as_py()
-        return parts_table(rows_by_bucket(block, key_bucket(keys, depth, buckets), keys, None) + rows_by_bucket(block, word_bucket(words, buckets), words, None))
+        return parts_table(rows_by_bucket(block, key_bucket(keys, depth, buckets, hot), keys, None) + rows_by_bucket(block, word_bucket(words, buckets), words, None))
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         if not asked.num_rows:
@@ -297,7 +355,7 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, block_bytes
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
             values = np.where(keys[at] == wanted, counts[at], 0).astype(np.float64) if len(keys) else np.zeros(len(wanted))
         else:
-            values = predicted(keys, counts, top.value, wanted, depth).astype(np.float32)
+            values = predicted(keys, counts, top.value, wanted, depth, hot).astype(np.float32)
         return parts_table([(bucket, block, values[np.searchsorted(wanted, ask)].tobytes(), None) for block, ask in zip(asked.column("block").to_pylist(), asks, strict=True)])
 
     base = math.log10(tokens + vocabulary + 1)  # N + 1 * (V + 1)
@@ -307,7 +365,7 @@ def scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, block_bytes
         keys, words, streams = distinct_keys(rows, depth)
         got = dict(zip(answers.column("bucket").to_pylist(), answers.column("a"), strict=True))
         values = []
-        for asked, bucket, kind in ((keys, key_bucket(keys, depth, buckets), np.float32), (words, word_bucket(words, buckets), np.float64)):
+        for asked, bucket, kind in ((keys, key_bucket(keys, depth, buckets, hot), np.float32), (words, word_bucket(words, buckets), np.float64)):
             order = np.lexsort((asked, bucket))
             parts = [np.frombuffer(got[b].as_buffer(), kind) for b in np.unique(bucket).tolist()]
             out = np.empty(len(asked))

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.llm import context_tree
 
@@ -81,12 +82,16 @@ class Tree:
         return total
 
 
-@pytest.mark.parametrize("depth", [2, 4, 6])
-def test_against_the_recursion(spark, depth):
+@pytest.mark.parametrize(("depth", "hot"), [(2, 10**8), (4, 10**8), (6, 10**8), (6, 2), (3, 4)])
+def test_against_the_recursion(spark, monkeypatch, depth, hot):
+    """hot: occurrences from which pairs of context bytes are split by a third."""
+    monkeypatch.setattr(context_tree, "HOT_BYTES", hot)
     training = ["The cat sat on the mat", "the cat ate", "a dog sat", "", None, "Été été"]
     docs = {i: t for i, t in enumerate([*training, "the cat sat", "zebra quiz", "the the the the", "x"])}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {r["doc_id"]: r for r in context_tree.scores(df, df.where("doc_id < 6"), depth, block_bytes=40).collect()}
+    pairs = context_tree.hot_pairs(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), 1000, depth)
+    assert (len(pairs) > 0) == (hot < 10)
     tree = Tree(training, depth)
     counts = Counter(w for t in training for w in [*tokens(t), None])
     n, v = sum(counts.values()), len(counts)
@@ -109,7 +114,7 @@ def test_probabilities_sum_to_one(spark, prose):
         rows += [(bit, int(i), int(z), int(o), float(w)) for i, z, o, w in zip(ids, *(np.bincount(group, weights=x) for x in (level.zeros, level.ones, level.weight)), strict=True)]
     context = keys[len(keys) // 2] & ~np.uint64(255)
     asked = np.sort(context | np.arange(256, dtype=np.uint64))
-    assert (10 ** context_tree.predicted(keys, counts, context_tree.top_nodes(rows), asked, 6)).sum() == pytest.approx(1)
+    assert (10 ** context_tree.predicted(keys, counts, context_tree.top_nodes(rows), asked, 6, np.zeros(0, np.uint64))).sum() == pytest.approx(1)
 
 
 def test_odd_rows(odd, empty):

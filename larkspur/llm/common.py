@@ -18,33 +18,50 @@ BLOCK_BYTES = 12_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one for local masters; a cluster raises."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet to the shared folder and reads it back. Removed when the driver ends."""
+    """Cuts lineage: writes df as Parquet to the shared folder and reads it back. Removed by release(), or when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session is already gone; the folder is the cluster's to clean
-            pass
 
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+def tables_written() -> int:
+    """How many tables written() holds so far: a mark for release()."""
+    return len(_TABLES)
+
+
+def release(mark: int = 0, keep: int = 0) -> None:
+    """Removes the tables that written() made after a mark, but for the last `keep`: for when what is derived from them is written."""
+    while len(_TABLES) - keep > mark:
+        spark, path = _TABLES.pop(mark)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _end() -> None:
+    try:
+        release()
+    except Exception:  # the session is already gone; the folder is the cluster's to clean
+        pass
 
 
 def text_column(df: DataFrame, *keep: str) -> DataFrame:

@@ -5,15 +5,16 @@ levels (base BASE, near 1), so that registers of a union are the larger ones and
 the Jaccard similarity. Bands of registers give candidates; the joint likelihood of the counts of larger, smaller and
 equal registers, at the known set sizes, drops pairs that cannot reach the threshold; full sets confirm the rest.
 
-Pairs within a group are not listed. Equal sets are one class. In each band bucket every member is checked against the
-bucket's smallest (a star); components of confirmed links follow. Buckets that still hold several components are then
-worked off whole: their members meet in groups of blocks, each task compares two blocks of bounded size, skips what is
+Pairs within a group are not listed. Equal sets are one class. Each candidate is checked against the smallest centre (the
+least member) of its band buckets, one pair a candidate, and components of confirmed links follow. In buckets that hold
+several components yet, members are checked against the centre of the bucket. Buckets that are still open are worked
+off whole: their members meet in groups of blocks, each task compares two blocks of bounded size, skips what is
 already connected, and returns only links that connect something new. So no link between components is lost, however
 large the group. The number of bands makes the chance to miss a pair at the threshold below MISS.
 
 Edge cases: null text and text without a word have an empty set, linked with nothing (component: itself, kept);
 texts with fewer words than a shingle are one shingle; repeated rows share a class and a doc_id, and are all kept or all
-dropped; a null doc_id keeps a null component and is kept; an empty table gives an empty result; other columns are
+dropped; of rows with one doc_id and different texts the set of the least digest is compared for all of them; a null doc_id keeps a null component and is kept; an empty table gives an empty result; other columns are
 ignored here and kept by filtered().
 """
 
@@ -90,6 +91,11 @@ def likelihoods(larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, n_a:
     return estimate, high >= best - 25
 
 
+def digest_of(grams: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of hashes."""
+    return int(grams.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed(grams ^ _STEPS[62]))) if len(grams) else 0
+
+
 def sketches(docs: DataFrame, shingle: int, threshold: float, rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, n (set size), a 128-bit digest of the set, registers and band hashes. No shuffle."""
     bands = band_count(threshold, rows)
@@ -103,7 +109,7 @@ def sketches(docs: DataFrame, shingle: int, threshold: float, rows: int = ROWS)
             for i, j in runs_of(offsets, 1_000_000):
                 for grams in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle):
                     sizes.append(len(grams))
-                    digests.append((int(grams.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed(grams ^ _STEPS[62]))) if len(grams) else 0))
+                    digests.append(digest_of(grams))
                     regs.append(registers(grams, m))
             held = np.stack(regs) if regs else np.zeros((0, m), np.uint16)
             hashes = np.zeros((len(held), bands), np.uint64) + number
@@ -119,15 +125,20 @@ def sketches(docs: DataFrame, shingle: int, threshold: float, rows: int = ROWS)
 
 
 def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """Per row: id and its sorted set as little-endian 64-bit hashes."""
+    """Per row: id, digest and its sorted set as little-endian 64-bit hashes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column_bytes(batch.column("text"))
-            out = [g.tobytes() for i, j in runs_of(offsets, 1_000_000) for g in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.binary())], names=["id", "grams"])
+            out, digests = [], []
+            for i, j in runs_of(offsets, 1_000_000):
+                for grams in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle):
+                    out.append(grams.tobytes())
+                    digests.append(digest_of(grams))
+            d = np.array(digests, dtype=np.uint64).reshape(-1, 2)
+            yield pa.record_batch([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(d[:, i]).view(np.int64)) for i in (0, 1)), pa.array(out, pa.binary())], names=["id", "d1", "d2", "grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(sets, "id long, grams binary")
+    return docs.select("doc_id", "text").mapInArrow(sets, "id long, d1 long, d2 long, grams binary")
 
 
 def enough(shared: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -143,17 +154,54 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     classes = sketched.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     membership = written(sketched.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep"), "classes")
 
-    reps = sketched.join(membership.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    banded = written(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), "bands")
+    # Of rows with one doc_id and different sets, the least digest's stands for the id.
+    reps = sketched.join(membership.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").where("n > 0")
+    reps = reps.groupBy("doc_id").agg(F.min(F.struct("d1", "d2", "n", "regs", "bands")).alias("s")).select(F.col("doc_id").alias("id"), "s.*")
+    banded = written(reps.select("id", F.explode("bands").alias("band")), "bands")
     stars = banded.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("other")).where("centre < other").select("band", "centre")
     starred = written(banded.join(stars, "band"), "buckets")
-    candidates = starred.select("id").distinct()
-    held = reps.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "n", "regs")
-    texts = plain.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    held = written(held.join(with_sets(texts, shingle), "id").dropDuplicates(["id"]), "sets")
+    candidates = written(starred.groupBy("id").agg(F.min("centre").alias("centre")), "candidates")
+    held = reps.join(candidates.select("id"), "id", "left_semi").select("id", "n", "d1", "d2", "regs")
+    texts = plain.join(candidates.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    held = written(held.join(with_sets(texts, shingle), ["id", "d1", "d2"]).dropDuplicates(["id"]).drop("d1", "d2"), "sets")
+
+    # Each candidate against the smallest centre of its buckets: one pair a candidate.
+    labels = candidates.select("id", F.col("id").alias("component"))
+    firsts = candidates.where("id > centre").select("id", "centre", F.col("id").alias("a"), F.col("centre").alias("b"))
+    labels = merged(labels, component_labels(confirmed(firsts, held, percent)))
+
+    # Buckets that hold several components yet: those outside the component of the bucket's centre against that centre.
+    placed = starred.join(labels, "id").select("id", "band", "component")
+    several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct("id", "component")).alias("c")).where("low < high")
+    pairs = placed.join(several, "band").where("component <> c.component").select("id", F.col("c.id").alias("centre"), F.col("component").alias("a"), F.col("c.component").alias("b")).distinct()
+    labels = merged(labels, component_labels(confirmed(pairs, held, percent)))
+
+    # Buckets that are still open.
+    placed = starred.join(labels, "id").select("id", "band", "component", "centre")
+    several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    loose = written(placed.join(several, "band").select("id", "component", "centre").distinct(), "loose")
+    # Of an id's centres the least stands for it, and is joined to the others: only centres are left to be connected.
+    tied = loose.groupBy("id").agg(F.min("centre").alias("hub"), F.collect_set("centre").alias("centres"))
+    tied = written(tied, "hubs")
+    between = component_labels(tied.select(F.col("hub").alias("a"), F.explode("centres").alias("b")).where("a <> b").distinct())
+    clusters = tied.join(between.select(F.col("id").alias("hub"), "component"), "hub", "left").select("id", F.coalesce("component", "hub").alias("cluster"))
+    members = written(loose.select("id", "component").distinct().join(clusters, "id").join(held, "id"), "members")
+    found = in_blocks_of_clusters(members).groupBy("group", "i", "j").applyInArrow(lambda table: links_between(table, percent), "a long, b long")
+    labels = merged(labels, component_labels(found))
+
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
+    out = membership.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def merged(labels: DataFrame, joined: DataFrame) -> DataFrame:
+    """labels (id, component) after components have been joined: (id, component) of components."""
+    new = joined.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    return written(labels.join(new, "component", "left").select("id", F.coalesce("_to", "component").alias("component")), "labels")
 
-    # Stars: every member of a bucket against its smallest.
-    pairs = starred.where("id > centre").select("id", "centre").distinct()
+
+def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The a and b of pairs (id, centre, a, b) whose sets are alike: by size, by the likelihood of their registers, then by the full sets."""
     left = held.select("id", F.col("n").alias("n_a"), F.col("regs").alias("regs_a"), F.col("grams").alias("grams_a"))
     right = held.select(F.col("id").alias("centre"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b"), F.col("grams").alias("grams_b"))
     sized = pairs.join(left, "id").join(right, "centre").where((100 * F.least("n_a", "n_b")) >= percent * F.greatest("n_a", "n_b"))
@@ -163,39 +211,33 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(batch), -1) for c in ("regs_a", "regs_b"))
             up, down = (a > b).sum(axis=1), (a < b).sum(axis=1)
-            _, likely = likelihoods(up, down, (a == b).sum(axis=1), n_a, n_b, threshold)
+            _, likely = likelihoods(up, down, (a == b).sum(axis=1), n_a, n_b, percent / 100)
             rows = np.flatnonzero(likely)
             shared = np.array([len(np.intersect1d(*(np.frombuffer(batch.column(c)[int(i)].as_buffer(), np.uint64) for c in ("grams_a", "grams_b")), assume_unique=True)) for i in rows], dtype=np.int64)
-            linked = rows[enough(shared, n_a[rows], n_b[rows], percent)]
-            yield pa.record_batch([batch.column("id").take(pa.array(linked)), batch.column("centre").take(pa.array(linked))], names=["a", "b"])
-
-    labels = component_labels(sized.mapInArrow(confirm, "a long, b long"))
-
-    # Buckets that hold several components yet.
-    labelled = starred.join(labels, "id", "left").select("id", "band", F.coalesce("component", "id").alias("component"))
-    open_bands = labelled.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band", "low")
-    loose = written(labelled.join(open_bands, "band").join(stars, "band").select("id", "component", "centre").distinct(), "loose")
-    clusters = component_labels(loose.select(F.col("id").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("component", "cluster")
-    members = loose.select("id", "component").distinct().join(clusters, "id").join(held, "id")
-    members = written(members, "members")
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") * 8 / BLOCK_SET_BYTES)).cast("int").alias("blocks"))
+            linked = pa.array(rows[enough(shared, n_a[rows], n_b[rows], percent)])
+            yield pa.record_batch([batch.column(c).take(linked) for c in ("a", "b")], names=["a", "b"])
+
+    return sized.mapInArrow(confirm, "a long, b long")
+
+
+def in_blocks_of_clusters(members: DataFrame) -> DataFrame:
+    """members (id, component, cluster, n, regs, grams) in groups of two blocks at most (group, i, j, own), so that all members of different components of a cluster meet.
+
+    A cluster's largest component needs no comparison with itself: its blocks meet those of the other members alone. So a
+    large component beside a few others is sent once, and only members outside it are compared in all pairs of blocks.
+    """
+    counted = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"), (F.sum("n") * 8).alias("b"))
+    sizes = counted.groupBy("cluster").agg(F.sum("c").alias("c"), F.sum("b").alias("b"), F.max(F.struct("c", "b", "component")).alias("top"))
+    blocks = lambda c, b: F.greatest(F.lit(1), F.ceil(c / BLOCK_MEMBERS), F.ceil(b / BLOCK_SET_BYTES)).cast("int")
+    sizes = sizes.select("cluster", F.col("top.component").alias("top"), blocks(F.col("c"), F.col("b")).alias("all"), blocks(F.col("top.c"), F.col("top.b")).alias("most"), blocks(F.col("c") - F.col("top.c"), F.col("b") - F.col("top.b")).alias("rest"))
     groups = max(1, math.ceil(members.count() / MEMBERS_A_GROUP))
-    dealt = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    one = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.col("cluster"))
-    dealt = dealt.select(one.alias("group"), F.when(F.col("blocks") == 1, -1).otherwise(F.least("own", "with")).alias("i"), F.greatest("own", "with").alias("j"), "own", "cluster", "id", "component", "n", "regs", "grams")
-
-    def compare(table: pa.Table) -> pa.Table:
-        return links_between(table, percent)
-
-    found = dealt.groupBy("group", "i", "j").applyInArrow(compare, "a long, b long")
-    joined = component_labels(found).select(F.col("id").alias("component"), F.col("component").alias("merged"))
-    final = labels.join(joined, "component", "left").select("id", F.coalesce("merged", "component").alias("component"))
-    # a representative without a confirmed star link is its own component so far
-    alone = joined.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("merged").alias("component"))
-    final = final.unionByName(alone)
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
-    out = membership.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    one, largest = F.col("all") == 1, F.col("component") == F.col("top")
+    own = F.when(one, 0).when(largest, F.pmod(F.xxhash64("id"), F.col("most"))).otherwise(F.col("most") + F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
+    last = F.col("most") + F.col("rest") - 1
+    others = F.when(one, F.array(F.lit(0))).when(largest, F.sequence(F.col("most"), last)).otherwise(F.sequence(F.lit(0), last))
+    dealt = members.join(sizes, "cluster").withColumn("own", own).withColumn("with", F.explode(others))
+    group = F.when(one, F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.col("cluster"))
+    return dealt.select(group.alias("group"), F.when(one, -1).otherwise(F.least("own", "with")).alias("i"), F.greatest("own", "with").alias("j"), "own", "cluster", "id", "component", "n", "regs", "grams")
 
 
 def links_between(table: pa.Table, percent: int) -> pa.Table:
@@ -259,3 +301,17 @@ def filtered(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
 def digest(docs: DataFrame) -> DataFrame:
     """The query's result: three-word shingles, 85 percent."""
     return near_groups(docs, 3, 85)
+
+
+#: The query's result by all pairs that share a shingle.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+  shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL),
+  edges AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)),
+  reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+  least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(b, d.doc_id)) AS component_id, d.doc_id <= coalesce(b, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least_of l ON l.a = d.doc_id
+"""

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import chat, context_tree, decontamination, fingerprints, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup
 
-#: Rows per Arrow batch: bounds what a Python worker holds of documents at once.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch: they bound what a Python worker holds of documents at once (one row at least).
+BATCH_ROWS, BATCH_BYTES = 512, 32_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,7 +39,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,4 +59,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_substring_dedup, op4_language_id, op5_fingerprints, op6_quality, op7_context_tree, op8_packing, op9_chat_format, op10_suffix_dedup)}
-SQL: dict[str, str] = {"op9_chat_format": chat.ORACLE_SQL}
+SQL: dict[str, str] = {"op1_near_dedup": near_dedup.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL, "op10_suffix_dedup": suffix_dedup.ORACLE_SQL}

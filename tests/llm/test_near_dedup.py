@@ -89,3 +89,28 @@ def test_filtered_keeps_columns_and_one_of_each(odd):
     assert got.columns == odd.columns
     ids = [r["doc_id"] for r in got.collect()]
     assert 2 not in ids and 8 not in ids and ids.count(1) == 2 and {3, 4, 5, 6, 7, 9, 10} <= set(ids)
+
+
+def test_rows_with_one_doc_id_and_different_texts(spark, prose):
+    """However they are dealt, the same set stands for the id, and the rows of an id share its component."""
+    rows = [(1, prose(60, 1)), (1, prose(60, 2)), (2, prose(60, 1) + " end"), (3, prose(60, 2) + " end"), (4, prose(60, 5)), (None, prose(60, 5))]
+    found = []
+    for parts in (1, 5):
+        got = near_dedup.near_groups(spark.createDataFrame(rows[:: 1 if parts == 1 else -1], "doc_id long, text string").repartition(parts), 3, 80).collect()
+        found.append(sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got), key=repr))
+    assert found[0] == found[1] and len(found[0]) == 6
+    assert {r[2] for r in found[0] if r[0] == 1} == {1} and sorted(r[2] for r in found[0] if r[0] in (2, 3)) in ([1, 2], [1, 3])
+
+
+def test_a_large_component_beside_a_few_others(spark, prose, monkeypatch):
+    """Members beyond a block of the largest component, and others that only all pairs can join."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 8)
+    monkeypatch.setattr(near_dedup, "MEMBERS_A_GROUP", 10)
+    rng, texts, base = random.Random(6), {}, prose(100, 3).split()
+    for d in range(90):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5, 6])):
+            words[rng.randrange(100)] = f"v{rng.randrange(40)}"
+        texts[d] = " ".join(words)
+    got = near_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 5, 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == groups(texts, 5, 80)

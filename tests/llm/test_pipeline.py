@@ -66,6 +66,21 @@ def test_packing(stages):
     assert {r["doc_id"] for r in rows} == set(texts(stages[4]))
 
 
+def test_odd_rows_pass_all_stages(spark, odd, empty):
+    """Nulls, empty and long texts, repeated rows, and columns named like the operators' own."""
+    for docs in (odd, empty):
+        rows = docs
+        for name, f in corpus_pipeline.STAGES[:-1]:
+            rows = f(spark, rows, SF)
+            assert rows.columns == docs.columns, name
+        before, after = docs.collect(), rows.collect()
+        ids = {r["doc_id"] for r in before}
+        assert all(r["doc_id"] in ids and r["_row"] == "x" for r in after)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert sum(r["start"] == 0 for r in packed) == len(before)
+        assert all(len(r["ids"]) == 4 * r["length"] for r in packed)
+
+
 def test_run(spark, stages):
-    key = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+    key = lambda df: sorted((r["doc_id"], r["start"], r["length"], bytes(r["ids"])) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(stages[5])

@@ -1,18 +1,21 @@
 """The corpus pipeline: each stage applies one operator to all rows that the stage before kept.
 
 All stages but the last return the columns of documents; rows that a stage rejects are gone, and text that it changes is
-changed (n_chars follows). The last returns the pieces of the packed sequences.
+changed (n_chars follows). The last returns the pieces of the packed sequences with their token ids.
+
+Edge cases are those of the operators: a null text is rejected as low quality where there is a classifier, and else packed
+as one end id; a null doc_id is kept by near-dedup; rows with one doc_id are judged by their own texts, but for near-dedup,
+which keeps or drops them together; other columns, also with names that operators use inside, pass all stages but the
+last; an empty table gives an empty result at each stage.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination, near_dedup, packing, quality, suffix_dedup
-from larkspur.llm.common import shared_dir
+from larkspur.llm.common import release, tables_written, written
 from larkspur.llm.queries import table
 
 
@@ -38,8 +41,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the token sequences."""
-    return packing.digest(docs)
+    """Pieces of the token sequences, with their ids (little-endian unsigned 32-bit)."""
+    return packing.placed_pieces(docs)
 
 
 STAGES = [
@@ -55,10 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over documents, each written as Parquet to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order over documents, each written as Parquet to the shared folder and read again; once that is done, what the stage wrote on its way and what it read are removed."""
+    docs, mark = table(spark, sf_dir, "documents"), tables_written()
     for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir), name)
+        release(mark, keep=1)
     return docs

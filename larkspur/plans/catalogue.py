@@ -667,9 +667,25 @@ def event_sessions(spark, sf):
     return ledgers.sessions(table(spark, sf, "events"), "ts", "user_id", "12 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query()
+def _taken(name: str, bucket: str, need: int, before: list[str]) -> str:
+    used = " UNION ALL ".join(f"SELECT t FROM {x}" for x in before) or "SELECT NULL WHERE false"
+    return f"{name} AS (SELECT * FROM f WHERE bucket = '{bucket}' AND t NOT IN ({used}) ORDER BY place LIMIT {need})"
+
+
+_TAKEN = ", ".join(_taken(f"b{i}", bucket, need, [f"b{j}" for j in range(i)]) for i, (bucket, need) in enumerate((("treasuries", 4), ("bonds_aaa_a", 4), ("bonds_bbb", 8), ("bonds_bb", 4))))
+_BUCKET_PROFILE = "median(y) AS m, mad(y) AS d, quantile_cont(y, 0.75) AS q75, quantile_cont(y, 0.9) AS q90, count(*) AS n"
+
+
+@query(f"""WITH r AS (SELECT 'T' || (p_partkey % 97) AS t, 'S' || p_partkey AS s, p_size / 4.0 AS raw, (['bonds_aaa_a', 'bonds_bbb', 'bonds_bb', 'treasuries', ''])[1 + p_partkey % 5] AS bucket FROM part),
+  c AS (SELECT t, s, bucket, CAST(CASE WHEN raw <= 1 THEN raw * 100 ELSE raw END AS DOUBLE) AS y FROM r WHERE CASE WHEN raw <= 1 THEN raw * 100 ELSE raw END BETWEEN 0.0001 AND 25),
+  p AS (SELECT bucket, {_BUCKET_PROFILE} FROM c GROUP BY bucket), b AS (SELECT bucket, n, greatest(0, m - 2.5 * greatest(d, 0.35)) AS lower, least(q90, m + 2.5 * greatest(d, 0.35)) AS upper FROM p),
+  x AS (SELECT c.*, n, y BETWEEN lower AND upper AS inside, count(*) FILTER (y BETWEEN lower AND upper) OVER (PARTITION BY c.bucket) AS k FROM c JOIN b ON b.bucket = c.bucket), kept AS (SELECT t, s, bucket, y FROM x WHERE inside OR k < greatest(3, least(5, n))),
+  p2 AS (SELECT bucket, {_BUCKET_PROFILE} FROM kept GROUP BY bucket), t2 AS (SELECT bucket, least(q75, m + 1.25 * greatest(d, 0.35)) AS target, greatest(least(q90, m + 2.5 * greatest(d, 0.35)) - greatest(0, m - 2.5 * greatest(d, 0.35)), 1) AS spread FROM p2),
+  z AS (SELECT kept.*, greatest(0, 1 - abs(y - target) / spread) AS score, abs(y - target) AS distance FROM kept JOIN t2 ON t2.bucket = kept.bucket),
+  o AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY bucket, t ORDER BY score DESC, distance, y DESC, t, s) = 1), f AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, distance, y DESC, t, s) AS place FROM o), {_TAKEN}
+  SELECT bucket, t AS "Ticker", s AS "Symbol_x", y AS current_yield, CAST(1 AS INT) AS round FROM (SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3)""")
 def portfolio_proposal(spark, sf):
-    """Buckets that exclude one another's tickers: held against a plain loop in tests."""
+    """Every bucket finds what it needs here; left-over rounds are held against a plain loop in tests."""
     k = F.col("p_partkey") % 5
     rating = F.when(k == 0, "AA+").when(k == 1, "BBB").when(k == 2, "BB-").when(k == 3, "UST").otherwise("B")
     part = table(spark, sf, "part").select(F.concat(F.lit("T"), F.col("p_partkey") % 97).alias("Ticker"), F.concat(F.lit("S"), "p_partkey").alias("Symbol"), (F.col("p_size") / 4).alias("Current Yield"), rating.alias("S&P Equivalent"))

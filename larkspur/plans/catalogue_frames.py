@@ -448,3 +448,22 @@ def default_plans(spark, sf):
             raise ValueError(f"{a[1]}: {same}")
         rows.append((a[0], a[1], plan["treasuries"], plan["bonds"], plan["stocks"]))
     return spark.createDataFrame(rows, "id int, archetype string, treasuries double, bonds double, stocks double")
+
+
+@query("""SELECT (SELECT 'p7' FROM orders WHERE o_orderkey = 7) AS named, (SELECT 'p' || o_orderkey FROM orders WHERE o_orderkey % 2 = 1 ORDER BY o_orderdate DESC, 'fees_' || o_orderkey || '.csv' DESC LIMIT 1) AS newest""")
+def named_files(spark, sf):
+    """A file by its whole name, and the last modified one with a prefix."""
+    key = F.col("o_orderkey")
+    name = F.concat(F.when(key % 2 == 1, "fees_").otherwise("nav_"), key, F.lit(".csv"))
+    landed = table(spark, sf, "orders").select(F.concat(F.lit("p"), key).alias("path"), name.alias("name"), F.col("o_orderdate").alias("modified"))
+    return spark.createDataFrame([(files.file_named(landed, "fees_7.csv").first()["path"], files.newest_path(landed, "fees_"))], "named string, newest string")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS document_id, p_name || ', "' || p_type || '"' AS note FROM part""")
+def ledger_rows(spark, sf):
+    """A ledger of files with one header each, with quotes and commas in its cells."""
+    path = scratch(spark, "ledger")
+    note = F.concat("p_name", F.lit(', "'), "p_type", F.lit('"'))
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("document_id"), note.alias("note"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return files.ledger(spark, path, ["document_id", "note"])

@@ -58,7 +58,7 @@ class AfterBlank(dict):
 class Encoder:
     """Ids of texts (little-endian unsigned 32-bit, as bytes) by a byte-level BPE of the `tokenizers` library.
 
-    The library's own way through a text costs more than twice as much as cutting it by the vocabulary's pattern and
+    The library's own way through a text costs about twice as much as cutting it by the vocabulary's pattern and
     asking the library's model for each distinct word; the ids are the same. A blank before something that is not white
     space always begins a word of the pattern, so a text without other blanks is cut there first, and each distinct part
     by the pattern once.

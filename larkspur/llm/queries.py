@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import chat, context_tree, decontamination, fingerprints, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup
+from larkspur.llm import chat, context_tree, decontamination, fingerprints, language_id, near_dedup, nearest, packing, quality, substring_dedup, suffix_dedup
 
 #: Rows and bytes of an Arrow batch: they bound what a Python worker holds of documents at once (one row at least).
 BATCH_ROWS, BATCH_BYTES = 512, 32_000_000
@@ -58,5 +58,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_substring_dedup, op4_language_id, op5_fingerprints, op6_quality, op7_context_tree, op8_packing, op9_chat_format, op10_suffix_dedup)}
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.digest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_substring_dedup, op4_language_id, op5_fingerprints, op6_quality, op7_context_tree, op8_packing, op9_chat_format, op10_suffix_dedup, op11_nearest)}
 SQL: dict[str, str] = {"op1_near_dedup": near_dedup.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL, "op10_suffix_dedup": suffix_dedup.ORACLE_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import chat, context_tree, decontamination, fingerprints, language_id, near_dedup, nearest, packing, quality, repair, substring_dedup, suffix_dedup
+from larkspur.llm import chat, context_tree, decontamination, fingerprints, language_id, near_dedup, nearest, packing, periodic, quality, repair, substring_dedup, suffix_dedup
 
 #: Rows and bytes of an Arrow batch: they bound what a Python worker holds of documents at once (one row at least).
 BATCH_ROWS, BATCH_BYTES = 512, 32_000_000
@@ -62,9 +62,13 @@ def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.digest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_substring_dedup, op4_language_id, op5_fingerprints, op6_quality, op7_context_tree, op8_packing, op9_chat_format, op10_suffix_dedup, op11_nearest, op13_repair)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_substring_dedup, op4_language_id, op5_fingerprints, op6_quality, op7_context_tree, op8_packing, op9_chat_format, op10_suffix_dedup, op11_nearest, op12_periodic, op13_repair)}
 SQL: dict[str, str] = {"op1_near_dedup": near_dedup.ORACLE_SQL, "op9_chat_format": chat.ORACLE_SQL, "op10_suffix_dedup": suffix_dedup.ORACLE_SQL, "op13_repair": repair.ORACLE_SQL}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,25 +13,50 @@ from larkspur.fixed_values import CHUNK_CHARS, GLOSSARY_LINE, LEAK_MARKERS, PAGE
 from larkspur.functions.numbers import bound
 
 
-def _folds() -> tuple[str, str]:
-    """Latin letters with marks and the plain letters they decompose to, from the character tables."""
-    import unicodedata
+class Fold:
+    """A replacement of characters beyond ASCII by ASCII letters, one or several, as a rule over all code points says."""
+
+    def __init__(self, rule: Callable[[str], str]):
+        single, several = {}, {}
+        for code in range(0x80, LAST_LETTER):
+            plain = rule(chr(code))
+            if plain:
+                (single if len(plain) == 1 else several)[chr(code)] = plain
+        self.marked, self.plain = "".join(single), "".join(single.values())
+        self.several = "\x02".join(f"{k}\x01{v}" for k, v in several.items())
+        self.any = "[" + "".join(several) + "]"
+
+    def __call__(self, c: Column) -> Column:
+        """c with letters replaced; other characters beyond ASCII stay. Texts with a letter that becomes several are taken apart, others are translated whole."""
+        table = F.str_to_map(F.lit(self.several), F.lit("\x02"), F.lit("\x01"))
+        apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+        return F.translate(F.when(c.rlike(self.any), apart).otherwise(c), self.marked, self.plain)
+
+
+#: Beyond this code point no character decomposes to ASCII or folds to it.
+LAST_LETTER = 0x20000
+
+
+@cache
+def ascii_fold() -> Fold:
+    """Compatibility decomposition, of which ASCII stays."""
+    return Fold(lambda x: unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
+
 
-    marked, plain = [], []
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        ascii_form = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(ascii_form) == 1:
-            marked.append(chr(code))
-            plain.append(ascii_form)
-    return "".join(marked), "".join(plain)
+@cache
+def identity_fold() -> Fold:
+    """Compatibility decomposition without combining marks, then full case folding, of which letters a to z and digits stay."""
 
+    def rule(x: str) -> str:
+        bare = "".join(p for p in unicodedata.normalize("NFKD", x) if not unicodedata.combining(p))
+        return "".join(p for p in bare.casefold() if p.isascii() and p.isalnum())
 
-MARKED, PLAIN = _folds()
+    return Fold(rule)
 
 
 def without_marks(c: Column) -> Column:
-    """Latin letters without their marks; other characters beyond ASCII go."""
-    return F.regexp_replace(F.translate(c, MARKED, PLAIN), r"[^\x00-\x7F]", "")
+    """Letters as the ASCII letters that they decompose to; other characters beyond ASCII go."""
+    return F.regexp_replace(ascii_fold()(c), r"[^\x00-\x7F]", "")
 
 
 def normalized_name(c: Column) -> Column:
@@ -41,9 +70,8 @@ def normalized_country(c: Column) -> Column:
 
 
 def identity_key(c: Column) -> Column:
-    """Letters and digits alone, without case and marks."""
-    folded = F.lower(F.translate(F.coalesce(c, F.lit("")), MARKED, PLAIN))
-    return F.regexp_replace(folded, r"[^\p{L}\p{N}]", "")
+    """Letters a to z and digits alone, after folding of case and marks; '' for null."""
+    return F.regexp_replace(F.lower(F.regexp_replace(identity_fold()(F.coalesce(c, F.lit(""))), r"[^\x00-\x7F]", "")), "[^a-z0-9]", "")
 
 
 def document_text(c: Column) -> Column:

@@ -7,13 +7,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a side up to which it is worth sending to every task; larger ones are left to the planner.
-SMALL_ROWS = 100_000
+from larkspur.operators import intervals
+
+#: Rows and bytes of a side up to which it is worth sending to every task; larger ones are left to the planner.
+SMALL_ROWS, SMALL_BYTES = 100_000, 32_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if counting finds it small; else left to the planner."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    """df, marked for broadcast if counting its rows and their bytes as text finds it small; else left to the planner."""
+    width = F.octet_length(F.to_json(F.struct("*"))) if df.columns else F.lit(0)
+    n, size = df.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if n <= SMALL_ROWS and (size or 0) <= SMALL_BYTES else df
 
 
 def as_of(bars: DataFrame, key: str, ts: str, value: str, anchors: list[tuple[int, Column]]) -> DataFrame:
@@ -35,10 +39,16 @@ def anchor_returns(values: DataFrame, key: str, value: str, needed: int) -> Data
     return pairs.select(key, F.bround(mean * 100, 4).alias("average_return"))
 
 
+#: Ranges up to which every row is held against each of them; more are joined by intervals.
+FEW_RANGES = 64
+
+
 def in_range(df: DataFrame, value: Column, ranges: DataFrame, low: str, high: str, closed_top: float | None = None) -> DataFrame:
-    """Left join with a small table of half-open ranges; the top one includes its end."""
+    """Left join with the half-open ranges that hold the value; the top one includes its end."""
+    if ranges.limit(FEW_RANGES + 1).count() > FEW_RANGES:
+        return intervals.within(df, value, ranges, low, high, closed_top)
     inside = (value >= F.col(low)) & ((value < F.col(high)) | ((value == F.col(high)) & (F.col(high) == F.lit(closed_top)) if closed_top is not None else F.lit(False)))
-    return df.join(small(ranges), inside, "left")
+    return df.join(F.broadcast(ranges), inside, "left")
 
 
 def right_by_prefixed_key(left: DataFrame, left_key: str, right: DataFrame, right_key: str, prefix: str) -> DataFrame:

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators import joins, ranks
+
 #: Fixed values of the screen: least spread, widths, least rows kept.
 LEAST_MAD, WIDTH, TARGET_WIDTH = 0.35, 2.5, 1.25
 
 
 def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per group: n, median, mad, q75, q90, lower, upper, target, spread. Exact quantiles of groups; groups are instruments of one bucket."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    quantiles = df.groupBy(*keys).agg(F.count(value).alias("n"), q.alias("_q"))
-    centred = df.join(quantiles.select(*keys, F.col("_q")[0].alias("_m")), keys) if keys else df.crossJoin(quantiles.select(F.col("_q")[0].alias("_m")))
-    mads = centred.groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col("_m"))).alias("mad"))
+    """Per group: n, median, mad, q75, q90, lower, upper, target, spread. Quantiles are exact, for groups of any size (see ranks.quantiles)."""
+    quantiles = ranks.quantiles(df, keys, value, [0.5, 0.75, 0.9]).withColumnRenamed("q", "_q")
+    medians = quantiles.select(*keys, F.col("_q")[0].alias("_m"))
+    centred = df.join(joins.small(medians), keys) if keys else df.crossJoin(medians)  # one row without keys
+    mads = ranks.quantiles(centred.withColumn("_d", F.abs(F.col(value) - F.col("_m"))), keys, "_d", [0.5]).select(*keys, F.col("q")[0].alias("mad"))
     both = quantiles.join(mads, keys) if keys else quantiles.crossJoin(mads)
     floor = F.greatest("mad", F.lit(LEAST_MAD))
     median, q75, q90 = (F.col("_q")[i] for i in range(3))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DateType, DoubleType, FloatType, MapType, StructType, TimestampNTZType, TimestampType
 
 from larkspur.functions.numbers import any_of
+from larkspur.operators import ranks
 
 
 def where_equal(df: DataFrame, query: Mapping[str, object], ignore_unknown: bool = False, allow_lists: bool = True) -> DataFrame:
@@ -89,16 +90,9 @@ def top(df: DataFrame, keys: list[str], order: list[Column], n: int | Column) ->
     return df.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
 
-#: Rows that one task numbers.
-NUMBERED_A_TASK = 100_000
-
-
-def numbered_batches(df: DataFrame, size: int, key: str, buckets: int | None = None) -> DataFrame:
-    """Adds `batch`: rows in groups of at most `size`. Rows are numbered within buckets of the key, as many as the table's rows ask for, so no task sorts the table; a bucket's last batch may be short."""
-    buckets = buckets or max(1, -(-df.count() // NUMBERED_A_TASK))
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return df.withColumn("_b", bucket).withColumn("batch", F.struct(F.col("_b").alias("bucket"), F.floor(place / size).alias("number"))).drop("_b")
+def numbered_batches(df: DataFrame, size: int, key: str, rows_a_task: int = ranks.ROWS_A_TASK) -> DataFrame:
+    """Adds `batch`: the number of each row's batch of `size` in the order of a key without ties, over the whole table; all batches but the last are full."""
+    return ranks.numbered(df, key, "_place", rows_a_task).withColumn("batch", F.floor(F.col("_place") / size)).drop("_place")
 
 
 def split_valid(df: DataFrame, reasons: list[tuple[Column, str]]) -> tuple[DataFrame, DataFrame]:

@@ -399,8 +399,8 @@ def newest_of_each(spark, sf):
 
 @query("""SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 75 AS BIGINT) AS number FROM part""")
 def quote_batches(spark, sf):
-    """A table of up to a hundred thousand ids is one bucket, whose batches run on."""
-    return selection.numbered_batches(table(spark, sf, "part").select("p_partkey"), 75, "p_partkey").select("p_partkey", F.col("batch.number").cast("long").alias("number"))
+    """Batches are numbered over the whole table, by ranges of ids that one task can sort."""
+    return selection.numbered_batches(table(spark, sf, "part").select("p_partkey"), 75, "p_partkey").select("p_partkey", F.col("batch").cast("long").alias("number"))
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 4 <> 1 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 ORDER BY o_orderdate, o_custkey LIMIT 50""")

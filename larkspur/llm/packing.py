@@ -61,7 +61,7 @@ class Encoder:
     The library's own way through a text costs about twice as much as cutting it by the vocabulary's pattern and
     asking the library's model for each distinct word; the ids are the same. A blank before something that is not white
     space always begins a word of the pattern, so a text without other blanks is cut there first, and each distinct part
-    by the pattern once.
+    by the pattern once. A text that spells one of the vocabulary's added tokens goes through the library whole.
     """
 
     def __init__(self, path: str | None = None):
@@ -78,12 +78,15 @@ class Encoder:
         self.byte_level = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.known = Words(self.tokenizer.model, self.byte_level)
         self.parts = AfterBlank(self.known, self.cut)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd_blank = regex.compile(r" (?:\s|\Z)").search
 
     def __call__(self, text: str) -> bytes:
         for held in (self.known, self.parts):
             if len(held) > HELD_WORDS:
                 held.clear()
+        if any(content in text for content in self.added):  # such a token is found before the pattern cuts
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if self.odd_blank(text):
             return b"".join(map(self.known.__getitem__, self.cut(text)))
         first, *parts = text.split(" ")

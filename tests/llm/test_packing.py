@@ -105,3 +105,11 @@ def test_odd_rows(odd, empty):
     assert sum(r["start"] == 0 for r in rows) == 13
     assert {r["length"] for r in rows if r["doc_id"] in (3, 4)} == {1}
     assert packing.digest(empty).count() == 0
+
+
+def test_added_tokens_of_the_vocabulary():
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.Encoder()
+    for text in ("<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>", "<|endoftext|> y", "< |endoftext|>", "<|endoftext|", "été <|endoftext|>\n\nend"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+    assert np.frombuffer(encode("<|endoftext|>"), "<u4").tolist() == [50256]

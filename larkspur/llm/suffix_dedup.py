@@ -16,7 +16,7 @@ A byte is removed if a string of ``least`` bytes that covers it also starts in a
 No group grows with a hot text: a block sends one entry per distinct segment, however many of its documents hold it.
 
 Edge cases: null text is empty; texts below ``least`` bytes are kept; whole copies lose everything to the smallest
-doc_id; rows with equal doc_id never remove each other's bytes; an empty table gives an empty result; other columns are
+doc_id; rows with equal doc_id never remove each other's bytes; a row without doc_id removes nothing and loses nothing; an empty table gives an empty result; other columns are
 ignored here and kept by filtered().
 """
 
@@ -30,8 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from xxhash import xxh3_64_intdigest
 
-from larkspur.llm.common import BASE, BLOCK_BYTES, BYTE_VALUES, block_count, blobs, column_bytes, gram_hashes, in_blocks, long_column, mixed, power_table, runs_of, text_column, window_minima, written
+from larkspur.llm.common import BLOCK_BYTES, block_count, blobs, column_bytes, gram_hashes, in_blocks, long_column, mixed, runs_of, text_column, window_minima, written
 
 LEAST, ANCHOR, SHARDS, RUN_BYTES = 50, 20, 4, 1_000_000
 #: Blocks whose anchors meet in one bucket of the shuffle.
@@ -82,11 +83,11 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, skip: np.ndarray, least:
     first, windows = first[use], windows[use]
     if not len(first):
         return none
-    powers, inverse = power_table(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers[: len(data)], out=total[1:])
-    length = windows + least - 1
-    segment = mixed((total[first + length] - total[first]) * inverse[first] + length.astype(np.uint64) * BASE)
+    if only is None:  # anchors alone are asked for
+        return doc[first], first, windows, low[first], np.zeros(len(first), np.uint64)
+    view = memoryview(np.ascontiguousarray(data))
+    ends = (first + windows + least - 1).tolist()
+    segment = np.fromiter((xxh3_64_intdigest(view[i:j]) for i, j in zip(first.tolist(), ends, strict=True)), np.uint64, len(first))
     return doc[first], first, windows, low[first], segment
 
 
@@ -106,6 +107,7 @@ def message_parts(messages: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarra
 def duplicate_bytes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, block_bytes: int = BLOCK_BYTES, whole_characters: bool = False, rest: Column | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, the removed spans (byte offsets) and the bytes kept. whole_characters: one that loses a byte goes whole. rest: a struct that travels with the row."""
     plain = text_column(docs if rest is None else docs.select("doc_id", "text", rest.alias("rest")), *([] if rest is None else ["rest"]))
+    nameless, plain = plain.where("doc_id is null"), plain.where("doc_id is not null")
     n = block_count(plain, block_bytes)
     buckets = max(1, math.ceil(n / BLOCKS_A_BUCKET))
     blocked = in_blocks(plain, n)
@@ -175,7 +177,10 @@ def duplicate_bytes(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, b
     known = copy_messages.unionByName(repeats)
     candidates = by_block.cogroup(known.groupBy("block")).applyInArrow(segments, dealt_schema)
     found = candidates.groupBy("bucket").applyInArrow(compared, MESSAGE)
-    return by_block.cogroup(known.unionByName(found).groupBy("block")).applyInArrow(removed, result)
+    left = by_block.cogroup(known.unionByName(found).groupBy("block")).applyInArrow(removed, result)
+    size = F.octet_length("text").cast("long")
+    whole = nameless.select("doc_id", size.alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.encode("text", "UTF-8").alias("kept"), *result.names[5:])
+    return left.unionByName(whole)
 
 
 def little_endian(column: str):
@@ -345,7 +350,7 @@ def merged_transforms(strings: list[np.ndarray], doc: np.ndarray, least: int, sh
     source = np.repeat(np.arange(len(held), dtype=np.uint8), [len(s.suffix) for s in held])
     block = np.zeros(len(source), np.int32)
     symbol = np.empty(len(source), np.uint8)
-    common = np.full(len(source), least, np.uint8)  # bytes in common with the suffix before, up to `least`: the round before its border came
+    common = np.full(len(source), least, np.min_scalar_type(least))  # bytes in common with the suffix before, up to `least`: the round before its border came
     common[:1] = 0
     for done in range(least):
         for s, shard in enumerate(held):
@@ -398,5 +403,5 @@ WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
   c AS (SELECT b.doc_id, b.i, b, coalesce(max(hits.i) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS UNBOUNDED PRECEDING) + 50 > b.i, false) AS gone FROM b LEFT JOIN hits ON hits.doc_id = b.doc_id AND hits.i = b.i),
   r AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS start FROM c),
   g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (start) AS n_spans, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM r GROUP BY doc_id)
-SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM n d LEFT JOIN g ON g.doc_id = d.doc_id
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, CASE WHEN d.doc_id IS NULL THEN h ELSE '' END))) AS kept_sha256 FROM n d LEFT JOIN g ON g.doc_id = d.doc_id
 """

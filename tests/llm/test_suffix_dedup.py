@@ -88,3 +88,28 @@ def test_filtered_leaves_valid_text(spark, odd, empty):
     df = spark.createDataFrame([(1, "ab" + "é"[0] + "©" + "q" * 60), (2, "xyé" + "q" * 60 + " rest")], "doc_id long, text string")
     cut = {r["doc_id"]: r["text"] for r in suffix_dedup.filtered(df).collect()}
     assert cut[2] in ("xyé rest", "xy rest") and shared in cut[1]
+
+
+def test_rows_without_doc_id_neither_take_nor_lose(spark, prose):
+    text = prose(40, 1)
+    rows = [(None, text), (None, text + " more"), (7, text), (3, "x " + text), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], bytes(r["kept"]).decode()): r["n_removed"] for r in suffix_dedup.duplicate_bytes(df).collect()}
+    assert [n for (d, _), n in got.items() if d is None] == [0, 0, 0] and got[None, text] == 0
+    assert got[3, "x " + text] == 0 and got[7, ""] == len(text)
+    assert suffix_dedup.filtered(df).where("doc_id is null").count() == 3
+
+
+def test_lengths_beyond_a_byte(spark, prose):
+    passage = prose(90, 5)
+    texts = {1: passage + " one", 2: "two " + passage, 3: passage[:280], 4: passage[100:420] + prose(9, 6)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = suffix_dedup.duplicate_bytes(df, least=300).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in got} == plain(texts, 300)
+
+
+def test_segments_that_polynomials_take_for_equal(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    check(spark, {1: "start " + word + " end", 2: "start " + word.translate(str.maketrans("ab", "ba")) + " end"})

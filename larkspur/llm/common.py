@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 #: Bytes of text that one grouped task holds at once (a single longer document still forms one block).
 BLOCK_BYTES = 12_000_000
@@ -181,6 +182,17 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - length)], h[w - length :]) if length < w else h
 
 
+def value_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash (XXH3) of each of the strings that lie end to end in data; each distinct string is hashed once."""
+    at = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
+    column = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    coded = column.dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    return np.fromiter(map(xxh3_64_intdigest, known), np.uint64, len(known))[np.asarray(coded.indices)]
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -206,21 +218,5 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.text = np.searchsorted(offsets, self.start, side="right") - 1
         self.low = low
-        # A word's hash: sum of value(byte) * BASE**(place in the word), from prefix sums divided by a power of BASE.
-        powers, inverse = power_table(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[low] * powers[: len(data)], out=total[1:])
-        self.hash = mixed((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = value_hashes(low[word], self.end - self.start)
         self.bounds = np.searchsorted(self.text, np.arange(self.n_texts + 1))
-
-
-_POWERS: list[np.ndarray] = []
-
-
-def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, grown as needed."""
-    if not _POWERS or len(_POWERS[0]) < n + 1:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
-        inverse = np.uint64(pow(int(BASE), -1, 2**64))
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, x)]), dtype=np.uint64) for x in (BASE, inverse)]
-    return _POWERS[0], _POWERS[1]

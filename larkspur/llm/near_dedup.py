@@ -64,13 +64,24 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.n
             yield np.zeros(0, np.uint64)
 
 
+def multipliers(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of m registers."""
+    times, plus = [_TIMES[:m]], [_PLUS[:m]]
+    for i in range(1, math.ceil(m / 4096)):
+        more = np.random.default_rng((7, i))
+        times.append(more.integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        plus.append(more.integers(0, 2**64, 4096, dtype=np.uint64))
+    return np.concatenate(times)[:m], np.concatenate(plus)[:m]
+
+
 def registers(grams: np.ndarray, m: int) -> np.ndarray:
     """SetSketch registers of a set of hashes."""
     if not len(grams):
         return np.zeros(m, np.uint16)
     low = np.full(m, 2**64 - 1, np.uint64)
+    times, plus = multipliers(m)
     for i in range(0, len(grams), 4096):
-        low = np.minimum(low, (grams[i : i + 4096][None, :] * _TIMES[:m, None] + _PLUS[:m, None]).min(axis=1))
+        low = np.minimum(low, (grams[i : i + 4096][None, :] * times[:, None] + plus[:, None]).min(axis=1))
     least = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**64) / RATE
     return np.clip(np.floor(1 - np.log(np.maximum(least, 1e-300)) / math.log(BASE_LEVEL)), 0, 65535).astype(np.uint16)
 

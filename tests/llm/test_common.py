@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 from larkspur.llm import common
@@ -26,3 +27,13 @@ def test_tables_are_released_but_for_the_last(spark):
     assert second.columns == ["id"]
     common.release(mark)
     assert common.tables_written() == mark
+
+
+def test_words_that_polynomials_take_for_equal():
+    word = "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{word} {other} {word.upper()}".encode(), np.uint8)
+    found = common.Words(data, np.array([0, len(data)])).hash
+    assert found[0] == found[2] != found[1]

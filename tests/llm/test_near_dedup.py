@@ -114,3 +114,9 @@ def test_a_large_component_beside_a_few_others(spark, prose, monkeypatch):
         texts[d] = " ".join(words)
     got = near_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 5, 80).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == groups(texts, 5, 80)
+
+
+def test_low_thresholds_have_as_many_registers_as_they_need(spark, prose):
+    assert near_dedup.band_count(0.3) * near_dedup.ROWS > 4096
+    times, plus = near_dedup.multipliers(9000)
+    assert len({*times.tolist()}) == len(plus) == 9000 and (times % 2 == 1).all()

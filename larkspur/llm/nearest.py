@@ -392,7 +392,7 @@ def searched(graph: DataFrame, queries: DataFrame) -> DataFrame:
         reached, bounds = unpacked(rows["chosen"], np.int64)
         nbrs, have = unpacked(rows["nbrs"], np.int64)
         places = np.searchsorted(ids, reached)
-        got = np.concatenate([np.zeros(0), *((unit[places[a:b]] @ mine[i]) * length[places[a:b]] for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)))])
+        got = np.concatenate([np.zeros(0), *((unit[places[a:b]] @ mine[i]) * length[places[a:b]] for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b)])
         n = len(mine)
         row = np.concatenate((np.repeat(np.arange(n), np.diff(have)), np.repeat(np.arange(n), np.diff(bounds))))
         flags = np.concatenate((1 - unpacked(rows["done"], np.uint8)[0], np.ones(len(reached), np.uint8)))
@@ -405,6 +405,7 @@ def searched(graph: DataFrame, queries: DataFrame) -> DataFrame:
         asked = written(beams.mapInArrow(choose, BEAMS), "beams")
         release(mark, keep=1)
         if asked.where(F.length("chosen") > 0).limit(1).count() == 0:
+            beams = asked
             break
         reached = written(asked.groupBy("block").cogroup(placed(asked, "chosen").join(net, "id").groupBy("block")).applyInArrow(follow, BEAMS), "reached")
         release(mark, keep=1)

@@ -79,6 +79,11 @@ def inside(words: Column, box: Column) -> Column:
     return F.filter(words, centred)
 
 
+def centre(polygon: Column) -> tuple[Column, Column]:
+    b = bounds(polygon)
+    return (b["left"] + b["right"]) / 2, (b["top"] + b["bottom"]) / 2
+
+
 def weighted_confidence(parts: Column) -> Column:
     """Mean confidence of parts (struct(text, confidence)) weighted by text length, 1 at least; parts without one are left out."""
     known = F.filter(parts, lambda p: p["confidence"].isNotNull())

@@ -113,3 +113,18 @@ def carried(df: DataFrame, keys: list[str], order: list[Column], value: Column,
     """Adds the last value that is not null up to each row."""
     frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(name, F.last(value, ignorenulls=True).over(frame))
+
+
+def carried_in_parts(df: DataFrame, keys: list[str], part: str, order: list[Column], value: Column, name: str) -> DataFrame:
+    """As carried, where rows of a key come in parts (splits of a file) that follow one another: no task holds more than a part.
+
+    The last value of each part goes, over the parts (a row each), to the parts behind it; within a part rows take their own.
+    """
+    valued = df.withColumn("_value", value)
+    frame = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = valued.withColumn("_own", F.last("_value", ignorenulls=True).over(frame))
+    lasts = valued.where("_value is not null").groupBy(*keys, part).agg(F.max_by("_value", F.struct(*order)).alias("_last"))
+    parts = valued.select(*keys, part).distinct().join(lasts, [*keys, part], "left")
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.select(*keys, part, F.last("_last", ignorenulls=True).over(before).alias("_before"))
+    return own.join(small(carry), [*keys, part]).withColumn(name, F.coalesce("_own", "_before")).drop("_value", "_own", "_before")

@@ -71,6 +71,25 @@ def screenings(contacts: DataFrame, links: DataFrame, accounts: DataFrame, ofac:
     return scored.withColumn("error", error).select(F.col("id").alias("contact_id"), "ofac", "uk", "un", risk.fatf_status(F.col("country")).alias("fatf_status"), "kind", "country", F.when(F.col("error").isNull(), score).alias("risk_score"), "error")
 
 
+#: Where an application lists people, by customer type, and whether the first alone counts.
+PEOPLE = (
+    ("INDIVIDUAL", "$.customer.accountHolder.accountHolderDetails", True),
+    ("JOINT", "$.customer.jointHolders.firstHolderDetails", True),
+    ("JOINT", "$.customer.jointHolders.secondHolderDetails", True),
+    ("ORG", "$.customer.organization.associatedEntities.associatedIndividuals", False),
+)
+
+
+def applicant_names(accounts: DataFrame, application: Column) -> DataFrame:
+    """(id, name): the normalised names of the holders, joint holders or associates that an application (a variant) lists, each once. Lists of any length: one row a person."""
+    kind = risk.customer_type([F.try_variant_get(application, "$.customer.type", "string")])
+    lists = F.array(*[F.struct((kind == k).alias("fits"), F.try_variant_get(application, path, "variant").alias("people"), F.lit(first).alias("first")) for k, path, first in PEOPLE])
+    listed = accounts.select("id", F.explode(lists).alias("l")).where("l.fits").select("id", F.col("l.people").alias("people"), F.col("l.first").alias("first"))
+    persons = listed.lateralJoin(listed.sparkSession.tvf.variant_explode(F.col("people").outer())).where((F.col("pos") == 0) | ~F.col("first"))
+    part = lambda which: F.trim(F.coalesce(F.try_variant_get("value", f"$.name.{which}", "string"), F.lit("")))
+    return persons.select("id", text.normalized_name(F.concat_ws(" ", part("first"), part("last"))).alias("name")).where("name <> ''").distinct()
+
+
 def matched_person(people: Column, first: Column, middle: Column, last: Column, email: Column) -> Column:
     """The first of the people (struct(firstName, middleName, lastName, email)) with the contact's name or e-mail; else the first."""
     names = F.array(text.normalized_name(F.concat_ws(" ", first, last)), text.normalized_name(F.concat_ws(" ", first, middle, last)))

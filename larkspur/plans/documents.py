@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 from larkspur.fixed_values import GLOSSARY_CHARS, GLOSSARY_ENTRIES, PLACEHOLDER, PROTECTED_PATTERNS, TERMINAL_FAILURES
 from larkspur.functions import ocr, text
 from larkspur.functions.numbers import bound
-from larkspur.operators import selection
+from larkspur.operators import intervals, selection
 
 
 def decoded(df: DataFrame, data: str = "data", kind: str = "mime_type") -> DataFrame:
@@ -130,3 +130,17 @@ def restored(df: DataFrame, translated: str = "translated") -> DataFrame:
     filled = F.aggregate(F.reverse(F.arrays_zip(names.alias("n"), F.col("values").alias("v"))), F.col(translated), lambda s, p: F.replace(s, p["n"], p["v"]))
     told = bound(lost, lambda l: F.when(F.size(l) > 0, F.concat(F.lit("The model omitted or duplicated protected values: "), F.array_join(F.slice(l, 1, 5), ", "))))
     return df.withColumn("fault", told).withColumn("restored", F.when(F.col("fault").isNull(), filled))
+
+
+def paragraph_confidences(words: DataFrame, paragraphs: DataFrame, page: list[str]) -> DataFrame:
+    """(page, paragraph_id, words, confidence): of each paragraph (polygon) the words (polygon, confidence) whose centre lies within its bounds, and their mean confidence; none without words.
+
+    Words and paragraphs meet in the cells of a grid, so a page with many of both is neither one task nor a product.
+    """
+    x, y = ocr.centre(F.col("polygon"))
+    box = ocr.bounds(F.col("polygon"))
+    points = words.select(*page, "confidence", x.cast("double").alias("_x"), y.cast("double").alias("_y"))
+    boxes = paragraphs.select(*page, "paragraph_id", *[box[side].cast("double").alias(f"_{side}") for side in ("left", "top", "right", "bottom")])
+    met = intervals.inside(points, "_x", "_y", boxes, ("_left", "_top", "_right", "_bottom"), page)
+    found = met.groupBy(*page, "paragraph_id").agg(F.count(F.lit(1)).alias("words"), F.avg(F.col("confidence").cast("double")).alias("confidence"))
+    return paragraphs.select(*page, "paragraph_id").join(found, [*page, "paragraph_id"], "left").withColumn("words", F.coalesce("words", F.lit(0)))

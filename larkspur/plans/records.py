@@ -9,6 +9,7 @@ from larkspur.fixed_values import RECIPIENT_SOURCES, REQUEST_FIELDS, REQUEST_KEY
 from larkspur.functions.numbers import is_blank
 from larkspur.functions.text import normalized_name
 from larkspur.operators import selection
+from larkspur.plans.compliance import applicant_names
 
 
 def missing_details(accounts: DataFrame, details: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
@@ -19,15 +20,16 @@ def missing_details(accounts: DataFrame, details: DataFrame, skip: tuple[str, ..
     return asked.join(have, "_n", "left_anti").drop("_n").withColumn("fault", F.when(F.col("master_account").isNull(), F.lit("missing master account")))
 
 
-def merged_responses(prepared: DataFrame, responses: DataFrame) -> DataFrame:
-    """Prepared rows (form, status, message) with the response of the same form number, digits and letters alone; skipped rows stay; without any response, prepared ones are accepted."""
+def merged_responses(prepared: DataFrame, responses: DataFrame, request: tuple[str, ...] = ()) -> DataFrame:
+    """Prepared rows (form, status, message) with the response of the same form number, digits and letters alone; skipped rows stay. Where no form of a request (its columns; none: the whole table is one) is answered, its prepared ones are accepted."""
     plain = lambda c: F.upper(F.regexp_replace(F.col(c).cast("string"), "[^A-Za-z0-9]", ""))
-    last = responses.withColumn("_f", plain("form")).where("_f <> ''").groupBy("_f").agg(F.max(F.struct("n", "status", "message")).alias("_r"))
-    joined = prepared.withColumn("_f", plain("form")).join(last, "_f", "left")
+    last = responses.withColumn("_f", plain("form")).where("_f <> ''").groupBy(*request, "_f").agg(F.max(F.struct("n", "status", "message")).alias("_r"))
+    joined = prepared.withColumn("_f", plain("form")).join(last, [*request, "_f"], "left")
     answered = F.col("_r").isNotNull() & (F.col("status") != "Skipped")
     out = joined.withColumn("status", F.when(answered, F.coalesce("_r.status", F.lit("Submitted"))).otherwise(F.col("status"))).withColumn("message", F.when(answered, F.col("_r.message")).otherwise(F.col("message")))
-    any_answer = F.max((~F.col("status").isin("Prepared", "Skipped")).cast("int")).over(Window.partitionBy(F.lit(0)))  # the forms of one request
-    return out.withColumn("status", F.when((any_answer == 0) & (F.col("status") == "Prepared"), F.lit("Accepted")).otherwise(F.col("status"))).drop("_f", "_r")
+    answers = out.groupBy(*request).agg(F.max((~F.col("status").isin("Prepared", "Skipped")).cast("int")).alias("_any"))
+    beside = out.join(answers, list(request)) if request else out.crossJoin(F.broadcast(answers))  # one row
+    return beside.withColumn("status", F.when((F.col("_any") == 0) & (F.col("status") == "Prepared"), F.lit("Accepted")).otherwise(F.col("status"))).drop("_f", "_r", "_any")
 
 
 def cache_key(content: Column, settings: str) -> Column:
@@ -48,15 +50,31 @@ def population(documents: DataFrame, processing: DataFrame) -> DataFrame:
     return joined.agg(F.count(F.lit(1)).alias("links"), F.countDistinct("document_id").alias("documents"), F.count_if("done").alias("done"), F.count_if(F.col("failed") & ~F.coalesce("done", F.lit(False))).alias("failed"), F.count_if(~F.coalesce("done", F.lit(False))).alias("to_do"))
 
 
+def _mail(c: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(c, F.lit(""))))
+
+
 def account_by_contact(contacts: DataFrame, accounts: DataFrame) -> DataFrame:
-    """(contact id, account id): the newest account whose application has the contact's e-mail or name. Two equi-joins, no OR."""
-    mail = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    """(contact id, account id): the newest account whose e-mail or one of whose names (an array) is the contact's."""
+    names = accounts.select("id", F.explode(F.transform("names", normalized_name)).alias("name")).where("name <> ''")
+    return _newest_account(contacts, accounts.withColumn("mail", _mail(F.col("email"))), names)
+
+
+def account_by_application(contacts: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(contact id, account id): the newest account whose application (application_json, as text) has the contact's e-mail, or lists a holder or associate of the contact's name."""
+    parsed = accounts.withColumn("_application", F.try_parse_json("application_json"))
+    mails = parsed.withColumn("mail", _mail(F.try_variant_get("_application", "$.customer.email", "string")))
+    return _newest_account(contacts, mails, applicant_names(parsed, F.col("_application")))
+
+
+def _newest_account(contacts: DataFrame, accounts: DataFrame, names: DataFrame) -> DataFrame:
+    """Two equi-joins, no OR."""
     stamp = F.coalesce("updated", "created", F.lit(""))
-    rows = accounts.select(F.col("id").alias("account_id"), stamp.alias("stamp"), mail("email").alias("mail"), "names")
-    people = contacts.select(F.col("id").alias("contact_id"), mail("email").alias("mail"), normalized_name(F.col("name")).alias("name"))
+    rows = accounts.select(F.col("id").alias("account_id"), stamp.alias("stamp"), "mail")
+    people = contacts.select(F.col("id").alias("contact_id"), _mail(F.col("email")).alias("mail"), normalized_name(F.col("name")).alias("name"))
     by_mail = people.where("mail <> ''").join(rows, "mail").select("contact_id", "account_id", "stamp")
-    names = rows.select("account_id", "stamp", F.explode(F.transform("names", normalized_name)).alias("name")).where("name <> ''")
-    by_name = people.join(names, "name").select("contact_id", "account_id", "stamp")
+    named = names.withColumnRenamed("id", "account_id").join(rows.select("account_id", "stamp"), "account_id")
+    by_name = people.where("name <> ''").join(named, "name").select("contact_id", "account_id", "stamp")
     return selection.latest(by_mail.unionByName(by_name).distinct(), ["contact_id"], [F.desc("stamp"), F.col("account_id")]).select("contact_id", "account_id")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.fixed_values import CONTROL_RECORDS, OFAC_COLUMNS, STATEMENT_SECTION, UK_HEADER
+from larkspur.operators import joins
+from larkspur.shared import kept
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -15,6 +17,14 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", lines.alias("line", "value"))
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, part, line, value) of text files of any size, read by splits: part is where a split begins, line grows within it. Kept, so that lines keep their numbers. A quoted cell must not hold a line break."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^\ufeff", "").alias("value")
+    )
+    return kept(lines, "lines")
+
+
 def cells(line: Column) -> Column:
     """The cells of a CSV line, quotes removed, doubled quotes single."""
     parts = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^",]*)\s*,'), F.lit(1))
@@ -36,13 +46,15 @@ def columns_of(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.select(*[F.try_element_at("row", F.lit(n)).alias(n) for n in names])
 
 
-def statement_rows(lines: DataFrame, account: str, month_end: Column) -> DataFrame:
-    """(Date, Description, Amount, Account) of an account's section of a statement. An amount that is no number raises; blank ones are skipped."""
+def statement_rows(lines: DataFrame, account: str | None, month_end: Column) -> DataFrame:
+    """(Date, Description, Amount, Account) of an account's section of a statement (account null: of every section). An amount that is no number raises; blank ones are skipped."""
     parsed = lines.withColumn("cells", cells(F.col("value")))
     own = F.when((F.col("cells")[0] == "Account Information") & (F.try_element_at("cells", F.lit(2)) == "Data") & (F.try_element_at("cells", F.lit(3)) == "Account"), F.trim(F.split_part(F.try_element_at("cells", F.lit(4)), F.lit(" "), F.lit(1))))
-    frame = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    current = parsed.withColumn("account", F.last(own, ignorenulls=True).over(frame))
-    data = current.where((F.col("account") == account) & (F.col("cells")[0] == STATEMENT_SECTION) & (F.try_element_at("cells", F.lit(2)) == "Data"))
+    if "part" in lines.columns:
+        current = joins.carried_in_parts(parsed, ["file"], "part", [F.col("line")], own, "account")
+    else:
+        current = joins.carried(parsed, ["file"], [F.col("line")], own, "account")
+    data = current.where((F.col("account").isNotNull() if account is None else F.col("account") == account) & (F.col("cells")[0] == STATEMENT_SECTION) & (F.try_element_at("cells", F.lit(2)) == "Data"))
     text = F.trim(F.replace(F.try_element_at("cells", F.lit(4)), F.lit(","), F.lit("")))
     amount = text.try_cast("double")
     checked = F.when(amount.isNull(), F.raise_error(F.concat(F.lit("no amount: "), text)).cast("double")).otherwise(amount)

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from larkspur.plans import catalogue, catalogue_frames, catalogue_rules  # noqa: F401
+from larkspur.plans import catalogue, catalogue_frames, catalogue_rules, catalogue_scale  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

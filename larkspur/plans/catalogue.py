@@ -523,12 +523,16 @@ def missing_details(spark, sf):
     return records.missing_details(accounts, details, ("12",)).select("c_custkey", "fault")
 
 
-@query("""WITH l AS (SELECT l_orderkey, arg_max(l_linestatus, {'n': l_linenumber, 's': l_linestatus, 'm': l_returnflag}) AS s, arg_max(l_returnflag, {'n': l_linenumber, 's': l_linestatus, 'm': l_returnflag}) AS m FROM lineitem WHERE l_quantity > 30 GROUP BY l_orderkey)
-  SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'Skipped' WHEN l.s IS NOT NULL THEN l.s ELSE 'Prepared' END AS status, CASE WHEN o_orderstatus <> 'P' THEN l.m END AS message FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+@query("""WITH l AS (SELECT l_orderkey, arg_max(l_linestatus, {'n': l_linenumber, 's': l_linestatus, 'm': l_returnflag}) AS s, arg_max(l_returnflag, {'n': l_linenumber, 's': l_linestatus, 'm': l_returnflag}) AS m FROM lineitem WHERE l_quantity > 45 GROUP BY l_orderkey),
+  o AS (SELECT *, CASE WHEN o_orderstatus = 'P' THEN 'Skipped' WHEN l.s IS NOT NULL THEN l.s ELSE 'Prepared' END AS status FROM orders LEFT JOIN l ON l_orderkey = o_orderkey)
+  SELECT o_orderkey, CASE WHEN status = 'Prepared' AND bool_and(status IN ('Prepared', 'Skipped')) OVER (PARTITION BY o_custkey) THEN 'Accepted' ELSE status END AS status, CASE WHEN o_orderstatus <> 'P' THEN m END AS message FROM o""")
 def merged_responses(spark, sf):
-    prepared = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("F-"), "o_orderkey").alias("form"), F.when(F.col("o_orderstatus") == "P", "Skipped").otherwise("Prepared").alias("status"), F.lit(None).cast("string").alias("message"))
-    responses = table(spark, sf, "lineitem").where("l_quantity > 30").select(F.concat(F.lit("f"), "l_orderkey").alias("form"), F.col("l_linenumber").alias("n"), F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("message"))
-    return records.merged_responses(prepared, responses).select("o_orderkey", "status", "message")
+    """A customer's orders are the forms of one request."""
+    orders = table(spark, sf, "orders")
+    prepared = orders.select("o_custkey", "o_orderkey", F.concat(F.lit("F-"), "o_orderkey").alias("form"), F.when(F.col("o_orderstatus") == "P", "Skipped").otherwise("Prepared").alias("status"), F.lit(None).cast("string").alias("message"))
+    answers = table(spark, sf, "lineitem").where("l_quantity > 45").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    responses = answers.select("o_custkey", F.concat(F.lit("f"), "l_orderkey").alias("form"), F.col("l_linenumber").alias("n"), F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("message"))
+    return records.merged_responses(prepared, responses, ("o_custkey",)).select("o_orderkey", "status", "message")
 
 
 @query("""WITH c AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) SELECT count(*) FILTER (h IS NOT NULL) AS hits, count(DISTINCT sha256(text)) FILTER (h IS NULL) AS to_do FROM documents LEFT JOIN c ON h = sha256(text) WHERE text IS NOT NULL""")

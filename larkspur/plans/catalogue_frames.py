@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from larkspur.fixed_values import ARCHETYPES, FATF_CODES, FORMULA_COLUMNS, HIGH_RISK, LOW_RISK, POSITION_COLUMNS, SANCTIONED, WELL_REGULATED
+from larkspur import shared
+from larkspur.fixed_values import ARCHETYPES, FATF_CODES, FORMULA_COLUMNS, HIGH_RISK, LOW_RISK, POSITION_COLUMNS, SANCTIONED, TICKET_BREAKS, TICKET_COLUMNS, WELL_REGULATED
 from larkspur.operators import joins, selection, snapshots
-from larkspur.plans import compliance, documents, portfolio, quotes, records, reports
+from larkspur.plans import compliance, documents, pipeline, portfolio, quotes, records, reports
 from larkspur.plans.catalogue import AS_OF, query, r, table
 from larkspur.plans.catalogue_rules import choice, choice_sql, sql_in
 from larkspur.sources import parsers
 from larkspur.sources import reports as files
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that executors share; a temporary one for local masters without such a folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
-        base = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+scratch = shared.path
 
 
 # --- landed files ------------------------------------------------------------------------------------------------------
@@ -435,19 +426,110 @@ def chosen_input(spark, sf):
     return spark.createDataFrame([(records.chosen_input(landed, "positions.csv", "positions_"),)], "path string")
 
 
-@query("""SELECT id, archetype, CAST(round(treasuries * 100) AS DOUBLE) AS treasuries, CAST(floor((aaa + bbb + bb) * 100 + 0.5) AS DOUBLE) AS bonds, CAST(round(etfs * 100) AS DOUBLE) AS stocks
-  FROM (VALUES """ + ", ".join(f"({a[0]}, '{a[1]}', {a[2]}, {a[3]}, {a[4]}, {a[5]}, {a[6]})" for a in ARCHETYPES) + """) t(id, archetype, treasuries, aaa, bbb, bb, etfs)""")
+_WEIGHTS = ", ".join(f"('{a[1]}', {', '.join(f'{float(x)}::DOUBLE' for x in a[2:9])})" for a in ARCHETYPES)
+_OWN = {"cash": "CAST(10 * (c_custkey % 3) AS DOUBLE)", "treasuries": "20.0", "bonds": "CAST(50 - c_custkey % 7 AS DOUBLE)", "stocks": "CAST(15 + c_custkey % 11 AS DOUBLE)", "aaa": "40.0", "bbb": "35.0", "bb": "25.0"}
+_DEFAULT = {
+    "cash": "0.0", "treasuries": "floor(tr * 100 + 0.5)", "bonds": "floor(b * 100 + 0.5)", "stocks": "floor(e * 100 + 0.5)", "aaa": "CASE WHEN b <= 0 THEN 0 ELSE floor(aa / b * 100 + 0.5) END",
+    "bbb": "CASE WHEN b <= 0 THEN 50 ELSE floor(bbb_w / b * 100 + 0.5) END", "bb": "CASE WHEN b <= 0 THEN 50 ELSE greatest(0, 100 - floor(aa / b * 100 + 0.5) - floor(bbb_w / b * 100 + 0.5)) END",
+}
+_SHOWN = ", ".join(f"CASE WHEN c_custkey % 2 = 0 THEN {_DEFAULT[k]} ELSE {_OWN[k]} END AS {k}" for k in portfolio.PLAN)
+_PLANS_SQL = f"""WITH a(archetype, tr, aa, bbb_w, bb_w, e, lo, hi) AS (VALUES {_WEIGHTS}),
+  s AS (SELECT c_custkey, a.*, aa + bbb_w + bb_w AS b FROM customer JOIN a ON round((c_acctbal + 1000) / 1100, 3) >= lo AND (round((c_acctbal + 1000) / 1100, 3) < hi OR (round((c_acctbal + 1000) / 1100, 3) = hi AND hi = 10))),
+  p AS (SELECT *, {_SHOWN} FROM s),
+  w AS (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN tr ELSE cash / 100 + treasuries / 100 END AS w1, CASE WHEN c_custkey % 2 = 0 THEN aa ELSE bonds / 100 * (aaa / 100) END AS w2, CASE WHEN c_custkey % 2 = 0 THEN bbb_w ELSE bonds / 100 * (bbb / 100) END AS w3,
+    CASE WHEN c_custkey % 2 = 0 THEN bb_w ELSE bonds / 100 * (bb / 100) END AS w4, CASE WHEN c_custkey % 2 = 0 THEN e ELSE stocks / 100 END AS w5 FROM p),
+  n AS (SELECT *, w1 + w2 + w3 + w4 + w5 AS t FROM w),
+  plans AS (SELECT c_custkey, archetype, {", ".join(portfolio.PLAN)}, w1 / t AS w1, w2 / t AS w2, w3 / t AS w3, w4 / t AS w4, w5 / t AS w5 FROM n)"""
+
+
+def _saved_plans(spark, sf):
+    """Customers' scores give archetypes; every other customer has the archetype's default plan, the others one of their own."""
+    key = F.col("c_custkey")
+    scored = table(spark, sf, "customer").select("c_custkey", F.round((F.col("c_acctbal") + 1000) / 1100, 3).alias("score"))
+    placed = portfolio.with_archetype(scored, F.col("score")).where("archetype is not null")
+    default = portfolio.plan_columns({b: F.col(b) for b in portfolio.WEIGHTED})
+    own = {"cash": (10 * (key % 3)).cast("double"), "treasuries": F.lit(20.0), "bonds": (50 - key % 7).cast("double"), "stocks": (15 + key % 11).cast("double"), "aaa": F.lit(40.0), "bbb": F.lit(35.0), "bb": F.lit(25.0)}
+    plan = F.struct(*[F.when(key % 2 == 0, default[k]).otherwise(own[k]).alias(k) for k in portfolio.PLAN])
+    return portfolio.plan_weights(placed.select("c_custkey", "archetype", plan.alias("plan")))
+
+
+@query(_PLANS_SQL + f" SELECT c_custkey, archetype, {', '.join(f'CAST({k} AS DOUBLE) AS {k}' for k in portfolio.PLAN)}, round(w1, 9) AS w_treasuries, round(w2, 9) AS w_aaa, round(w3, 9) AS w_bbb, round(w4, 9) AS w_bb, round(w5, 9) AS w_etfs FROM plans")
 def default_plans(spark, sf):
-    """A plan of an archetype's default percentages has the archetype's own weights; its percentages are shown."""
-    rows = []
-    for a in ARCHETYPES:
-        weights = dict(zip(portfolio.WEIGHTED, a[2:7], strict=True))
-        plan = portfolio.default_allocation(weights)
-        same = portfolio.plan_distribution(plan, portfolio.default_ratings(weights), a[1])
-        if any(abs(same[k] - w) > 1e-9 for k, w in portfolio.normalized(weights).items()):
-            raise ValueError(f"{a[1]}: {same}")
-        rows.append((a[0], a[1], plan["treasuries"], plan["bonds"], plan["stocks"]))
-    return spark.createDataFrame(rows, "id int, archetype string, treasuries double, bonds double, stocks double")
+    """Plans of scored customers and the weights that proposals are made with: the archetype's own where the plan is its default."""
+    plans = _saved_plans(spark, sf)
+    weights = [F.round(F.col("weights")[b], 9).alias(f"w_{n}") for b, n in zip(portfolio.WEIGHTED, ("treasuries", "aaa", "bbb", "bb", "etfs"), strict=True)]
+    return plans.select("c_custkey", "archetype", *[F.col("plan")[k].alias(k) for k in portfolio.PLAN], *weights)
+
+
+_CANDIDATES_SQL = """r AS (SELECT 'T' || (p_partkey % 97) || '-' || (p_partkey % 6) AS tick, 'S' || p_partkey AS sym, p_size / 4.0 AS raw, (['bonds_aaa_a', 'bonds_bbb', 'bonds_bb', 'treasuries', '', ''])[1 + p_partkey % 6] AS bucket FROM part),
+  c AS (SELECT tick, sym, bucket, CAST(CASE WHEN raw <= 1 THEN raw * 100 ELSE raw END AS DOUBLE) AS y FROM r WHERE CASE WHEN raw <= 1 THEN raw * 100 ELSE raw END BETWEEN 0.0001 AND 25),
+  pr AS (SELECT bucket, median(y) AS m, mad(y) AS d, quantile_cont(y, 0.9) AS q90, count(*) AS n FROM c GROUP BY bucket), bo AS (SELECT bucket, n, greatest(0, m - 2.5 * greatest(d, 0.35)) AS lower, least(q90, m + 2.5 * greatest(d, 0.35)) AS upper FROM pr),
+  x AS (SELECT c.*, n, y BETWEEN lower AND upper AS inside, count(*) FILTER (y BETWEEN lower AND upper) OVER (PARTITION BY c.bucket) AS k FROM c JOIN bo ON bo.bucket = c.bucket), kept AS (SELECT tick, sym, bucket, y FROM x WHERE inside OR k < greatest(3, least(5, n))),
+  p2 AS (SELECT bucket, median(y) AS m, mad(y) AS d, quantile_cont(y, 0.75) AS q75, quantile_cont(y, 0.9) AS q90 FROM kept GROUP BY bucket),
+  t2 AS (SELECT bucket, least(q75, m + 1.25 * greatest(d, 0.35)) AS target, greatest(least(q90, m + 2.5 * greatest(d, 0.35)) - greatest(0, m - 2.5 * greatest(d, 0.35)), 1) AS spread FROM p2),
+  z AS (SELECT kept.*, greatest(0, 1 - abs(y - target) / spread) AS score, abs(y - target) AS distance FROM kept JOIN t2 ON t2.bucket = kept.bucket),
+  o AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY bucket, tick ORDER BY score DESC, distance, y DESC, tick, sym) = 1),
+  f AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, distance, y DESC, tick, sym) AS place FROM o)"""
+
+
+def _candidates(spark, sf):
+    k = F.col("p_partkey") % 6
+    rating = F.when(k == 0, "AA+").when(k == 1, "BBB").when(k == 2, "BB-").when(k == 3, "UST").otherwise("B")
+    part = table(spark, sf, "part").select(k.alias("k"), F.concat(F.lit("T"), F.col("p_partkey") % 97, F.lit("-"), k).alias("Ticker"), F.concat(F.lit("S"), "p_partkey").alias("Symbol"), (F.col("p_size") / 4).alias("Current Yield"), rating.alias("S&P Equivalent"))
+    return portfolio.universe(part), part
+
+
+@query(_PLANS_SQL.replace("WITH a(", f"WITH {_CANDIDATES_SQL}, a(") + """, need AS (SELECT c_custkey, unnest([{'b': 'treasuries', 'n': round_even(20 * w1, 0)}, {'b': 'bonds_aaa_a', 'n': round_even(20 * w2, 0)}, {'b': 'bonds_bbb', 'n': round_even(20 * w3, 0)}, {'b': 'bonds_bb', 'n': round_even(20 * w4, 0)}]) AS q FROM plans)
+  SELECT c_custkey, bucket, tick AS "Ticker", sym AS "Symbol_x", y AS current_yield FROM need JOIN f ON f.bucket = q.b AND place <= q.n""")
+def customer_proposals(spark, sf):
+    """A proposal for each customer's plan, candidates ranked once; tickers belong to one bucket here (tests have shared ones)."""
+    candidates = _candidates(spark, sf)[0]
+    got = portfolio.proposals(candidates, _saved_plans(spark, sf).select("c_custkey", "weights"), "c_custkey")
+    return got.select("c_custkey", "bucket", "Ticker", "Symbol_x", F.col("`Current Yield_x`").alias("current_yield"))
+
+
+@query(f"WITH {_CANDIDATES_SQL.replace(chr(39) + 'bonds_bb' + chr(39), chr(39) * 2)}" + """, b AS (SELECT * FROM f WHERE bucket = 'bonds_bbb' AND place <= 10),
+  l AS (SELECT 'bonds_bb' AS bucket, tick, sym, y FROM c WHERE bucket = '' AND tick NOT IN (SELECT tick FROM b) QUALIFY row_number() OVER (PARTITION BY tick ORDER BY y DESC, sym) = 1)
+  SELECT bucket, tick AS "Ticker", sym AS "Symbol_x", y AS current_yield, CAST(1 AS INT) AS round FROM b
+  UNION ALL SELECT * FROM (SELECT bucket, tick, sym, y, CAST(2 AS INT) FROM l ORDER BY y DESC, tick, sym LIMIT 10)""")
+def left_over_proposal(spark, sf):
+    """Nothing is rated BB, so half of the proposal comes from the left-over round, out of candidates without a known rating."""
+    part = _candidates(spark, sf)[1].withColumn("S&P Equivalent", F.when(F.col("k") == 2, "B").otherwise(F.col("S&P Equivalent")))
+    got = portfolio.proposal(portfolio.universe(part), {"bonds_bbb": 0.5, "bonds_bb": 0.5})
+    return got.select("bucket", "Ticker", "Symbol_x", F.col("`Current Yield_x`").alias("current_yield"), "round")
+
+
+_TICKET_SQL = {"Symbol": "CAST(l_orderkey AS VARCHAR)", "Quantity": "CAST(n AS VARCHAR)", "AssetClass": "'BOND'", "Issuer": "coalesce(flag, '')"}
+_MESSAGE_SQL = " || ".join(f"'{c}: ' || {_TICKET_SQL.get(c, chr(39) * 2)} || {'chr(10) || chr(10)' if c in TICKET_BREAKS else 'chr(10)'}" for c in TICKET_COLUMNS)
+
+
+@query(f"WITH t AS (SELECT l_orderkey, count(*) AS n, max(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) AS flag FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, {_MESSAGE_SQL} AS message FROM t")
+def ticket_messages(spark, sf):
+    """The whole confirmation of each order, line by line; cells that are missing or null are empty."""
+    tickets = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("Quantity"), F.max(F.when(F.col("l_returnflag") != "N", F.col("l_returnflag"))).alias("Issuer"))
+    shown = tickets.withColumn("Symbol", F.col("l_orderkey")).withColumn("AssetClass", F.lit("BOND"))
+    return shown.select("l_orderkey", reports.ticket_message(shown).alias("message"))
+
+
+@query("""SELECT 'raw' AS report, CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CAST(NULL AS VARCHAR) AS size FROM part UNION ALL SELECT 'large', CAST(p_partkey AS VARCHAR), upper(p_name), CAST(p_size AS VARCHAR) FROM part WHERE p_size > 25""")
+def piped_reports(spark, sf):
+    """A pipeline of two reports: one published as it landed, one transformed; a third fails for want of its file and stops neither."""
+    base = scratch(spark, "pipeline")
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    files.published(part.select("id", "name"), f"{base}/landed/raw_20240115", "csv")
+    files.published(part, f"{base}/landed/sizes_20240115", "csv")
+    listed = files.catalogue(spark, f"{base}/landed").where(F.col("name").endswith(".csv"))
+    named = listed.select("path", F.element_at(F.split("path", "/"), -2).alias("name"), "modified", "size")
+    large = lambda df: df.where(F.col("size").cast("int") > 25).withColumn("name", F.upper("name"))
+    steps = (pipeline.Report("raw", "raw_", "raw", kind="parquet"), pipeline.Report("large", "sizes_", "large", large, "parquet"), pipeline.Report("gone", "fees_", "gone"))
+    outcome = pipeline.run(spark, pipeline.named([pipeline.Pipeline("daily", steps)], "daily"), named, f"{base}/published")
+    if outcome.status != "partial" or outcome.counts() != {"success": 2, "failed": 1, "skipped": 0} or not isinstance(outcome.faults["gone"], ValueError):
+        raise ValueError(outcome)
+    rows = {name: spark.read.parquet(f"{base}/published/{name}") for name in ("raw", "large")}
+    differs = files.validated(rows["large"], StructType.fromDDL("id string, name string, size int"))  # raises where columns do
+    if differs != ["size: string for int"]:
+        raise ValueError(differs)
+    return selection.union_tagged([(rows[name], {"report": name}) for name in rows], ["report"])
 
 
 @query("""SELECT (SELECT 'p7' FROM orders WHERE o_orderkey = 7) AS named, (SELECT 'p' || o_orderkey FROM orders WHERE o_orderkey % 2 = 1 ORDER BY o_orderdate DESC, 'fees_' || o_orderkey || '.csv' DESC LIMIT 1) AS newest""")

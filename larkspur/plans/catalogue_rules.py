@@ -91,17 +91,20 @@ def rating_and_issuer_texts(spark, sf):
 # --- names, countries, dates -------------------------------------------------------------------------------------------
 
 
-@query("""SELECT c_custkey, lower(regexp_replace(strip_accents('Ünï-' || c_name || ' ñ/' || c_mktsegment), '[^A-Za-z0-9]', '', 'g')) AS key FROM customer""")
+@query("""WITH t AS (SELECT c_custkey, 'Ünï-' || c_name || ' ñ/ßĳ' || chr(64257) || 'Ａ' || c_mktsegment || 'øΩ' AS t FROM customer),
+  f AS (SELECT c_custkey, replace(replace(replace(replace(t, 'ß', 'ss'), 'ĳ', 'ij'), chr(64257), 'fi'), 'Ａ', 'a') AS t FROM t)
+  SELECT c_custkey, regexp_replace(lower(strip_accents(t)), '[^a-z0-9]', '', 'g') AS key FROM f""")
 def identity_keys(spark, sf):
-    spelled = F.concat(F.lit("Ünï-"), "c_name", F.lit(" ñ/"), "c_mktsegment")
+    """Letters that fold to several (ß, ĳ, ligatures), full-width ones, and such that fold to none (ø, Ω)."""
+    spelled = F.concat(F.lit("Ünï-"), "c_name", F.lit(" ñ/ßĳ\ufb01Ａ"), "c_mktsegment", F.lit("øΩ"))
     return table(spark, sf, "customer").select("c_custkey", text.identity_key(spelled).alias("key"))
 
 
-_COUNTRIES = ["IRN", " ago ", "Côte d'Ivoire", "Viet-nam", "VIETNAM", "USA", "", None, "virgin islands (UK)", "Kenya"]
+_COUNTRIES = ["IRN", " ago ", "Côte d'Ivoire", "Viet-nam", "VIETNAM", "USA", "", None, "virgin islands (UK)", "Kenya", "Ｋｅｎｙａ", "viet\u00a0nam"]
 
 
 @query(f"""WITH t AS (SELECT c_custkey, {choice_sql("c_custkey", _COUNTRIES)} AS t FROM customer)
-  SELECT c_custkey, CASE WHEN upper(trim(t)) IN {sql_in(FATF_CODES)} OR upper(trim(regexp_replace(regexp_replace(lower(strip_accents(t)), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))) IN {sql_in(FATF_NAMES)} THEN 'Listed' END AS fatf FROM t""")
+  SELECT c_custkey, CASE WHEN upper(trim(t)) IN {sql_in(FATF_CODES)} OR upper(trim(regexp_replace(regexp_replace(lower(strip_accents(replace(replace(t, 'Ｋｅｎｙａ', 'kenya'), chr(160), ' '))), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))) IN {sql_in(FATF_NAMES)} THEN 'Listed' END AS fatf FROM t""")
 def fatf_listed(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", risk.fatf_status(choice(F.col("c_custkey"), _COUNTRIES)).alias("fatf"))
 
@@ -185,6 +188,7 @@ def permitted_products(spark, sf):
   b AS (SELECT *, CASE WHEN round(score, 6) >= 80 THEN 'high' WHEN round(score, 6) >= 50 THEN 'review' ELSE 'low' END AS status FROM z)
   SELECT d AS document_id, pages AS page_count, empty AS empty_pages, round(conf, 6) AS confidence, round(score, 7) AS score, CASE WHEN q < 0.4 THEN 'low' WHEN q < 0.65 AND status = 'high' THEN 'review' ELSE status END AS status FROM b""")
 def document_rollup(spark, sf):
+    """Without defects; document_defects has them."""
     n = F.col("l_linenumber")
     words = F.concat_ws(" ", F.lit("page"), n, F.concat("l_returnflag", "l_linestatus"))
     region = F.struct(F.when(n % 3 == 0, "xy").otherwise("long word").alias("text"), F.round(F.col("l_discount") * 9 + 0.03, 4).alias("confidence"))
@@ -320,3 +324,24 @@ def known_columns_of_guarded_read(spark, sf):
 @query("""SELECT conv_id, turn, role FROM conversations ORDER BY coalesce(CAST(turn AS VARCHAR), ''), conv_id""")
 def comments_by_creation(spark, sf):
     return selection.by_creation(table(spark, sf, "conversations").select("conv_id", "turn", "role"), "turn", "conv_id")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS d, l_discount * 10 AS c, CASE l_linenumber % 4 WHEN 0 THEN 'quality/defect_blurry' WHEN 1 THEN 'quality/defect_dark' WHEN 2 THEN 'quality/defect_glare' ELSE 'other' END AS kind, 0.5 + l_tax * 5 AS q FROM lineitem),
+  g AS (SELECT d, count(DISTINCT kind) FILTER (kind IN ({severe}) AND c >= {low_defect}) AS severe, bool_or(kind IN ({severe}, {review}) AND c >= {review_defect}) AS seen, min(q) AS q FROM p GROUP BY d)
+  SELECT d AS document_id, CASE WHEN q < {low} OR severe >= 2 THEN 'low' WHEN q < {mid} OR seen THEN 'review' ELSE 'high' END AS status FROM g""".format(
+    severe=", ".join(f"'{x}'" for x in ocr.SEVERE_DEFECTS), review=", ".join(f"'{x}'" for x in ocr.REVIEW_DEFECTS), low_defect=ocr.LOW_DEFECT, review_defect=ocr.REVIEW_DEFECT, low=ocr.LOW_PROVIDER_QUALITY, mid=ocr.REVIEW_PROVIDER_QUALITY))
+def document_defects(spark, sf):
+    """Statuses after a provider's defects: two severe ones, one that asks for a review, or a low image quality."""
+    n, kinds = F.col("l_linenumber") % 4, ("quality/defect_blurry", "quality/defect_dark", "quality/defect_glare")
+    kind = F.when(n == 0, kinds[0]).when(n == 1, kinds[1]).when(n == 2, kinds[2]).otherwise("other")
+    defect = F.struct(kind.alias("type"), (F.col("l_discount") * 10).alias("confidence"))
+    pages = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.collect_list(defect).alias("defects"), F.min(0.5 + F.col("l_tax") * 5).alias("quality"))
+    return pages.select("document_id", ocr.downgraded(F.lit("high"), F.col("quality"), F.col("defects")).alias("status"))
+
+
+@query("""SELECT o_custkey AS document_id, sum(o_orderkey % 15 + 1) AS pages, round(sum(CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 15 + 1) * (o_orderkey % 100) / 100.0 END)::DOUBLE / sum(CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 15 + 1 END), 6) AS image_quality FROM orders GROUP BY o_custkey""")
+def chunk_qualities(spark, sf):
+    """Orders stand for chunks of pages; some have no image quality."""
+    key = F.col("o_orderkey")
+    chunks = table(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), (key % 15 + 1).alias("pages"), F.when(key % 4 != 0, key % 100 / 100).alias("image_quality"))
+    return documents.chunk_quality(chunks).select("document_id", "pages", r(F.col("image_quality")).alias("image_quality"))

@@ -33,6 +33,7 @@ class Pipeline:
 class Outcome:
     status: str
     steps: dict[str, str] = field(default_factory=dict)
+    faults: dict[str, Exception] = field(default_factory=dict)
 
     def counts(self) -> dict[str, int]:
         return {s: sum(v.split(":")[0] == s for v in self.steps.values()) for s in ("success", "failed", "skipped")}
@@ -45,10 +46,11 @@ def named(pipelines: Iterable[Pipeline], name: str) -> Pipeline:
     raise ValueError(f"no pipeline {name!r}")
 
 
-def run(spark: SparkSession, pipeline: Pipeline, landed: str, published: str, skip: Iterable[str] = ()) -> Outcome:
-    """Each report's newest landed file, transformed and published; a report that fails does not stop the others."""
-    files = reports.catalogue(spark, landed).cache()
+def run(spark: SparkSession, pipeline: Pipeline, landed: str | DataFrame, published: str, skip: Iterable[str] = ()) -> Outcome:
+    """Each report's newest landed file (of a folder, or of a catalogue: path, name, modified), transformed and published; a report that fails does not stop the others, and its fault is kept."""
+    files = (reports.catalogue(spark, landed) if isinstance(landed, str) else landed).cache()
     steps: dict[str, str] = {}
+    faults: dict[str, Exception] = {}
     for report in pipeline.reports:
         if report.name in set(skip):
             steps[report.name] = "skipped"
@@ -58,7 +60,7 @@ def run(spark: SparkSession, pipeline: Pipeline, landed: str, published: str, sk
             reports.published(report.transform(df), f"{published}/{report.output}", report.kind)
             steps[report.name] = "success"
         except Exception as fault:  # the fault is part of the outcome
-            steps[report.name] = f"failed: {fault}"
+            steps[report.name], faults[report.name] = f"failed: {fault}", fault
     files.unpersist()
     failed = any(s.startswith("failed") for s in steps.values())
-    return Outcome("partial" if failed and any(s == "success" for s in steps.values()) else "failed" if failed else "success", steps)
+    return Outcome("partial" if failed and any(s == "success" for s in steps.values()) else "failed" if failed else "success", steps, faults)

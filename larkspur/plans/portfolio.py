@@ -67,6 +67,61 @@ def default_ratings(weights: dict[str, float]) -> dict[str, float]:
     return {"aaa": aaa, "bbb": bbb, "bb": max(0.0, 100 - aaa - bbb)}
 
 
+def plan_columns(weights: dict[str, Column]) -> dict[str, Column]:
+    """The default plan of an archetype's weights, in whole percent: cash, treasuries, bonds, stocks, and of the bonds aaa, bbb, bb. Halves go up."""
+    up = lambda x: F.floor(x * 100 + 0.5).cast("double")
+    bonds = weights["bonds_aaa_a"] + weights["bonds_bbb"] + weights["bonds_bb"]
+    share = lambda w, none: F.when(bonds <= 0, F.lit(none)).otherwise(up(F.try_divide(w, bonds)))
+    aaa, bbb = share(weights["bonds_aaa_a"], 0.0), share(weights["bonds_bbb"], 50.0)
+    bb = F.when(bonds <= 0, F.lit(50.0)).otherwise(F.greatest(F.lit(0.0), 100 - aaa - bbb))
+    return {"cash": F.lit(0.0), "treasuries": up(weights["treasuries"]), "bonds": up(bonds), "stocks": up(weights["etfs"]), "aaa": aaa, "bbb": bbb, "bb": bb}
+
+
+PLAN = ("cash", "treasuries", "bonds", "stocks", "aaa", "bbb", "bb")
+
+
+def plan_weights(plans: DataFrame) -> DataFrame:
+    """Saved plans (plan struct of PLAN in percent, archetype) with their `weights` (a struct by bucket, making 1): those of the archetype itself where the plan is its default, else the plan's own. Any number of plans, no loop on the driver."""
+    known = archetypes(plans.sparkSession).select(F.trim("archetype").alias("_archetype"), F.struct(*WEIGHTED).alias("_w"))
+    rows = plans.join(F.broadcast(known), F.trim("archetype") == F.col("_archetype"), "left")  # eight rows
+    has = lambda k: F.coalesce(F.col("plan")[k].cast("double"), F.lit(0.0))
+    default = plan_columns({b: F.col("_w")[b] for b in WEIGHTED})
+    same = F.lit(True)
+    for k in PLAN:
+        same = same & (has(k) == default[k])
+    part = lambda k: has(k) / 100
+    own = {"treasuries": part("cash") + part("treasuries"), "bonds_aaa_a": part("bonds") * part("aaa"), "bonds_bbb": part("bonds") * part("bbb"), "bonds_bb": part("bonds") * part("bb"), "etfs": part("stocks")}
+    chosen = F.struct(*[F.when(F.coalesce(same, F.lit(False)), F.col("_w")[b]).otherwise(own[b]).alias(b) for b in WEIGHTED])
+    placed = rows.withColumn("_chosen", chosen)
+    total = sum((F.col("_chosen")[b] for b in WEIGHTED[1:]), F.col("_chosen")[WEIGHTED[0]])
+    scaled = lambda b: F.when((total > 0) & (F.abs(total - 1) > 1e-5 + 1e-8), F.try_divide(F.col("_chosen")[b], total)).otherwise(F.col("_chosen")[b])
+    return placed.withColumn("weights", F.struct(*[scaled(b).alias(b) for b in WEIGHTED])).drop("_archetype", "_w", "_chosen")
+
+
+def proposals(candidates: DataFrame, profiles_: DataFrame, key: str) -> DataFrame:
+    """(key, bucket, n, Symbol_x, Ticker, Current Yield_x): the ranked assets for each of many profiles (key, weights as plan_weights gives them), by the same filling as proposal(), without its left-over round.
+
+    Candidates are ranked once. A profile takes as many of a bucket as its weights ask for, in the order of buckets, and no ticker
+    twice: over the best 2 * TOTAL_ASSETS of each bucket, which is as far as any profile can reach, held as one row beside each.
+    """
+    best = ranked(candidates).where(F.col("place") <= 2 * TOTAL_ASSETS)
+    entry = F.struct(F.lit(0).alias("b"), F.col("place"), "bucket", "Ticker", "Symbol_x", F.col("`Current Yield_x`").alias("y"))
+    order = ratings.literal_map([(b, i) for i, b in enumerate(BUCKETS)])
+    listed = best.where(F.col("bucket").isin(*BUCKETS)).agg(F.sort_array(F.collect_list(entry.withField("b", F.try_element_at(order, F.col("bucket"))))).alias("_all"))
+    beside = profiles_.crossJoin(F.broadcast(listed))  # one row of some hundred candidates
+    need = F.array(*[numbers.half_even(TOTAL_ASSETS * F.col("weights")[b]).cast("int") if b in WEIGHTED else F.lit(0) for b in BUCKETS])
+    start = F.struct(F.array().cast("array<struct<b:int,place:int,bucket:string,Ticker:string,Symbol_x:string,y:double>>").alias("taken"), F.array().cast("array<string>").alias("used"))
+    asked = beside.withColumn("_need", need)
+
+    def take(state: Column, c: Column) -> Column:
+        have = F.size(F.filter(state["taken"], lambda t: t["b"] == c["b"]))
+        fits = (have < F.get("_need", c["b"])) & ~F.array_contains(state["used"], c["Ticker"])
+        return F.when(fits, F.struct(F.array_append(state["taken"], c).alias("taken"), F.array_append(state["used"], c["Ticker"]).alias("used"))).otherwise(state)
+
+    filled = asked.select(key, F.explode(F.aggregate("_all", start, take, lambda s: s["taken"])).alias("t"))
+    return filled.select(key, "t.bucket", F.col("t.place").alias("place"), "t.Ticker", "t.Symbol_x", F.col("t.y").alias("Current Yield_x"))
+
+
 def normalized(weights: dict[str, float]) -> dict[str, float]:
     total = sum(weights.values())
     return {k: v / total for k, v in weights.items()} if total > 0 and abs(total - 1) > 1e-5 + 1e-8 else dict(weights)

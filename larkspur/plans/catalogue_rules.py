@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larkspur.fixed_values import ADVERSE_WORDS, COMPLEX_PRODUCTS, DERIVATIVE_PRODUCTS, FATF_CODES, FATF_NAMES, MOODYS_SCALE, RISKY_PRODUCT_WORDS, SIMPLE_PRODUCTS, SP_SCALE, SP_TEXT_ORDER, TREASURY_PATTERNS
+from larkspur.fixed_values import ADVERSE_WORDS, COMPLEX_PRODUCTS, DERIVATIVE_PRODUCTS, FATF_CODES, FATF_NAMES, GLOSSARY_LINE, LEAK_MARKERS, MOODYS_SCALE, RISKY_PRODUCT_WORDS, SIMPLE_PRODUCTS, SP_SCALE, SP_TEXT_ORDER, TREASURY_PATTERNS
 from larkspur.functions import bonds, dates, numbers, ocr, ratings, risk, text
 from larkspur.operators import selection
 from larkspur.plans import documents
@@ -231,13 +231,17 @@ def decoded_texts(spark, sf):
     return documents.decoded(landed).select("doc_id", F.sha2("plain", 256).alias("plain"), F.octet_length("content").cast("long").alias("bytes"))
 
 
-_TRANSLATED = ["", "fine words", "a \x07 bell", "left PRESERVETOKEN1", "see --- GLOSSARY START ---", "number ZZX900018XZZ here", None, " \n "]
-_FAULTS = ["Translation output is empty.", None, "Translation output contains terminal control characters.", "Translation output contains an unresolved protected-value token.", "Translation output copied context marker: --- GLOSSARY START ---", "Translation output contains an unresolved protected-value token.", "Translation output is empty.", "Translation output is empty."]
+_ADDED = ["", " a \x07 bell", " left PRESERVETOKEN1", " see --- GLOSSARY START ---", " number ZZX900018XZZ here", None, " SPANISH SOURCE: __PRESERVE_2", " fine words"]
+_MARKED_SQL = " ".join(f"WHEN contains(t, '{m}') THEN 'Translation output copied context marker: {m}'" for m in LEAK_MARKERS)
 
 
-@query(f"SELECT doc_id, {choice_sql('doc_id', _FAULTS)} AS fault FROM documents")
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text || {choice_sql("doc_id", _ADDED)}, '') AS t FROM documents)
+  SELECT doc_id, CASE WHEN NOT regexp_matches(t, '[^ \\t\\n\\x0B\\f\\r]') THEN 'Translation output is empty.' WHEN regexp_matches(t, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]') THEN 'Translation output contains terminal control characters.'
+    WHEN regexp_matches(t, 'PRESERVETOKEN|ENDTOKEN|__PRESERVE_|ZZX9[0-9]{{4,}}8XZZ') THEN 'Translation output contains an unresolved protected-value token.' {_MARKED_SQL} END AS fault FROM d""")
 def translation_faults(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.translation_error(choice(F.col("doc_id"), _TRANSLATED)).alias("fault"))
+    """Documents stand for translations; something is added to most of them."""
+    translated = F.concat("text", choice(F.col("doc_id"), _ADDED))
+    return table(spark, sf, "documents").select("doc_id", text.translation_error(translated).alias("fault"))
 
 
 _LINES = {"hello world": False, "": True, "12345": True, "Page 1 of 3": True, "ACME S.A.": True, "3 de enero 2024": True, "ABC-123-X": True, "Dear Sr. Juan Pérez": False, "Sr. Juan Pérez": True, "-- 3,4 %": True}
@@ -261,13 +265,13 @@ def translation_unit_counts(spark, sf):
     return units.groupBy(F.col("document_id").alias("p_partkey")).agg(F.count(F.lit(1)).alias("units"), F.count_if("translate").alias("to_translate"))
 
 
-_PAIRS = [("Account name", "Nombre", True), ("a=b", "c", False), ("same", "SAME", False), ("", "x", False), ("Section 3", "Sección", False), ("---", "x", False), ("word", "y" * 121, False), ("Été", "summer", True)]
-
-
-@query(f"SELECT p_partkey, {choice_sql('p_partkey', [x for *_, x in _PAIRS])} AS usable FROM part")
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, s, CASE doc_id % 3 WHEN 0 THEN s WHEN 1 THEN s || ' 1' ELSE s || ' =' END AS t FROM l)
+  SELECT doc_id, count(*) AS lines, count(*) FILTER (s <> '' AND length(s) <= {GLOSSARY_LINE} AND NOT contains(s, '=') AND length(t) <= {GLOSSARY_LINE} AND NOT contains(t, '=') AND lower(s) <> lower(t) AND NOT regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-zÀ-ÿ]')) AS usable FROM p GROUP BY doc_id""")
 def glossary_pairs(spark, sf):
-    s, t = (choice(F.col("p_partkey"), [p[i] for p in _PAIRS]) for i in (0, 1))
-    return table(spark, sf, "part").select("p_partkey", text.glossary_pair(s, t).alias("usable"))
+    """Every line of every document with a translation that is the same, a little longer, or one with a sign that a glossary cannot hold."""
+    lines = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("s"))
+    target = F.when(F.col("doc_id") % 3 == 0, F.col("s")).when(F.col("doc_id") % 3 == 1, F.concat("s", F.lit(" 1"))).otherwise(F.concat("s", F.lit(" =")))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(text.glossary_pair(F.col("s"), target)).alias("usable"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS d, p_name || ' ' || p_type AS line, CASE WHEN p_size % 3 = 0 THEN 'b ' ELSE 'a ' END || p_type || ' ' || p_name AS target FROM part),
@@ -345,3 +349,17 @@ def chunk_qualities(spark, sf):
     key = F.col("o_orderkey")
     chunks = table(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), (key % 15 + 1).alias("pages"), F.when(key % 4 != 0, key % 100 / 100).alias("image_quality"))
     return documents.chunk_quality(chunks).select("document_id", "pages", r(F.col("image_quality")).alias("image_quality"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS d, repeat(CASE WHEN p_partkey % 3 = 0 THEN 'long ' ELSE 'x ' END, CASE WHEN p_partkey % 3 = 0 THEN 14 ELSE 2 END) || p_name || ' ' || p_type AS line, 'to ' || p_type || ' ' || p_name AS target FROM part),
+  k AS (SELECT * FROM p WHERE length(line) <= 120 AND length(target) <= 120), g AS (SELECT lower(line) AS key, min(d) AS d, count(*) AS n FROM k GROUP BY 1),
+  e AS (SELECT line || ' = ' || target AS entry, row_number() OVER (ORDER BY n DESC, key) AS i FROM g JOIN k ON k.d = g.d)
+  SELECT CASE WHEN length(entry) > 100 THEN 'long' ELSE 'short' END AS kind, count(*) AS entries, max(length(entry)) <= 243 AS fits FROM e GROUP BY 1""")
+def glossary_entries(spark, sf):
+    """Entries that compete for a glossary's budget, before it is spent (tests hold the skip of those that no longer fit against a loop)."""
+    key = F.col("p_partkey")
+    line = F.concat(F.when(key % 3 == 0, F.repeat(F.lit("long "), F.lit(14))).otherwise(F.repeat(F.lit("x "), F.lit(2))), "p_name", F.lit(" "), "p_type")
+    pairs = table(spark, sf, "part").select(key.alias("document_id"), line.alias("source"), F.concat(F.lit("to "), "p_type", F.lit(" "), "p_name").alias("translated"))
+    entry = F.length("entry")
+    kind = F.when(entry > 100, "long").otherwise("short")
+    return documents.glossary_entries(pairs).groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("entries"), (F.max(entry) <= 243).alias("fits"))

@@ -61,16 +61,21 @@ def translation_batch(processing: DataFrame, ledger: DataFrame, n: int = 10) ->
     return newest.join(done, "document_id", "left_anti").where(text.document_text(F.col("output_text")) != "").orderBy("created", "document_id").limit(n)
 
 
-def translation_memory(pairs: DataFrame) -> DataFrame:
-    """One row: glossary and its number of lines, from pairs (document_id, source, translated) with as many lines. Each source line's most frequent translation, most frequent lines first, within the budget."""
+def glossary_entries(pairs: DataFrame) -> DataFrame:
+    """(entry, total, key) of pairs (document_id, source, translated) with as many lines: each source line with its most frequent translation, and how often it comes."""
     clean = pairs.select("document_id", text.document_text(F.col("source")).alias("s"), text.document_text(F.col("translated")).alias("t")).where("s <> '' and t <> ''")
     lines = clean.withColumn("a", F.split("s", "\n")).withColumn("b", F.split("t", "\n")).where(F.size("a") == F.size("b"))
     each = lines.select("document_id", F.posexplode(F.arrays_zip("a", "b")).alias("n", "p")).select("document_id", "n", F.trim("p.a").alias("line"), F.trim("p.b").alias("target"))
     usable = each.where(text.glossary_pair(F.col("line"), F.col("target"))).withColumn("key", F.lower("line"))
     counted = usable.groupBy("key", "target").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("document_id", "n", "line")).alias("first"))
     best = counted.groupBy("key").agg(F.sum("n").alias("total"), F.max_by("target", F.struct(F.col("n"), -F.col("first.n"), F.col("target"))).alias("target"), F.min("first").alias("first"))
+    return best.select(F.concat_ws(" = ", "first.line", "target").alias("entry"), "total", "key")
+
+
+def translation_memory(pairs: DataFrame) -> DataFrame:
+    """One row: glossary and its number of lines: the entries of most frequent lines first, within the budget; one that does not fit is skipped."""
     # Of entries of one length those that are kept come first, so no more of a length than may be kept at all are needed.
-    entries = best.select(F.concat_ws(" = ", "first.line", "target").alias("entry"), "total", "key").withColumn("_length", F.length("entry"))
+    entries = glossary_entries(pairs).withColumn("_length", F.length("entry"))
     ranked = selection.top(entries, ["_length"], [F.desc("total"), F.col("key")], GLOSSARY_ENTRIES)
     order = F.sort_array(F.collect_list(F.struct((-F.col("total")).alias("r"), "key", "entry")))
     kept = ranked.agg(text.within_budget(F.transform(order, lambda e: e["entry"]), GLOSSARY_CHARS, GLOSSARY_ENTRIES).alias("kept"))

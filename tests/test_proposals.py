@@ -35,3 +35,25 @@ def test_plans_as_columns_equal_plain_ones(spark):
         plan = r["plan"].asDict()
         want = portfolio.plan_distribution(plan, plan, r["archetype"])
         assert {b: round(x, 12) for b, x in r["weights"].asDict().items()} == {b: round(x, 12) for b, x in want.items()}, r
+
+
+def test_a_glossary_skips_what_no_longer_fits(spark):
+    from larkspur.fixed_values import GLOSSARY_CHARS, GLOSSARY_ENTRIES
+    from larkspur.plans import documents
+
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    pairs = [(i, words(rng.choice((2, 7, 14))), words(rng.choice((2, 14)))) for i in range(160)]
+    df = spark.createDataFrame(pairs, "document_id long, source string, translated string")
+    entries = sorted(documents.glossary_entries(df).collect(), key=lambda r: (-r["total"], r["key"]))
+    kept, used, skipped = [], 0, 0
+    for r in entries:
+        if used + len(r["entry"]) <= GLOSSARY_CHARS and len(kept) < GLOSSARY_ENTRIES:
+            kept.append(r["entry"])
+            used += len(r["entry"]) + 1
+        else:
+            skipped += len(kept) < GLOSSARY_ENTRIES
+    got = documents.translation_memory(df).first()
+    assert got["glossary"] == "\n".join(kept) and got["entries"] == len(kept) and skipped
+    places = [next(i for i, r in enumerate(entries) if r["entry"] == k) for k in kept]
+    assert places != list(range(len(kept)))  # something in between was skipped

@@ -343,12 +343,12 @@ def document_defects(spark, sf):
     return pages.select("document_id", ocr.downgraded(F.lit("high"), F.col("quality"), F.col("defects")).alias("status"))
 
 
-@query("""SELECT o_custkey AS document_id, sum(o_orderkey % 15 + 1) AS pages, round(sum(CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 15 + 1) * (o_orderkey % 100) / 100.0 END)::DOUBLE / sum(CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 15 + 1 END), 6) AS image_quality FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey AS document_id, sum(o_orderkey % 15 + 1) AS pages, CAST(sum(CASE WHEN o_orderkey % 4 <> 0 THEN (o_orderkey % 15 + 1) * (o_orderkey % 100) END) AS DOUBLE) / CAST(sum(CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 15 + 1 END) AS DOUBLE) AS image_quality FROM orders GROUP BY o_custkey""")
 def chunk_qualities(spark, sf):
-    """Orders stand for chunks of pages; some have no image quality."""
+    """Orders stand for chunks of pages; some have no image quality. Whole numbers, so that sums are exact."""
     key = F.col("o_orderkey")
-    chunks = table(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), (key % 15 + 1).alias("pages"), F.when(key % 4 != 0, key % 100 / 100).alias("image_quality"))
-    return documents.chunk_quality(chunks).select("document_id", "pages", r(F.col("image_quality")).alias("image_quality"))
+    chunks = table(spark, sf, "orders").select(F.col("o_custkey").alias("document_id"), (key % 15 + 1).alias("pages"), F.when(key % 4 != 0, (key % 100).cast("double")).alias("image_quality"))
+    return documents.chunk_quality(chunks).select("document_id", "pages", "image_quality")
 
 
 @query("""WITH p AS (SELECT p_partkey AS d, repeat(CASE WHEN p_partkey % 3 = 0 THEN 'long ' ELSE 'x ' END, CASE WHEN p_partkey % 3 = 0 THEN 14 ELSE 2 END) || p_name || ' ' || p_type AS line, 'to ' || p_type || ' ' || p_name AS target FROM part),

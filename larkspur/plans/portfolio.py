@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.fixed_values import ARCHETYPES, BUCKETS, TOP_SCORE, TOTAL_ASSETS
 from larkspur.functions import numbers, ratings
 from larkspur.operators import joins, profiles
+from larkspur.shared import kept
 
 WEIGHTED = ("treasuries", "bonds_aaa_a", "bonds_bbb", "bonds_bb", "etfs")
 #: Columns that may hold an equity's yield, a symbol, an asset's metadata, in order of trust.
@@ -169,8 +170,8 @@ def cleaned(candidates: DataFrame) -> DataFrame:
 
 def ranked(candidates: DataFrame) -> DataFrame:
     """Clean candidates of each bucket after the outlier screen, scored against the profile of those that are left; the best row of each ticker, with place."""
-    rows = cleaned(candidates).withColumnRenamed("Current Yield_x", "_y")
-    best = profiles.scored(profiles.screened(rows, ["bucket"], "_y"), ["bucket"], "_y")
+    rows = kept(cleaned(candidates).withColumnRenamed("Current Yield_x", "_y"), "candidates")  # profiles read them several times
+    best = profiles.scored(kept(profiles.screened(rows, ["bucket"], "_y"), "screened"), ["bucket"], "_y")
     order = [F.desc("score"), "distance", F.desc("_y"), "Ticker", F.col("Symbol_x").asc_nulls_last()]
     first = best.withColumn("_n", F.row_number().over(Window.partitionBy("bucket", "Ticker").orderBy(*order))).where("_n = 1").drop("_n")
     return first.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).withColumnRenamed("_y", "Current Yield_x")
@@ -198,7 +199,8 @@ def proposal(candidates: DataFrame, weights: dict[str, float], held: DataFrame |
             used += [r["Ticker"] for r in got]
     short = {b: wanted[b] - sum(r["bucket"] == b for r in taken) for b in BUCKETS}
     if any(n > 0 for n in short.values()):
-        profile = profiles.profile(profiles.screened(cleaned(candidates).withColumnRenamed("Current Yield_x", "_y"), ["bucket"], "_y"), ["bucket"], "_y").select("bucket", "target", "spread")
+        rows = kept(cleaned(candidates).withColumnRenamed("Current Yield_x", "_y"), "candidates")
+        profile = profiles.profile(kept(profiles.screened(rows, ["bucket"], "_y"), "screened"), ["bucket"], "_y").select("bucket", "target", "spread")
         rest = cleaned(pool).where((F.col("bucket") != "etfs") & ~F.col("Ticker").isin(*used)).withColumn("bucket", F.when(F.col("bucket") == "", "bonds_bb").otherwise(F.col("bucket")))
         near = rest.join(F.broadcast(profile), "bucket", "left")  # a row per bucket
         y = F.col("`Current Yield_x`")

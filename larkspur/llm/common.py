@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
 #: Bytes of text that one grouped task holds at once (a single longer document still forms one block).
 BLOCK_BYTES = 12_000_000
@@ -182,15 +181,22 @@ def window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (w - length)], h[w - length :]) if length < w else h
 
 
-def value_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit hash (XXH3) of each of the strings that lie end to end in data; each distinct string is hashed once."""
-    at = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
-    column = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
-    if not len(lengths):
-        return np.zeros(0, np.uint64)
-    coded = column.dictionary_encode()
-    known = coded.dictionary.to_pylist()
-    return np.fromiter(map(xxh3_64_intdigest, known), np.uint64, len(known))[np.asarray(coded.indices)]
+#: Masks of the first 0 to 8 bytes of a little-endian word of eight.
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def value_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the strings data[start:end]: eight bytes at a time, each time mixed through. Strings of eight bytes at most collide only where their lengths differ."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    length = end - start
+    h = mixed(length.astype(np.uint64) * BASE)
+    live, at = np.arange(len(start)), 0
+    while len(live):
+        rest = length[live] - at
+        h[live] = mixed(h[live] * BASE + (eight[start[live] + at] & _FIRST_BYTES[np.minimum(rest, 8)]))
+        live, at = live[rest > 8], at + 8
+    return h
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -218,5 +224,5 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.text = np.searchsorted(offsets, self.start, side="right") - 1
         self.low = low
-        self.hash = value_hashes(low[word], self.end - self.start)
+        self.hash = value_hashes(low, self.start, self.end)
         self.bounds = np.searchsorted(self.text, np.arange(self.n_texts + 1))

@@ -68,14 +68,20 @@ def account_by_application(contacts: DataFrame, accounts: DataFrame) -> DataFram
 
 
 def _newest_account(contacts: DataFrame, accounts: DataFrame, names: DataFrame) -> DataFrame:
-    """Two equi-joins, no OR."""
+    """Two equi-joins, no OR. Of the accounts of a mail or of a name only the newest can be a contact's, so it is found before the join: a name that many share costs a row a contact, never all pairs."""
     stamp = F.coalesce("updated", "created", F.lit(""))
     rows = accounts.select(F.col("id").alias("account_id"), stamp.alias("stamp"), "mail")
     people = contacts.select(F.col("id").alias("contact_id"), _mail(F.col("email")).alias("mail"), normalized_name(F.col("name")).alias("name"))
-    by_mail = people.where("mail <> ''").join(rows, "mail").select("contact_id", "account_id", "stamp")
     named = names.withColumnRenamed("id", "account_id").join(rows.select("account_id", "stamp"), "account_id")
-    by_name = people.where("name <> ''").join(named, "name").select("contact_id", "account_id", "stamp")
-    return selection.latest(by_mail.unionByName(by_name).distinct(), ["contact_id"], [F.desc("stamp"), F.col("account_id")]).select("contact_id", "account_id")
+    by_mail = people.where("mail <> ''").join(_newest_of(rows.where("mail <> ''"), "mail"), "mail").select("contact_id", "account_id", "stamp")
+    by_name = people.where("name <> ''").join(_newest_of(named, "name"), "name").select("contact_id", "account_id", "stamp")
+    return _newest_of(by_mail.unionByName(by_name), "contact_id").select("contact_id", "account_id")
+
+
+def _newest_of(rows: DataFrame, key: str) -> DataFrame:
+    """(key, account_id, stamp): each key's account of the latest stamp, of several the least id. Sums in two steps, so that a key with most of the rows is no hot spot."""
+    least = rows.groupBy(key, "stamp").agg(F.min(F.struct("account_id")).alias("_a"))
+    return least.groupBy(key).agg(F.max(F.struct("stamp")).alias("_s"), F.max_by("_a", "stamp").alias("_a")).select(key, F.col("_a.account_id").alias("account_id"), F.col("_s.stamp").alias("stamp"))
 
 
 def request_faults(requests: DataFrame, allowed_keys: tuple[str, ...] = REQUEST_KEYS) -> DataFrame:

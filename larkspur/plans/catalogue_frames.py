@@ -519,7 +519,7 @@ def piped_reports(spark, sf):
     files.published(part.select("id", "name"), f"{base}/landed/raw_20240115", "csv")
     files.published(part, f"{base}/landed/sizes_20240115", "csv")
     listed = files.catalogue(spark, f"{base}/landed").where(F.col("name").endswith(".csv"))
-    named = listed.select("path", F.element_at(F.split("path", "/"), -2).alias("name"), "modified", "size")
+    named = files.published_reports(listed)
     large = lambda df: df.where(F.col("size").cast("int") > 25).withColumn("name", F.upper("name"))
     steps = (pipeline.Report("raw", "raw_", "raw", kind="parquet"), pipeline.Report("large", "sizes_", "large", large, "parquet"), pipeline.Report("gone", "fees_", "gone"))
     outcome = pipeline.run(spark, pipeline.named([pipeline.Pipeline("daily", steps)], "daily"), named, f"{base}/published")

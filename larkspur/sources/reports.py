@@ -13,6 +13,13 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
 
 
+def published_reports(files: DataFrame) -> DataFrame:
+    """(path, name, modified, size) of reports in a catalogue that tasks published: a report is a folder of part files, all of them together."""
+    parts = files.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]+$", 1))
+    whole = parts.groupBy(F.col("folder").alias("path")).agg(F.max("modified").alias("modified"), F.sum("size").alias("size"))
+    return whole.withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
+
+
 def file_named(files: DataFrame, name: str, required: bool = True) -> DataFrame:
     """The one file of this name; raises if it is required and not there, or there are several."""
     found = files.where(F.col("name") == name)

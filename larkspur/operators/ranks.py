@@ -54,7 +54,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, fractions: list[float]
     def between(position):
         low, high = F.floor(position), F.ceil(position)
         a, b = F.try_element_at("_at", low), F.try_element_at("_at", high)
-        return F.when(low == high, a).otherwise((high - position) * a + (position - low) * b)
+        return F.when(a == b, a).otherwise((high - position) * a + (position - low) * b)  # equal neighbours give their value, to the last bit
 
     q = F.when(F.col("n") > 0, F.transform(positions, between))
     return joined.select(*keys, "n", q.alias("q"))

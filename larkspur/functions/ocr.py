@@ -11,6 +11,9 @@ from larkspur.fixed_values import (
 from larkspur.functions import numbers
 from larkspur.functions.numbers import clamp
 
+#: Places of scores, and of documents' confidences: fewer than a double has, so that a sum's order moves no value over a limit or a half.
+SCORE_PLACES, CONFIDENCE_PLACES = 11, 12
+
 
 def assessed(text: Column, confidence: Column, pages: Column, regions: Column, empty_pages: Column, low_regions: Column) -> Column:
     """struct(score 0 to 100, status, characters, printable_ratio, suspicious_ratio, reasons) of a text; its characters are counted once."""
@@ -34,7 +37,7 @@ def judged(counts: Column, confidence: Column, pages: Column, regions: Column, e
     bounded = F.when(confidence.isNotNull(), clamp(confidence, 0.0, 1.0))
     points = F.coalesce(bounded, F.lit(CONFIDENCE_IF_UNKNOWN)) * 65 + printable * 20 + F.least(F.lit(10.0), n / 4) + (1 - suspect) * 5
     points = points - empty / pages * 25 - F.coalesce(F.try_divide(low, regions), F.lit(0.0)) * 15
-    score = F.when(none, F.lit(0.0)).otherwise(clamp(points, 0.0, 100.0))
+    score = F.when(none, F.lit(0.0)).otherwise(F.round(clamp(points, 0.0, 100.0), SCORE_PLACES))
     reason = lambda test, name: F.when(test, F.lit(name))
     told = F.when(bounded.isNull(), F.lit("confidence_unavailable")).when(bounded < LOW_REGION_CONFIDENCE, F.lit("very_low_average_confidence")).when(bounded < RETRY_CONFIDENCE, F.lit("low_average_confidence"))
     reasons = F.array_compact(F.array(told, reason(empty > 0, "empty_pages"), reason(low > 0, "low_confidence_regions"), reason(printable < 0.98, "non_printable_characters"), reason(suspect > 0, "suspicious_characters"), reason(n < 4, "very_short_text")))

@@ -182,11 +182,11 @@ def permitted_products(spark, sf):
 
 @query("""WITH p AS (SELECT l_orderkey AS d, l_linenumber AS n, CASE WHEN l_linenumber % 4 = 3 THEN ' ' ELSE 'page ' || l_linenumber || ' ' || l_returnflag || l_linestatus END AS text, round(l_discount * 9 + 0.03, 4) AS conf,
     CASE WHEN l_linenumber % 3 = 0 THEN 'xy' ELSE 'long word' END AS region, CASE WHEN l_linenumber = 1 THEN round(0.3 + (l_orderkey % 8) / 10.0, 2)::DOUBLE END AS q FROM lineitem),
-  g AS (SELECT d, trim(string_agg(text, chr(10) ORDER BY n, text), ' ' || chr(10)) AS text, count(*) AS pages, count(*) FILTER (trim(text) = '') AS empty, sum(length(region) * conf) / sum(length(region)) AS conf, count(*) FILTER (conf < 0.5) AS low, min(q) AS q FROM p GROUP BY d),
+  g AS (SELECT d, trim(string_agg(text, chr(10) ORDER BY n, text), ' ' || chr(10)) AS text, count(*) AS pages, count(*) FILTER (trim(text) = '') AS empty, (sum(length(region) * conf) / sum(length(region)))::DECIMAL(18, 12)::DOUBLE AS conf, count(*) FILTER (conf < 0.5) AS low, min(q) AS q FROM p GROUP BY d),
   s AS (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM g),
-  z AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(100, conf * 65 + 20 + least(10, n / 4) + 5 - empty / pages * 25 - low / pages * 15)) END AS score FROM s),
-  b AS (SELECT *, CASE WHEN round(score, 6) >= 80 THEN 'high' WHEN round(score, 6) >= 50 THEN 'review' ELSE 'low' END AS status FROM z)
-  SELECT d AS document_id, pages AS page_count, empty AS empty_pages, round(conf, 6) AS confidence, round(score, 7) AS score, CASE WHEN q < 0.4 THEN 'low' WHEN q < 0.65 AND status = 'high' THEN 'review' ELSE status END AS status FROM b""")
+  z AS (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(100, conf * 65 + 20 + least(10, n / 4) + 5 - empty / pages * 25 - low / pages * 15)) END::DECIMAL(18, 11) AS score FROM s),
+  b AS (SELECT *, CASE WHEN score >= 80 THEN 'high' WHEN score >= 50 THEN 'review' ELSE 'low' END AS status FROM z)
+  SELECT d AS document_id, pages AS page_count, empty AS empty_pages, round(conf::DECIMAL(18, 12), 6)::DOUBLE AS confidence, round(score, 7)::DOUBLE AS score, CASE WHEN q < 0.4 THEN 'low' WHEN q < 0.65 AND status = 'high' THEN 'review' ELSE status END AS status FROM b""")
 def document_rollup(spark, sf):
     """Without defects; document_defects has them."""
     n = F.col("l_linenumber")

@@ -32,7 +32,7 @@ def document_quality(pages: DataFrame) -> DataFrame:
         F.min("image_quality").alias("image_quality"), F.flatten(F.collect_list(F.coalesce("defects", F.array().cast("array<struct<type:string,confidence:double>>")))).alias("defects"),
     )
     low = F.size(F.filter("regions", lambda r: r["confidence"] < 0.5))
-    judged = rolled.withColumn("confidence", ocr.weighted_confidence(F.col("regions"))).withColumn("quality", ocr.assessed(F.col("text"), F.col("confidence"), F.col("page_count"), F.size("regions"), F.col("empty_pages"), low))
+    judged = rolled.withColumn("confidence", F.round(ocr.weighted_confidence(F.col("regions")), ocr.CONFIDENCE_PLACES)).withColumn("quality", ocr.assessed(F.col("text"), F.col("confidence"), F.col("page_count"), F.size("regions"), F.col("empty_pages"), low))
     return judged.withColumn("status", ocr.downgraded(F.col("quality.status"), F.col("image_quality"), F.col("defects")))
 
 

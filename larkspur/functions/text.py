@@ -24,13 +24,16 @@ class Fold:
                 (single if len(plain) == 1 else several)[chr(code)] = plain
         self.marked, self.plain = "".join(single), "".join(single.values())
         self.several = "\x02".join(f"{k}\x01{v}" for k, v in several.items())
-        self.any = "[" + "".join(several) + "]"
+        self.wide = "".join(several)
 
     def __call__(self, c: Column) -> Column:
-        """c with letters replaced; other characters beyond ASCII stay. Texts with a letter that becomes several are taken apart, others are translated whole."""
+        """c with letters replaced; other characters beyond ASCII stay. Texts of ASCII alone stay as they are; those with a letter that becomes several are taken apart, others are translated whole."""
         table = F.str_to_map(F.lit(self.several), F.lit("\x02"), F.lit("\x01"))
-        apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-        return F.translate(F.when(c.rlike(self.any), apart).otherwise(c), self.marked, self.plain)
+        letter = lambda x: F.when(x < "\x80", x).otherwise(F.coalesce(F.try_element_at(table, x), x))  # noqa: E731  (the table is searched from its begin)
+        apart = F.array_join(F.transform(F.split(c, ""), letter), "")
+        wide = F.translate(c, self.wide, "") != c  # a look-up a character, where a class of a pattern is searched from its begin
+        folded = F.translate(F.when(wide, apart).otherwise(c), self.marked, self.plain)
+        return F.when(c.rlike(r"[^\x00-\x7F]"), folded).otherwise(c)
 
 
 #: Beyond this code point no character decomposes to ASCII or folds to it.

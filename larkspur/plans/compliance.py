@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.fixed_values import COMPLEX_PRODUCTS, CUSTOMER_TYPES, DERIVATIVE_PRODUCTS
 from larkspur.functions import risk, text
+from larkspur.functions.numbers import bound
 from larkspur.operators import joins, selection
 
 WEALTH = "array<struct<sourceType:string>>"
@@ -92,11 +93,12 @@ def applicant_names(accounts: DataFrame, application: Column) -> DataFrame:
 
 def matched_person(people: Column, first: Column, middle: Column, last: Column, email: Column) -> Column:
     """The first of the people (struct(firstName, middleName, lastName, email)) with the contact's name or e-mail; else the first."""
-    names = F.array(text.normalized_name(F.concat_ws(" ", first, last)), text.normalized_name(F.concat_ws(" ", first, middle, last)))
-    same_name = lambda p: F.array_contains(names, text.normalized_name(F.concat_ws(" ", p["firstName"], p["lastName"]))) | F.array_contains(names, text.normalized_name(F.concat_ws(" ", p["firstName"], p["middleName"], p["lastName"])))
-    same_mail = lambda p: (F.lower(F.trim(p["email"])) == F.lower(F.trim(email))) & (F.trim(email) != "")
-    hits = F.filter(people, lambda p: F.coalesce(same_name(p), F.lit(False)) | F.coalesce(same_mail(p), F.lit(False)))
-    return F.coalesce(F.get(hits, F.lit(0)), F.get(people, F.lit(0)))
+    own = F.struct(F.array(text.normalized_name(F.concat_ws(" ", first, last)), text.normalized_name(F.concat_ws(" ", first, middle, last))).alias("names"), F.lower(F.trim(email)).alias("mail"))
+    spelled = lambda p, *parts: text.normalized_name(F.concat_ws(" ", *[p[x] for x in parts]))
+    same_name = lambda o, p: F.array_contains(o["names"], spelled(p, "firstName", "lastName")) | F.array_contains(o["names"], spelled(p, "firstName", "middleName", "lastName"))
+    same_mail = lambda o, p: (F.lower(F.trim(p["email"])) == o["mail"]) & (o["mail"] != "")
+    hits = bound(own, lambda o: F.filter(people, lambda p: F.coalesce(same_name(o, p), F.lit(False)) | F.coalesce(same_mail(o, p), F.lit(False))))  # the contact's own names are folded once
+    return bound(hits, lambda h: F.coalesce(F.get(h, F.lit(0)), F.get(people, F.lit(0))))
 
 
 def to_screen(links: DataFrame, screened: DataFrame, today: Column, comparisons: list[DataFrame]) -> DataFrame:

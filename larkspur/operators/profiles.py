@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators import joins, ranks
+from larkspur.shared import kept
 
 #: Fixed values of the screen: least spread, widths, least rows kept.
 LEAST_MAD, WIDTH, TARGET_WIDTH = 0.35, 2.5, 1.25
@@ -26,23 +27,29 @@ def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def screened(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows within their group's bounds, if enough of them are (3 to 5, by the group's size); else all of the group."""
-    bounds = profile(df, keys, value).select(*keys, "n", "lower", "upper")
+    bounds = kept(profile(df, keys, value).select(*keys, "n", "lower", "upper"), "bounds")
     inside = F.col(value).between(F.col("lower"), F.col("upper"))
-    beside = lambda groups: df.join(groups, keys) if keys else df.crossJoin(F.broadcast(groups))  # noqa: E731 (one row without keys)
+    beside = lambda groups: df.join(_groups(groups), keys) if keys else df.crossJoin(F.broadcast(groups))  # noqa: E731 (one row without keys)
     counted = beside(bounds).groupBy(*keys).agg(F.count_if(inside).alias("_k"))
-    judged = bounds.join(counted, keys) if keys else bounds.crossJoin(counted)
+    judged = kept(bounds.join(counted, keys) if keys else bounds.crossJoin(counted), "judged")
     enough = F.col("_k") >= F.greatest(F.lit(3), F.least(F.lit(5), F.col("n")))
     return beside(judged).where(~enough | inside).select(*df.columns)
 
 
+def _groups(groups: DataFrame) -> DataFrame:
+    """A row a group, for a join with the rows themselves: sent to the tasks if they are few, else merged. The planner, which knows only files' sizes, may send the rows through the driver."""
+    counted = joins.small(groups)
+    return counted if counted is not groups else groups.hint("merge")
+
+
 def nearness(value: Column, target: Column, spread: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.abs(value - target) / spread)
 
 
 def scored(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds score and distance against the group's own profile."""
-    p = profile(df, keys, value).select(*keys, "target", "spread")
-    placed = df.join(p, keys) if keys else df.crossJoin(F.broadcast(p))
+    p = kept(profile(df, keys, value).select(*keys, "target", "spread"), "targets")
+    placed = df.join(_groups(p), keys) if keys else df.crossJoin(F.broadcast(p))
     return placed.withColumn("score", nearness(F.col(value), F.col("target"), F.col("spread"))).withColumn("distance", F.abs(F.col(value) - F.col("target"))).drop("target", "spread")
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators import joins
 from larkspur.shared import kept
 
 #: Rows that one task numbers or sorts.
@@ -75,7 +76,7 @@ def _refined(rows: DataFrame, state: DataFrame, keys: list[str], sorted_values:
     """The state after one round: ranks of large intervals go on with their bin."""
     large = (F.col("_lo") < F.col("_hi")) & (F.col("_inside") > sorted_values)
     open_ = state.where(large).select(*keys, "_lo", "_hi").distinct()
-    met = _beside(rows, open_, keys).where("_v between _lo and _hi")
+    met = _beside(rows, joins.small(open_), keys).where("_v between _lo and _hi")
     # Halves keep differences of large values finite.
     share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
     counted = met.groupBy(*keys, "_lo", "_hi", F.least(F.floor(share * bins), F.lit(bins - 1)).alias("_bin")).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
@@ -92,6 +93,6 @@ def _sorted(rows: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     single = state.where("_lo = _hi").select(*keys, "_rank", F.col("_lo").alias("_v"))
     small = state.where("_lo < _hi")
     intervals = small.select(*keys, "_lo", "_hi").distinct()
-    held = _beside(rows, intervals, keys).where("_v between _lo and _hi").groupBy(*keys, "_lo", "_hi").agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
+    held = _beside(rows, joins.small(intervals), keys).where("_v between _lo and _hi").groupBy(*keys, "_lo", "_hi").agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
     placed = _beside(small, held.withColumnsRenamed({"_lo": "_was_lo", "_hi": "_was_hi"}), keys).where("_lo = _was_lo and _hi = _was_hi")
     return single.unionByName(placed.select(*keys, "_rank", F.get("_vs", (F.col("_rank") - F.col("_below")).cast("int")).alias("_v")))

@@ -58,24 +58,57 @@ def within(df: DataFrame, value: Column, ranges: DataFrame, low: str, high: str,
 
 #: Cells are never smaller than 2**LEAST_LEVEL: smaller boxes share them.
 LEAST_LEVEL = -20
+#: Powers of two by which a box may lie in cells larger or smaller than its own level's.
+COARSER, FINER = 3, 4
+
+
+def levels_in_use(sizes: list[tuple[int, int, float, float, float]], points: int) -> dict[int, int]:
+    """Level of the boxes' own -> level that they are put in: those with the fewest rows of points (one a level in use) and boxes (one a cell).
+
+    sizes: of each level the number of boxes, and the sums of their widths, heights and areas, which tell their mean number of
+    cells of any size. From all levels, the one whose absence saves most is left out until none does.
+    """
+    cells = lambda n, at: n[1] + (n[2] + n[3]) / 2.0**at + n[4] / 4.0**at
+    reach = {n[0]: {at: cells(n, at) for at in range(n[0] - FINER, n[0] + COARSER + 1)} for n in sizes}
+
+    def placed(used: set[int]) -> tuple[float, dict[int, int]]:
+        chosen = {n: min((at for at in used if at in costs), key=lambda at: (costs[at], at), default=None) for n, costs in reach.items()}
+        if None in chosen.values():
+            return math.inf, chosen
+        return points * len(used) + sum(reach[n][at] for n, at in chosen.items()), chosen
+
+    used = set(reach)
+    best, chosen = placed(used)
+    while len(used) > 1:
+        cost, gone = min((placed(used - {at})[0], at) for at in used)
+        if cost > best:
+            break
+        used, best = used - {gone}, cost
+        chosen = placed(used)[1]
+    return chosen
 
 
 def inside(points: DataFrame, x: str, y: str, boxes: DataFrame, sides: tuple[str, str, str, str], keys: list[str]) -> DataFrame:
     """Pairs of points and boxes of the same keys (a page) whose box (left, top, right, bottom, all included) holds the point.
 
-    A grid index: a box touches at most four cells of its level, and a point looks up its cell in each level in use.
+    A grid index: a box has a level by its extent, and a point looks up its cell in each level in use. Levels near one another
+    are put together where that makes fewer rows, so that points are not sent once for each size of box.
     """
     left, top, right, bottom = sides
-    extent = F.greatest(F.col(right) - F.col(left), F.col(bottom) - F.col(top))
+    width, height = F.col(right) - F.col(left), F.col(bottom) - F.col(top)
+    extent = F.greatest(width, height)
     far = F.greatest(*[F.abs(F.col(c)) for c in sides])
     exact = lambda c: F.ceil(F.log2(c))  # noqa: E731  (null for 0)
     level = F.greatest(F.coalesce(exact(extent), F.lit(LEAST_LEVEL)), F.lit(LEAST_LEVEL), F.coalesce(exact(far), F.lit(LEAST_LEVEL)) - 50).cast("int")
     sized = boxes.where((F.col(left) <= F.col(right)) & (F.col(top) <= F.col(bottom))).withColumn("_level", level)
-    levels = sorted(r["_level"] for r in sized.select("_level").distinct().collect())  # at most one for each exponent of a double
+    sizes = sized.groupBy("_level").agg(F.count(F.lit(1)), F.sum(width), F.sum(height), F.sum(width * height)).collect()  # at most one for each exponent of a double
+    chosen = levels_in_use([tuple(r) for r in sizes], points.count() if len(sizes) > 1 else 0)
+    levels = sorted(set(chosen.values()))
     cell = lambda c, n: F.floor(c / F.pow(F.lit(2.0), n))
-    columns = F.array_distinct(F.array(cell(F.col(left), F.col("_level")), cell(F.col(right), F.col("_level"))))
-    rows = F.array_distinct(F.array(cell(F.col(top), F.col("_level")), cell(F.col(bottom), F.col("_level"))))
-    gridded = sized.withColumn("_column", F.explode(columns)).withColumn("_row", F.explode(rows))
+    table = F.create_map(*[F.lit(v) for pair in sorted(chosen.items()) for v in pair]) if chosen else None
+    leveled = sized.withColumn("_level", F.try_element_at(table, F.col("_level"))) if chosen else sized
+    spread = lambda low, high: F.sequence(cell(F.col(low), F.col("_level")), cell(F.col(high), F.col("_level")))
+    gridded = leveled.withColumn("_column", F.explode(spread(left, right))).withColumn("_row", F.explode(spread(top, bottom)))
     looked = F.array(*[F.struct(F.lit(n).alias("l"), cell(F.col(x), F.lit(n)).alias("c"), cell(F.col(y), F.lit(n)).alias("r")) for n in levels]) if levels else F.array().cast("array<struct<l:int,c:bigint,r:bigint>>")
     asked = points.withColumn("_a", F.explode(looked)).withColumns({"_level": F.col("_a.l"), "_column": F.col("_a.c"), "_row": F.col("_a.r")}).drop("_a")
     met = asked.join(gridded, [*keys, "_level", "_column", "_row"])

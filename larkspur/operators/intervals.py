@@ -1,17 +1,19 @@
 """Joins by containment as equi-joins: values in ranges, points in boxes.
 
-Both use levels. A range (or box) belongs to the finest level whose cells are as wide as itself, so it touches two cells
-(four) at most, however wide it is. A value looks up one cell in each level that is in use. The exact test follows the
-equi-join, which can be shuffled and, where skewed, split; no plan holds a nested loop.
+Ranges are dealt to the places of the values that they hold. Boxes use levels: a box belongs to a level whose cells are about
+as wide as itself, so it touches few cells, however wide it is, and a point looks up one cell in each level that is in use; the
+exact test follows. These are equi-joins, which can be shuffled and, where skewed, split; no plan holds a nested loop.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.shared import kept
+
 #: Cuts between buckets of values: they bound what the driver holds of the ranges' distribution.
 CUTS = 1023
 
@@ -34,26 +36,36 @@ def bucket(value: Column, cuts: list[float]) -> Column:
     return F.when(value.isNotNull(), found)
 
 
+#: Places that one row of a wide range is dealt to at a time.
+PLACES = 4096
+
+
 def within(df: DataFrame, value: Column, ranges: DataFrame, low: str, high: str, closed_top: float | None = None, cuts: int = CUTS) -> DataFrame:
     """Left join of df with all half-open ranges that hold its value; one whose high is closed_top includes it.
 
-    Ranges meet distinct values only, so a value that much of df holds is searched once; df itself is joined by equality.
+    Distinct values have places in their order; a range holds the places from its low's to its high's, so it is dealt to these
+    alone and meets nothing that it does not hold, however the ranges lie and however many values fall between two cuts.
+    Cuts only decide which task counts which values.
     """
     number = value.cast("double")
-    at = cuts_of(ranges, [low, high], cuts)
-    placed = ranges.withColumn("_from", bucket(F.col(low).cast("double"), at)).withColumn("_to", bucket(F.col(high).cast("double"), at)).where("_from <= _to")
-    level = F.ceil(F.log2(F.col("_to") - F.col("_from") + 1)).cast("int")
-    placed = placed.withColumn("_level", level)
-    levels = sorted(r["_level"] for r in placed.select("_level").distinct().collect())  # one for each power of two up to the number of cuts
-    shifted = lambda c, n: F.floor(F.col(c) / F.pow(F.lit(2.0), n)).cast("int")
-    cells = F.array_distinct(F.array(shifted("_from", F.col("_level")), shifted("_to", F.col("_level"))))
-    celled = placed.withColumn("_cell", F.explode(cells)).drop("_from", "_to")
-    values = df.select(number.alias("_value")).where("_value is not null").distinct().withColumn("_b", bucket(F.col("_value"), at))
-    looked = F.array(*[F.struct(F.lit(n).alias("level"), shifted("_b", F.lit(n)).alias("cell")) for n in levels]) if levels else F.array().cast("array<struct<level:int,cell:int>>")
-    asked = values.select("_value", F.explode(looked).alias("_a")).select("_value", F.col("_a.level").alias("_level"), F.col("_a.cell").alias("_cell"))
-    top = (F.col("_value") == F.col(high)) & (F.col(high) == F.lit(closed_top)) if closed_top is not None else F.lit(False)
-    met = asked.join(celled, ["_level", "_cell"]).where((F.col("_value") >= F.col(low)) & ((F.col("_value") < F.col(high)) | top)).drop("_level", "_cell")
-    return df.join(met, number == F.col("_value"), "left").drop("_value")
+    spans = ranges.withColumns({"_from": F.col(low).cast("double"), "_to": F.col(high).cast("double")}).where("_from <= _to")
+    points = df.select(number.alias("_at"), F.lit(1).alias("_held")).where("_at is not null").unionByName(spans.select(F.explode(F.array("_from", "_to")).alias("_at"), F.lit(0).alias("_held")))
+    # -0.0 and 0.0 are one value to a grouping, as to a comparison
+    parted = points.groupBy("_at").agg(F.max("_held").alias("_held")).withColumn("_part", bucket(F.col("_at"), cuts_of(ranges, [low, high], cuts)))
+    parted = kept(parted, "points")
+    counts = parted.groupBy("_part").agg(F.sum("_held").alias("_n"))  # a row between two cuts
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    order = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    counted = parted.withColumn("_upto", F.sum("_held").over(order)).join(F.broadcast(before), "_part")
+    places = kept(counted.select("_at", "_held", (F.col("_before") + F.col("_upto") - F.col("_held")).alias("_place")), "places")
+    first = places.select(F.col("_at").alias("_from"), F.col("_place").alias("_first"))
+    top = (F.col(high) == F.lit(closed_top)).cast("int") * F.col("_held") if closed_top is not None else F.lit(0)
+    last = places.select(F.col("_at").alias("_to"), F.col("_place").alias("_next"), "_held")
+    placed = spans.join(first, "_from").join(last, "_to").withColumn("_last", F.col("_next") + top - 1).where("_first <= _last").drop("_from", "_to", "_held", "_next")
+    blocks = placed.withColumn("_begin", F.explode(F.sequence("_first", "_last", F.lit(PLACES).cast("long"))))
+    dealt = blocks.withColumn("_place", F.explode(F.sequence("_begin", F.least(F.col("_last"), F.col("_begin") + PLACES - 1)))).drop("_first", "_last", "_begin")
+    of_value = places.where("_held = 1").select("_at", "_place")
+    return df.join(of_value, number == F.col("_at"), "left").drop("_at").join(dealt, "_place", "left").drop("_place")
 
 
 #: Cells are never smaller than 2**LEAST_LEVEL: smaller boxes share them.

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larkspur.fixed_values import MOODYS_SCALE, SP_SCALE, SP_TEXT_ORDER, TREASURY_PATTERNS
-from larkspur.functions.numbers import any_of
+from larkspur.functions.numbers import any_of, bound
 
 
 def literal_map(pairs) -> Column:
@@ -69,7 +69,7 @@ def moodys_to_sp(c: Column) -> Column:
 
 def is_treasury(*fields: Column) -> Column:
     joined = F.upper(F.concat_ws(" ", *[F.coalesce(f.cast("string"), F.lit("")) for f in fields]))
-    return any_of([joined.rlike(p) for p in TREASURY_PATTERNS])
+    return bound(joined, lambda text: any_of([text.rlike(p) for p in TREASURY_PATTERNS]))
 
 
 def resolved_rating(treasury: Column, equivalent: Column, sp: Column, text: Column, moodys: Column) -> Column:
@@ -80,8 +80,9 @@ def resolved_rating(treasury: Column, equivalent: Column, sp: Column, text: Colu
 def rating_bucket(rating: Column) -> Column:
     """Portfolio bucket of a rating; '' if it has none."""
     plain = F.regexp_replace(F.upper(F.trim(rating)), r"[+\-]", "")
-    return (
-        F.when(plain == "UST", "treasuries").when(plain == "ETF", "etfs").when(plain == "STOCK", "stocks").when(plain.isin("AAA", "AA", "A"), "bonds_aaa_a").when(plain == "BBB", "bonds_bbb").when(plain == "BB", "bonds_bb").otherwise("")
+    return bound(
+        plain,
+        lambda r: F.when(r == "UST", "treasuries").when(r == "ETF", "etfs").when(r == "STOCK", "stocks").when(r.isin("AAA", "AA", "A"), "bonds_aaa_a").when(r == "BBB", "bonds_bbb").when(r == "BB", "bonds_bb").otherwise(""),
     )
 
 

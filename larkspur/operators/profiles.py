@@ -14,7 +14,7 @@ LEAST_MAD, WIDTH, TARGET_WIDTH = 0.35, 2.5, 1.25
 
 def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per group: n, median, mad, q75, q90, lower, upper, target, spread. Quantiles are exact, for groups of any size (see ranks.quantiles)."""
-    quantiles = ranks.quantiles(df, keys, value, [0.5, 0.75, 0.9]).withColumnRenamed("q", "_q")
+    quantiles = kept(ranks.quantiles(df, keys, value, [0.5, 0.75, 0.9]).withColumnRenamed("q", "_q"), "quantiles")  # a row a group
     medians = quantiles.select(*keys, F.col("_q")[0].alias("_m"))
     centred = df.join(joins.small(medians), keys) if keys else df.crossJoin(medians)  # one row without keys
     mads = ranks.quantiles(centred.withColumn("_d", F.abs(F.col(value) - F.col("_m"))), keys, "_d", [0.5]).select(*keys, F.col("q")[0].alias("mad"))
@@ -46,9 +46,14 @@ def nearness(value: Column, target: Column, spread: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - F.abs(value - target) / spread)
 
 
-def scored(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds score and distance against the group's own profile."""
-    p = kept(profile(df, keys, value).select(*keys, "target", "spread"), "targets")
+def targets(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, target, spread) of each group, kept."""
+    return kept(profile(df, keys, value).select(*keys, "target", "spread"), "targets")
+
+
+def scored(df: DataFrame, keys: list[str], value: str, p: DataFrame | None = None) -> DataFrame:
+    """Adds score and distance against the group's own profile, or against targets that are known."""
+    p = targets(df, keys, value) if p is None else p
     placed = df.join(_groups(p), keys) if keys else df.crossJoin(F.broadcast(p))
     return placed.withColumn("score", nearness(F.col(value), F.col("target"), F.col("spread"))).withColumn("distance", F.abs(F.col(value) - F.col("target"))).drop("target", "spread")
 

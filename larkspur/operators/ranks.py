@@ -33,16 +33,21 @@ def numbered(df: DataFrame, key: str, name: str, rows_a_task: int = ROWS_A_TASK)
 def quantiles(df: DataFrame, keys: list[str], value: str, fractions: list[float], sorted_values: int = SORTED_VALUES, bins: int = BINS) -> DataFrame:
     """(keys, n, q): exact quantiles of each group by linear interpolation between neighbouring values, as an array. Values are finite; nulls do not count.
 
-    Where all groups are small, Spark's own aggregate does it. Else by distributed selection: every wanted rank starts with its
+    Where all groups are small, Spark's own aggregate does it, also where they have few distinct values: these are counted first,
+    and the aggregate takes the counts. Else by distributed selection: every wanted rank starts with its
     group's whole interval of values; rows of the intervals that are still large are counted in bins, combined before the
     shuffle, and each rank goes on with the interval of its bin, all groups in the same pass. What is left of an
     interval is sorted, at most sorted_values of it. No task holds a group.
     """
     rows = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null")
-    groups = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(F.col(value).cast("double")).alias("_lo"), F.max(F.col(value).cast("double")).alias("_hi"))
-    if (groups.agg(F.max("n")).first()[0] or 0) <= sorted_values:
+    groups = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(F.col(value).cast("double")).alias("_lo"), F.max(F.col(value).cast("double")).alias("_hi"), F.approx_count_distinct(value).alias("_distinct"))
+    most, distinct = groups.agg(F.max("n"), F.max("_distinct")).first()
+    if (most or 0) > sorted_values and 2 * distinct <= sorted_values:  # the estimate decides how, not what
+        counted = df.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(value).alias("_n"))
+        return counted.groupBy(*keys).agg(F.sum("_n").alias("n"), F.percentile("_v", F.array(*[F.lit(f) for f in fractions]), F.col("_n")).alias("q"))
+    if (most or 0) <= sorted_values:
         return df.groupBy(*keys).agg(F.count(value).alias("n"), F.percentile(value, F.array(*[F.lit(f) for f in fractions])).alias("q"))
-    groups = kept(groups, "groups")
+    groups = kept(groups.drop("_distinct"), "groups")
     positions = F.array(*[F.lit(f) * (F.col("n") - 1) for f in fractions])
     ranks = F.array_distinct(F.flatten(F.transform(positions, lambda p: F.array(F.floor(p), F.ceil(p)))))
     state = groups.where("n > 0").select(*keys, F.explode(ranks).alias("_rank"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("n").alias("_inside"))

@@ -102,24 +102,25 @@ def plan_weights(plans: DataFrame) -> DataFrame:
 def proposals(candidates: DataFrame, profiles_: DataFrame, key: str) -> DataFrame:
     """(key, bucket, n, Symbol_x, Ticker, Current Yield_x): the ranked assets for each of many profiles (key, weights as plan_weights gives them), by the same filling as proposal(), without its left-over round.
 
-    Candidates are ranked once. A profile takes as many of a bucket as its weights ask for, in the order of buckets, and no ticker
+    Candidates are ranked once, and buckets filled once for each number of assets a bucket that some profile asks for. A profile takes as many of a bucket as its weights ask for, in the order of buckets, and no ticker
     twice: over the best 2 * TOTAL_ASSETS of each bucket, which is as far as any profile can reach, held as one row beside each.
     """
     best = ranked(candidates).where(F.col("place") <= 2 * TOTAL_ASSETS)
     entry = F.struct(F.lit(0).alias("b"), F.col("place"), "bucket", "Ticker", "Symbol_x", F.col("`Current Yield_x`").alias("y"))
     order = ratings.literal_map([(b, i) for i, b in enumerate(BUCKETS)])
     listed = best.where(F.col("bucket").isin(*BUCKETS)).agg(F.sort_array(F.collect_list(entry.withField("b", F.try_element_at(order, F.col("bucket"))))).alias("_all"))
-    beside = profiles_.crossJoin(F.broadcast(listed))  # one row of some hundred candidates
     need = F.array(*[numbers.half_even(TOTAL_ASSETS * F.col("weights")[b]).cast("int") if b in WEIGHTED else F.lit(0) for b in BUCKETS])
     start = F.struct(F.array().cast("array<struct<b:int,place:int,bucket:string,Ticker:string,Symbol_x:string,y:double>>").alias("taken"), F.array().cast("array<string>").alias("used"))
-    asked = beside.withColumn("_need", need)
+    asked = profiles_.select(key, need.alias("_need"))
+    beside = asked.select("_need").distinct().crossJoin(F.broadcast(listed))  # one row of some hundred candidates
 
     def take(state: Column, c: Column) -> Column:
         have = F.size(F.filter(state["taken"], lambda t: t["b"] == c["b"]))
         fits = (have < F.get("_need", c["b"])) & ~F.array_contains(state["used"], c["Ticker"])
         return F.when(fits, F.struct(F.array_append(state["taken"], c).alias("taken"), F.array_append(state["used"], c["Ticker"]).alias("used"))).otherwise(state)
 
-    filled = asked.select(key, F.explode(F.aggregate("_all", start, take, lambda s: s["taken"])).alias("t"))
+    each = kept(beside.select("_need", F.aggregate("_all", start, take, lambda s: s["taken"]).alias("_taken")), "filled")
+    filled = asked.join(joins.small(each), "_need").select(key, F.explode("_taken").alias("t"))
     return filled.select(key, "t.bucket", F.col("t.place").alias("place"), "t.Ticker", "t.Symbol_x", F.col("t.y").alias("Current Yield_x"))
 
 
@@ -144,7 +145,8 @@ def universe(bonds: DataFrame, treasuries: DataFrame | None = None) -> DataFrame
     current = numbers.percent(numbers.first_present(have, ["Current Yield", "CY", "YTM"], numbers.number))
     ticker = numbers.first_present(have, ["Ticker", "Issuer", "Financial Instrument", "Symbol"], numbers.usable_text)
     metadata = [numbers.first_present(have, names, numbers.number if key in ("coupon", "years_to_maturity", "duration") else numbers.usable_text).alias(key) for key, names in METADATA.items()]
-    return rows.select(F.coalesce(ticker, F.lit("")).alias("Ticker"), symbol.alias("Symbol_x"), current.alias("Current Yield_x"), rating.alias("S&P Equivalent_x"), ratings.rating_bucket(rating).alias("bucket"), *metadata)
+    rated = rows.withColumn("_rating", rating)  # a column of its own: what its bucket is made from is found once
+    return rated.select(F.coalesce(ticker, F.lit("")).alias("Ticker"), symbol.alias("Symbol_x"), current.alias("Current Yield_x"), F.col("_rating").alias("S&P Equivalent_x"), ratings.rating_bucket(F.col("_rating")).alias("bucket"), *metadata)
 
 
 def etf_candidates(etfs: DataFrame, equities: DataFrame | None = None) -> DataFrame:
@@ -168,10 +170,20 @@ def cleaned(candidates: DataFrame) -> DataFrame:
     return candidates.where(~numbers.is_blank(F.col("Ticker")) & (y > 0) & (y <= MOST_YIELD))
 
 
-def ranked(candidates: DataFrame) -> DataFrame:
-    """Clean candidates of each bucket after the outlier screen, scored against the profile of those that are left; the best row of each ticker, with place."""
+def screened(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clean candidates of each bucket after the outlier screen (yield as _y), and the buckets' targets and spreads by those that are left."""
     rows = kept(cleaned(candidates).withColumnRenamed("Current Yield_x", "_y"), "candidates")  # profiles read them several times
-    best = profiles.scored(kept(profiles.screened(rows, ["bucket"], "_y"), "screened"), ["bucket"], "_y")
+    left = kept(profiles.screened(rows, ["bucket"], "_y"), "screened")
+    return left, profiles.targets(left, ["bucket"], "_y")
+
+
+def ranked(candidates: DataFrame) -> DataFrame:
+    """Screened candidates scored against the profile of those that are left; the best row of each ticker, with place."""
+    return placed(*screened(candidates))
+
+
+def placed(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    best = profiles.scored(rows, ["bucket"], "_y", targets)
     order = [F.desc("score"), "distance", F.desc("_y"), "Ticker", F.col("Symbol_x").asc_nulls_last()]
     first = best.withColumn("_n", F.row_number().over(Window.partitionBy("bucket", "Ticker").orderBy(*order))).where("_n = 1").drop("_n")
     return first.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).withColumnRenamed("_y", "Current Yield_x")
@@ -188,7 +200,8 @@ def proposal(candidates: DataFrame, weights: dict[str, float], held: DataFrame |
     wanted = needs(weights)
     pool = candidates if held is None else candidates.join(held.select("Ticker").distinct(), "Ticker", "left_anti")
     # A bucket needs TOTAL_ASSETS rows at most, and buckets before it have used as many tickers at most.
-    places = ranked(pool).where(F.col("place") <= 2 * TOTAL_ASSETS).cache()
+    left, targets = screened(pool)
+    places = placed(left, targets).where(F.col("place") <= 2 * TOTAL_ASSETS).cache()
     used: list[str] = []
     taken = []
     for bucket in BUCKETS:
@@ -199,15 +212,14 @@ def proposal(candidates: DataFrame, weights: dict[str, float], held: DataFrame |
             used += [r["Ticker"] for r in got]
     short = {b: wanted[b] - sum(r["bucket"] == b for r in taken) for b in BUCKETS}
     if any(n > 0 for n in short.values()):
-        rows = kept(cleaned(candidates).withColumnRenamed("Current Yield_x", "_y"), "candidates")
-        profile = profiles.profile(kept(profiles.screened(rows, ["bucket"], "_y"), "screened"), ["bucket"], "_y").select("bucket", "target", "spread")
+        profile = targets if held is None else screened(candidates)[1]  # of all candidates, held ones too
         rest = cleaned(pool).where((F.col("bucket") != "etfs") & ~F.col("Ticker").isin(*used)).withColumn("bucket", F.when(F.col("bucket") == "", "bonds_bb").otherwise(F.col("bucket")))
         near = rest.join(F.broadcast(profile), "bucket", "left")  # a row per bucket
         y = F.col("`Current Yield_x`")
         near = near.withColumn("score", profiles.nearness(y, F.coalesce("target", y), F.coalesce("spread", F.lit(1.0)))).withColumn("distance", F.abs(y - F.coalesce("target", y)))
         order = [F.desc("score"), F.desc("`Current Yield_x`"), "Ticker", F.col("Symbol_x").asc_nulls_last()]
         best = near.withColumn("_n", F.row_number().over(Window.partitionBy("Ticker").orderBy(*order))).where("_n = 1")
-        best = best.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order)))
+        best = best.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).where(F.col("place") <= TOTAL_ASSETS)  # no bucket is short of more
         need = ratings.literal_map(short.items())
         taken += [r.asDict() | {"round": 2} for r in best.where(F.col("place") <= F.try_element_at(need, F.col("bucket"))).select(*places.columns).collect()]  # at most TOTAL_ASSETS rows
     schema = f"Ticker string, Symbol_x string, `Current Yield_x` double, `S&P Equivalent_x` string, bucket string, {', '.join(f'{k} ' + ('double' if k in ('coupon', 'years_to_maturity', 'duration') else 'string') for k in METADATA)}, score double, distance double, place int, round int"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import intervals
 
+#: Rows that one task sorts.
+ROWS_A_TASK = 1_000_000
 #: Rows and bytes of a side up to which it is worth sending to every task; larger ones are left to the planner.
 SMALL_ROWS, SMALL_BYTES = 100_000, 32_000_000
 
@@ -115,12 +118,15 @@ def carried(df: DataFrame, keys: list[str], order: list[Column], value: Column,
     return df.withColumn(name, F.last(value, ignorenulls=True).over(frame))
 
 
-def carried_in_parts(df: DataFrame, keys: list[str], part: str, order: list[Column], value: Column, name: str) -> DataFrame:
+def carried_in_parts(df: DataFrame, keys: list[str], part: str, order: list[Column], value: Column, name: str, rows: int | None = None) -> DataFrame:
     """As carried, where rows of a key come in parts (splits of a file) that follow one another: no task holds more than a part.
 
     The last value of each part goes, over the parts (a row each), to the parts behind it; within a part rows take their own.
+    Parts are dealt to tasks by their number of rows, so that a task sorts as much of a large table as of a small one (rows: at least
+    their number, where it is known).
     """
-    valued = df.withColumn("_value", value)
+    tasks = max(1, math.ceil((df.count() if rows is None else rows) / ROWS_A_TASK))
+    valued = df.withColumn("_value", value).repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys, part)
     frame = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     own = valued.withColumn("_own", F.last("_value", ignorenulls=True).over(frame))
     lasts = valued.where("_value is not null").groupBy(*keys, part).agg(F.max_by("_value", F.struct(*order)).alias("_last"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from larkspur.operators import joins, ranks, tables
@@ -11,6 +13,9 @@ from larkspur.shared import path as shared_path
 from larkspur.sources import parsers, workbooks
 from larkspur.streaming import keyed, retries
 
+#: Lines of a file that stands for a statement: more than a split holds, and not more than a task sorts at ease.
+LINES_A_FILE = 4_000_000
+
 # --- joins by containment ----------------------------------------------------------------------------------------------
 
 
@@ -89,12 +94,13 @@ def account_by_application(spark, sf):
 
 @query("""SELECT 'A' || l_orderkey AS account, 'Line ' || l_linenumber AS description, l_extendedprice AS amount FROM lineitem""")
 def statement_of_many_accounts(spark, sf):
-    """One statement in a few files, read by splits: the account of a row stands in an earlier line, perhaps in another split."""
+    """One statement in a few files, more of a larger table (a task writes a file), read by splits: the account of a row stands in an earlier line, perhaps in another split."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("Change in NAV,Data,Line "), "l_linenumber", F.lit(',"'), F.format_number("l_extendedprice", 2), F.lit('"')).alias("value"))
     heads = table(spark, sf, "lineitem").select("l_orderkey").distinct().select("l_orderkey", F.lit(0).cast("long").alias("l_linenumber"), F.concat(F.lit("Account Information,Data,Account,A"), "l_orderkey", F.lit(" (own)")).alias("value"))
     at = shared_path(spark, "statement")
     every = lines.withColumn("l_linenumber", F.col("l_linenumber").cast("long")).unionByName(heads)
-    every.repartitionByRange(4, "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber").select("value").write.text(at)
+    few = max(4, math.ceil(table(spark, sf, "lineitem").count() / LINES_A_FILE))
+    every.repartitionByRange(few, "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber").select("value").write.text(at)
     rows = parsers.statement_rows(parsers.ordered_lines(spark, at), None, F.lit("2024-01-31").cast("date"))
     return rows.select(F.col("Account").alias("account"), F.col("Description").alias("description"), F.col("Amount").alias("amount"))
 

@@ -50,15 +50,19 @@ def statement_rows(lines: DataFrame, account: str | None, month_end: Column) ->
     """(Date, Description, Amount, Account) of an account's section of a statement (account null: of every section). An amount that is no number raises; blank ones are skipped."""
     parsed = lines.withColumn("cells", cells(F.col("value")))
     own = F.when((F.col("cells")[0] == "Account Information") & (F.try_element_at("cells", F.lit(2)) == "Data") & (F.try_element_at("cells", F.lit(3)) == "Account"), F.trim(F.split_part(F.try_element_at("cells", F.lit(4)), F.lit(" "), F.lit(1))))
+    # Of a line only what it says of the account or of the section goes through the sort, and no other line does.
+    entry = F.when((F.col("cells")[0] == STATEMENT_SECTION) & (F.try_element_at("cells", F.lit(2)) == "Data"), F.struct(F.try_element_at("cells", F.lit(3)).alias("description"), F.try_element_at("cells", F.lit(4)).alias("amount")))
+    place = [c for c in ("file", "part", "line") if c in lines.columns]
+    said = parsed.select(*place, own.alias("own"), entry.alias("entry")).where("own is not null or entry is not null")
     if "part" in lines.columns:
-        current = joins.carried_in_parts(parsed, ["file"], "part", [F.col("line")], own, "account")
+        current = joins.carried_in_parts(said, ["file"], "part", [F.col("line")], F.col("own"), "account", lines.count())
     else:
-        current = joins.carried(parsed, ["file"], [F.col("line")], own, "account")
-    data = current.where((F.col("account").isNotNull() if account is None else F.col("account") == account) & (F.col("cells")[0] == STATEMENT_SECTION) & (F.try_element_at("cells", F.lit(2)) == "Data"))
-    text = F.trim(F.replace(F.try_element_at("cells", F.lit(4)), F.lit(","), F.lit("")))
+        current = joins.carried(said, ["file"], [F.col("line")], F.col("own"), "account")
+    data = current.where((F.col("account").isNotNull() if account is None else F.col("account") == account) & F.col("entry").isNotNull())
+    text = F.trim(F.replace(F.col("entry.amount"), F.lit(","), F.lit("")))
     amount = text.try_cast("double")
     checked = F.when(amount.isNull(), F.raise_error(F.concat(F.lit("no amount: "), text)).cast("double")).otherwise(amount)
-    return data.where(F.coalesce(text, F.lit("")) != "").select(month_end.alias("Date"), F.try_element_at("cells", F.lit(3)).alias("Description"), checked.alias("Amount"), F.col("account").alias("Account"))
+    return data.where(F.coalesce(text, F.lit("")) != "").select(month_end.alias("Date"), F.col("entry.description").alias("Description"), checked.alias("Amount"), F.col("account").alias("Account"))
 
 
 def statement_files(files: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ equal registers, at the known set sizes, drops pairs that cannot reach the thres
 Pairs within a group are not listed. Equal sets are one class. Each candidate is checked against the smallest centre (the
 least member) of its band buckets, one pair a candidate, and components of confirmed links follow. In buckets that hold
 several components yet, members are checked against the centre of the bucket. Buckets that are still open are worked
-off whole: their members meet in groups of blocks, each task compares two blocks of bounded size, skips what is
-already connected, and returns only links that connect something new. So no link between components is lost, however
-large the group. The number of bands makes the chance to miss a pair at the threshold below MISS.
+off whole: those that share members form a cluster, whose members meet all together where it is small or dense, and else
+bucket by bucket, each pair in the first bucket it shares. Either way they meet in groups of blocks, each task compares
+two blocks of bounded size by their full sets, skips what is already connected, and returns only links that connect
+something new. So no link between components is lost, however large the group. The number of bands makes the chance to
+miss a pair at the threshold below MISS.
 
 Edge cases: null text and text without a word have an empty set, linked with nothing (component: itself, kept);
 texts with fewer words than a shingle are one shingle; repeated rows share a class and a doc_id, and are all kept or all
@@ -107,11 +109,18 @@ def digest_of(grams: np.ndarray) -> tuple[int, int]:
     return int(grams.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed(grams ^ _STEPS[62]))) if len(grams) else 0
 
 
+def band_hashes(held: np.ndarray, rows: int = ROWS) -> np.ndarray:
+    """The hash of each band of rows registers, of each row of registers."""
+    hashes = np.zeros((len(held), held.shape[1] // rows), np.uint64) + np.arange(1, held.shape[1] // rows + 1, dtype=np.uint64) * _STEPS[63]
+    for r in range(rows):
+        hashes = mixed(hashes * _STEPS[61] + held[:, r::rows].astype(np.uint64))
+    return hashes
+
+
 def sketches(docs: DataFrame, shingle: int, threshold: float, rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, n (set size), a 128-bit digest of the set, registers and band hashes. No shuffle."""
     bands = band_count(threshold, rows)
     m = bands * rows
-    number = np.arange(1, bands + 1, dtype=np.uint64) * _STEPS[63]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,9 +132,7 @@ def sketches(docs: DataFrame, shingle: int, threshold: float, rows: int = ROWS)
                     digests.append(digest_of(grams))
                     regs.append(registers(grams, m))
             held = np.stack(regs) if regs else np.zeros((0, m), np.uint16)
-            hashes = np.zeros((len(held), bands), np.uint64) + number
-            for r in range(rows):
-                hashes = mixed(hashes * _STEPS[61] + held[:, r::rows].astype(np.uint64))
+            hashes = band_hashes(held, rows)
             d = np.array(digests, dtype=np.uint64).reshape(-1, 2)
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(d[:, i]).view(np.int64)) for i in (0, 1)), pa.array([r.tobytes() for r in held], pa.binary()), pa.ListArray.from_arrays(np.arange(0, hashes.size + 1, bands, dtype=np.int32), hashes.reshape(-1).view(np.int64))],
@@ -190,13 +197,13 @@ def near_groups(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     # Buckets that are still open.
     placed = starred.join(labels, "id").select("id", "band", "component", "centre")
     several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    loose = written(placed.join(several, "band").select("id", "component", "centre").distinct(), "loose")
+    loose = written(placed.join(several, "band").select("id", "band", "component", "centre"), "loose")
     # Of an id's centres the least stands for it, and is joined to the others: only centres are left to be connected.
     tied = loose.groupBy("id").agg(F.min("centre").alias("hub"), F.collect_set("centre").alias("centres"))
     tied = written(tied, "hubs")
     between = component_labels(tied.select(F.col("hub").alias("a"), F.explode("centres").alias("b")).where("a <> b").distinct())
     clusters = tied.join(between.select(F.col("id").alias("hub"), "component"), "hub", "left").select("id", F.coalesce("component", "hub").alias("cluster"))
-    members = written(loose.select("id", "component").distinct().join(clusters, "id").join(held, "id"), "members")
+    members = written(in_clusters_or_buckets(loose.select("id", "band", "component").join(clusters, "id"), held).join(held, "id"), "members")
     found = in_blocks_of_clusters(members).groupBy("group", "i", "j").applyInArrow(lambda table: links_between(table, percent), "a long, b long")
     labels = merged(labels, component_labels(found))
 
@@ -231,74 +238,80 @@ def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(confirm, "a long, b long")
 
 
+def in_clusters_or_buckets(loose: DataFrame, held: DataFrame) -> DataFrame:
+    """Members (id, component, cluster, bucket) that meet, of rows (id, band, component, cluster) of open buckets: of a cluster's members, or of a bucket's (bucket is true and cluster the band).
+
+    Buckets that chance members hang together make clusters that grow much faster than the input, and hardly any two members
+    share a bucket. Where a cluster is larger than a block and its buckets have fewer pairs than itself, they take its place.
+    """
+    ids = written(loose.select("id", "component", "cluster").distinct().join(held.select("id", "n"), "id"), "ids")
+    whole = ids.groupBy("cluster").agg(F.count(F.lit(1)).cast("double").alias("c"), (F.sum("n") * 8).alias("b"))
+    buckets = loose.groupBy("cluster", "band").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("cluster").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+    large = whole.where((F.col("c") > BLOCK_MEMBERS) | (F.col("b") > BLOCK_SET_BYTES))
+    sparse = written(large.join(buckets, "cluster").where(F.col("c") * F.col("c") > F.col("pairs")).select("cluster"), "sparse")
+    by_bucket = loose.join(sparse, "cluster", "left_semi").select("id", "component", F.col("band").alias("cluster"), F.lit(True).alias("bucket"))
+    return by_bucket.unionByName(ids.join(sparse, "cluster", "left_anti").select("id", "component", "cluster", F.lit(False).alias("bucket")))
+
+
 def in_blocks_of_clusters(members: DataFrame) -> DataFrame:
-    """members (id, component, cluster, n, regs, grams) in groups of two blocks at most (group, i, j, own), so that all members of different components of a cluster meet.
+    """members (id, component, cluster, bucket, n, regs, grams) in groups of two blocks at most (group, i, j, own), so that all members of different components of a cluster (or bucket) meet.
 
     A cluster's largest component needs no comparison with itself: its blocks meet those of the other members alone. So a
     large component beside a few others is sent once, and only members outside it are compared in all pairs of blocks.
     """
-    counted = members.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("c"), (F.sum("n") * 8).alias("b"))
-    sizes = counted.groupBy("cluster").agg(F.sum("c").alias("c"), F.sum("b").alias("b"), F.max(F.struct("c", "b", "component")).alias("top"))
+    counted = members.groupBy("cluster", "bucket", "component").agg(F.count(F.lit(1)).alias("c"), (F.sum("n") * 8).alias("b"))
+    sizes = counted.groupBy("cluster", "bucket").agg(F.sum("c").alias("c"), F.sum("b").alias("b"), F.max(F.struct("c", "b", "component")).alias("top"))
     blocks = lambda c, b: F.greatest(F.lit(1), F.ceil(c / BLOCK_MEMBERS), F.ceil(b / BLOCK_SET_BYTES)).cast("int")
-    sizes = sizes.select("cluster", F.col("top.component").alias("top"), blocks(F.col("c"), F.col("b")).alias("all"), blocks(F.col("top.c"), F.col("top.b")).alias("most"), blocks(F.col("c") - F.col("top.c"), F.col("b") - F.col("top.b")).alias("rest"))
-    groups = max(1, math.ceil(members.count() / MEMBERS_A_GROUP))
+    sizes = sizes.select("cluster", "bucket", F.col("top.component").alias("top"), blocks(F.col("c"), F.col("b")).alias("all"), blocks(F.col("top.c"), F.col("top.b")).alias("most"), blocks(F.col("c") - F.col("top.c"), F.col("b") - F.col("top.b")).alias("rest"))
+    total = members.agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).first()
+    groups = max(1, math.ceil(total["c"] / MEMBERS_A_GROUP), math.ceil(8 * (total["n"] or 0) / BLOCK_SET_BYTES))
     one, largest = F.col("all") == 1, F.col("component") == F.col("top")
     own = F.when(one, 0).when(largest, F.pmod(F.xxhash64("id"), F.col("most"))).otherwise(F.col("most") + F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
     last = F.col("most") + F.col("rest") - 1
     others = F.when(one, F.array(F.lit(0))).when(largest, F.sequence(F.col("most"), last)).otherwise(F.sequence(F.lit(0), last))
-    dealt = members.join(sizes, "cluster").withColumn("own", own).withColumn("with", F.explode(others))
+    dealt = members.join(sizes, ["cluster", "bucket"]).withColumn("own", own).withColumn("with", F.explode(others))
     group = F.when(one, F.pmod(F.xxhash64("cluster"), F.lit(groups))).otherwise(F.col("cluster"))
-    return dealt.select(group.alias("group"), F.when(one, -1).otherwise(F.least("own", "with")).alias("i"), F.greatest("own", "with").alias("j"), "own", "cluster", "id", "component", "n", "regs", "grams")
+    return dealt.select(group.alias("group"), F.when(one, -1).otherwise(F.least("own", "with")).alias("i"), F.greatest("own", "with").alias("j"), "own", "cluster", "bucket", "id", "component", "n", "regs", "grams")
 
 
 def links_between(table: pa.Table, percent: int) -> pa.Table:
-    """Links that connect different components, of the members of one block with another (or of many small clusters)."""
-    table = table.sort_by([("cluster", "ascending"), ("own", "ascending"), ("id", "ascending")])
-    ids, comp, cluster, own, n = (long_column(table.column(c)) for c in ("id", "component", "cluster", "own", "n"))
+    """Links that connect different components, of the members of one block with another (or of many small clusters and buckets). Of a bucket, pairs that share no earlier one."""
+    table = table.sort_by([("cluster", "ascending"), ("bucket", "ascending"), ("own", "ascending"), ("id", "ascending")])
+    comp, cluster, bucket, own, n = (long_column(table.column(c)) for c in ("component", "cluster", "bucket", "own", "n"))
     data, offsets = column_bytes(table.column("grams"))
     grams, at = data.view(np.uint64), offsets // 8
-    regs = column_bytes(table.column("regs"))[0].view(np.uint16).reshape(table.num_rows, -1) if table.num_rows else None
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
+    regs = column_bytes(table.column("regs"))[0].view(np.uint16).reshape(table.num_rows, -1) if table.num_rows else np.zeros((0, ROWS), np.uint16)
+    label = comp.copy()  # the least component that each member is connected with so far
     links = []
-    borders = np.concatenate(([0], np.flatnonzero(np.diff(cluster)) + 1, [len(ids)]))
-    for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+    borders = np.concatenate(([0], np.flatnonzero((np.diff(cluster) != 0) | (np.diff(bucket) != 0)) + 1, [table.num_rows]))
+    for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
         if hi - lo < 2:
             continue
         _, local = np.unique(grams[at[lo] : at[hi]], return_inverse=True)
-        start = at[lo:hi] - at[lo]
-        two = own[lo] != own[hi - 1]
-        for x in range(lo, hi):
+        start, size, mine, places = at[lo:hi] - at[lo], n[lo:hi], own[lo:hi], np.arange(hi - lo)
+        mark = np.zeros(int(local.max()) + 1, bool)
+        if bucket[lo]:
+            bands = band_hashes(regs[lo:hi])
+            bands = bands[:, : int(np.flatnonzero(bands[0].view(np.int64) == cluster[lo])[0])]  # those before this bucket's own
+        two = mine[0] != mine[-1]
+        for x in range(hi - lo):
             # blocks i < j: members of i against those of j; one block: each against those after it
-            first = int(np.searchsorted(own[lo:hi], own[x] + 1)) + lo if two else x + 1
-            y = np.arange(first, hi)
-            y = y[comp[y] != comp[x]]
-            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-            if not len(y):
-                continue
-            mine = root(int(comp[x]))
-            if parent_known := [k for k, c in enumerate(comp[y]) if root(int(c)) != mine]:
-                y = y[parent_known]
-            else:
-                continue
-            up, down = (regs[x] > regs[y]).sum(axis=1), (regs[x] < regs[y]).sum(axis=1)
-            y = y[likelihoods(up, down, regs.shape[1] - up - down, np.full(len(y), n[x]), n[y], percent / 100)[1]]
+            y = places[int(np.searchsorted(mine, mine[x] + 1)) if two else x + 1 :]
+            y = y[(label[lo + y] != label[lo + x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+            if bucket[lo] and len(y):
+                y = y[~(bands[y] == bands[x]).any(axis=1)]
             if not len(y):
                 continue
-            mark = np.zeros(int(local.max()) + 1, bool)
-            mark[local[start[x - lo] : start[x - lo] + n[x]]] = True
-            for z in y:
-                shared = int(mark[local[start[z - lo] : start[z - lo] + n[z]]].sum())
-                if 100 * shared >= percent * (n[x] + n[z] - shared):
-                    p, q = root(int(comp[x])), root(int(comp[z]))
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        links.append((int(comp[x]), int(comp[z])))
+            mark[local[start[x] : start[x] + size[x]]] = True
+            ends = np.cumsum(size[y])
+            held = np.repeat(start[y] - (ends - size[y]), size[y]) + np.arange(ends[-1])
+            shared = np.add.reduceat(mark[local[held]], ends - size[y], dtype=np.int64)
+            mark[local[start[x] : start[x] + size[x]]] = False
+            for z in y[enough(shared, size[x], size[y], percent)].tolist():
+                p, q = int(label[lo + x]), int(label[lo + z])
+                if p != q:
+                    label[label == max(p, q)] = min(p, q)
+                    links.append((int(comp[lo + x]), int(comp[lo + z])))
     a, b = zip(*links, strict=True) if links else ((), ())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

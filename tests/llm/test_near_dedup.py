@@ -63,6 +63,24 @@ def test_chains_of_variants_in_several_blocks(spark, prose, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == groups(texts, 5, 80)
 
 
+def test_a_cluster_that_chance_members_hang_together(spark, prose, monkeypatch):
+    """Families along one long text, each half alike with the next: a single cluster, of which only those that share a bucket meet."""
+    monkeypatch.setattr(near_dedup, "BLOCK_MEMBERS", 16)
+    dealt, whole = [], near_dedup.in_blocks_of_clusters
+    monkeypatch.setattr(near_dedup, "in_blocks_of_clusters", lambda members: dealt.append(whole(members)) or dealt[-1])
+    rng, words, texts = random.Random(5), [f"{w}{i}" for i, w in enumerate(prose(4_300, 9).split())], {}
+    for d, i in enumerate(rng.sample(range(400), 400)):
+        own = words[i // 4 * 40 :][:160]
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            own[rng.randrange(160)] = f"new{rng.randrange(9)}"
+        texts[d] = " ".join(own)
+    got = near_dedup.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == groups(texts, 3, 85)
+    met = [r["count"] for r in dealt[0].groupBy("group", "i", "j", "cluster").count().collect()]
+    members = dealt[0].select("id").distinct().count()
+    assert members > 100 and sum(c * c for c in met) < members**2 / 3
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 2**63, 3000, dtype=np.uint64), rng.integers(0, 2**63, 3000, dtype=np.uint64)
